@@ -79,8 +79,9 @@ def contract_errors(lines: DataFrame, contract: dict[str, Any] = RAW_READING, va
         .otherwise(F.array_sort(F.filter(F.concat(*found), lambda e: e.isNotNull())))
     )
     first = F.try_element_at(F.col("errors"), F.lit(1))
+    # the generator keeps the optimizer from copying the checks into every later filter and column
     return (
-        out.withColumn("errors", errors)
+        out.select("*", F.inline(F.array(F.struct(errors.alias("errors")))))
         .withColumns(
             {"error_code": first["error_code"], "field_path": first["field_path"], "message": first["message"]}
         )

@@ -452,7 +452,7 @@ SUMMARY = "anomaly_id observed_value baseline_value expected_value detection_con
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return rounded(df.drop("quality_event_ids"), *SUMMARY[1:4], digits=4)
+    return rounded(df.drop("quality_event_ids"), *SUMMARY[1:4])
 
 
 @query

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR = "struct<field_path:string,error_code:string,message:string>"
+_MAP = "map<string,variant>"
 
 # The contract of a raw reading.
 _SCENARIOS = (
@@ -66,26 +67,26 @@ _KINDS = {
 
 def contract_errors(lines: DataFrame, contract: dict[str, Any] = RAW_READING, value: str = "value") -> DataFrame:
     """Lines with ``errors`` (sorted by path, code, message; empty when valid) and the first
-    of them as ``error_code`` / ``field_path`` / ``message``."""
-    v = F.try_parse_json(F.col(value))
-    out = lines.withColumn("_doc", v)
-    kind = F.schema_of_variant(F.col("_doc"))
-    not_json = F.array(_error("/", "invalid_json", F.lit("Invalid JSON")))
-    not_object = F.array(_error("/", "invalid_json", F.lit("JSONL record must be an object")))
-    found = _object_errors(F.col("_doc"), F.col(value), contract, "")
+    of them as ``error_code`` / ``field_path`` / ``message``.
+
+    Each line is parsed once.  Fields, their kinds and their texts become columns of
+    their own, so that the checks only read them.
+    """
+    out = lines.withColumn("_doc", F.try_parse_json(F.col(value)))
+    out = out.withColumn("_kind", F.schema_of_variant(F.col("_doc")))
+    is_object = F.col("_kind").rlike(_KINDS["object"])
+    out = out.withColumn("_map", F.when(is_object, F.try_variant_get("_doc", "$", _MAP)))
+    out, found = _object_checks(out, "_map", contract, "")
     errors = (
-        F.when(F.col("_doc").isNull(), not_json)
-        .when(~kind.rlike(_KINDS["object"]), not_object)
+        F.when(F.col("_doc").isNull(), F.array(_error("/", "invalid_json", F.lit("Invalid JSON"))))
+        .when(~is_object, F.array(_error("/", "invalid_json", F.lit("JSONL record must be an object"))))
         .otherwise(F.array_sort(F.filter(F.concat(*found), lambda e: e.isNotNull())))
     )
-    first = F.try_element_at(F.col("errors"), F.lit(1))
     # the generator keeps the optimizer from copying the checks into every later filter and column
-    return (
-        out.select("*", F.inline(F.array(F.struct(errors.alias("errors")))))
-        .withColumns(
-            {"error_code": first["error_code"], "field_path": first["field_path"], "message": first["message"]}
-        )
-        .drop("_doc")
+    out = out.select(*lines.columns, F.inline(F.array(F.struct(errors.alias("errors")))))
+    first = F.try_element_at(F.col("errors"), F.lit(1))
+    return out.withColumns(
+        {"error_code": first["error_code"], "field_path": first["field_path"], "message": first["message"]}
     )
 
 
@@ -130,22 +131,24 @@ def _error(path: str | Column, code: str, message: Column) -> Column:
     ).cast(ERROR)
 
 
-def _shown(v: Column, kind: Column) -> Column:
-    """A value as it appears in messages: text in single quotes, anything else as JSON."""
-    text = F.variant_get(v, "$", "string")
-    return F.when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text)
+def _none() -> Column:
+    return F.array().cast(f"array<{ERROR}>")
 
 
-def _object_errors(doc: Column, text: Column, contract: dict[str, Any], path: str) -> list[Column]:
-    """Arrays of (possibly null) errors for one object; ``text`` is its JSON text."""
+def _object_checks(df: DataFrame, map_col: str, contract: dict[str, Any], path: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the object's field columns, and the arrays of (possibly null) errors they give."""
     properties = contract.get("properties", {})
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    names = {p: f"_v{path}/{p}" for p in properties}
+    df = df.withColumns({v: F.try_element_at(F.col(map_col), F.lit(p)) for p, v in names.items()})
+    df = df.withColumns({f"{v}:kind": F.schema_of_variant(F.col(f"`{v}`")) for v in names.values()})
+    df = df.withColumns({f"{v}:text": F.try_variant_get(F.col(f"`{v}`"), "$", "string") for v in names.values()})
+    keys = F.map_keys(F.col(map_col))
     found: list[Column] = []
     required = contract.get("required", [])
     if required:
         # every "required" error points at the first missing field in contract order
         missing = F.array_except(F.array(*[F.lit(r) for r in required]), keys)
-        first = F.concat(F.lit("/"), F.try_element_at(missing, F.lit(1)))
+        first = F.concat(F.lit(f"{path}/"), F.try_element_at(missing, F.lit(1)))
         found.append(
             F.transform(
                 missing,
@@ -161,78 +164,63 @@ def _object_errors(doc: Column, text: Column, contract: dict[str, Any], path: st
         message = F.concat(F.lit("Additional properties are not allowed ("), quoted, verb)
         found.append(F.array(F.when(F.size(extra) > 0, _error(path or "/", "unexpected_field", message))))
     for name, rule in properties.items():
-        found += _field_errors(doc, name, rule, f"{path}/{name}")
-    return found
-
-
-def _field_errors(doc: Column, name: str, rule: dict[str, Any], path: str) -> list[Column]:
-    v = F.try_variant_get(doc, f"$.{name}", "variant")
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
+        found += _field_checks(names[name], rule, f"{path}/{name}")
+        if "properties" in rule:
+            v, nested_map = names[name], f"_m{path}/{name}"
+            is_object = F.col(f"`{v}:kind`").rlike(_KINDS["object"])
+            df = df.withColumn(nested_map, F.when(is_object, F.try_variant_get(F.col(f"`{v}`"), "$", _MAP)))
+            df, nested = _object_checks(df, nested_map, rule, f"{path}/{name}")
+            found += [F.coalesce(n, _none()) for n in nested]
+    return df, found
+
+
+def _field_checks(column: str, rule: dict[str, Any], path: str) -> list[Column]:
+    v, kind, text = F.col(f"`{column}`"), F.col(f"`{column}:kind`"), F.col(f"`{column}:text`")
     is_text = kind == "STRING"
+    # a value as messages show it: text in single quotes, anything else as JSON
+    shown = F.when(is_text, F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text)
     single: list[Column] = []
 
     def check(broken: Column, code: str, message: Column) -> None:
         single.append(F.when(v.isNotNull() & broken, _error(path, code, message)))
 
-    shown = _shown(v, kind)
     if "type" in rule:
-        check(
-            ~kind.rlike(_KINDS[rule["type"]]),
-            "invalid_type",
-            F.concat(shown, F.lit(f" is not of type '{rule['type']}'")),
-        )
+        message = F.concat(shown, F.lit(f" is not of type '{rule['type']}'"))
+        check(~kind.rlike(_KINDS[rule["type"]]), "invalid_type", message)
     if "const" in rule:
         check(~is_text | (text != rule["const"]), "invalid_value", F.lit(f"'{rule['const']}' was expected"))
     if "enum" in rule:
         listed = json.dumps(rule["enum"]).replace('"', "'")
         check(~is_text | ~text.isin(*rule["enum"]), "invalid_value", F.concat(shown, F.lit(f" is not one of {listed}")))
     if "pattern" in rule:
-        check(
-            is_text & ~text.rlike(rule["pattern"]),
-            "invalid_format",
-            F.concat(shown, F.lit(f" does not match '{rule['pattern']}'")),
-        )
+        message = F.concat(shown, F.lit(f" does not match '{rule['pattern']}'"))
+        check(is_text & ~text.rlike(rule["pattern"]), "invalid_format", message)
     if "minLength" in rule:
         short = F.lit(" should be non-empty") if rule["minLength"] == 1 else F.lit(" is too short")
         check(is_text & (F.length(text) < rule["minLength"]), "schema_validation_error", F.concat(shown, short))
-    number = F.try_variant_get(v, "$", "double")
+    number = text.try_cast("double")
     is_number = kind.rlike(_KINDS["number"])
     if "minimum" in rule:
-        less = F.lit(f" is less than the minimum of {rule['minimum']}")
-        check(is_number & (number < rule["minimum"]), "invalid_value", F.concat(shown, less))
+        message = F.concat(shown, F.lit(f" is less than the minimum of {rule['minimum']}"))
+        check(is_number & (number < rule["minimum"]), "invalid_value", message)
     if "maximum" in rule:
-        more = F.lit(f" is greater than the maximum of {rule['maximum']}")
-        check(is_number & (number > rule["maximum"]), "invalid_value", F.concat(shown, more))
+        message = F.concat(shown, F.lit(f" is greater than the maximum of {rule['maximum']}"))
+        check(is_number & (number > rule["maximum"]), "invalid_value", message)
     items = F.try_variant_get(v, "$", "array<variant>")
     if rule.get("uniqueItems"):
         texts = F.transform(items, lambda i: F.to_json(i))
-        check(
-            F.size(F.array_distinct(texts)) < F.size(texts),
-            "schema_validation_error",
-            F.concat(shown, F.lit(" has non-unique elements")),
-        )
+        message = F.concat(shown, F.lit(" has non-unique elements"))
+        check(F.size(F.array_distinct(texts)) < F.size(texts), "schema_validation_error", message)
     found = [F.array(*single)] if single else []
     item_type = rule.get("items", {}).get("type")
     if item_type:
-        found.append(
-            F.coalesce(
-                F.transform(
-                    items,
-                    lambda i, n: F.when(
-                        ~F.schema_of_variant(i).rlike(_KINDS[item_type]),
-                        _error(
-                            F.concat(F.lit(f"{path}/"), n.cast("string")),
-                            "invalid_type",
-                            F.concat(_shown(i, F.schema_of_variant(i)), F.lit(f" is not of type '{item_type}'")),
-                        ),
-                    ),
-                ),
-                F.array().cast(f"array<{ERROR}>"),
-            )
-        )
-    if "properties" in rule:
-        nested = _object_errors(v, text, rule, path)
-        empty = F.array().cast(f"array<{ERROR}>")
-        found += [F.when(kind.rlike(_KINDS["object"]), n).otherwise(empty) for n in nested]
+
+        def item_error(i: Column, n: Column) -> Column:
+            item_kind, item_text = F.schema_of_variant(i), F.try_variant_get(i, "$", "string")
+            item = F.when(item_kind == "STRING", F.concat(F.lit("'"), item_text, F.lit("'"))).otherwise(item_text)
+            at = F.concat(F.lit(f"{path}/"), n.cast("string"))
+            message = F.concat(item, F.lit(f" is not of type '{item_type}'"))
+            return F.when(~item_kind.rlike(_KINDS[item_type]), _error(at, "invalid_type", message))
+
+        found.append(F.coalesce(F.transform(items, item_error), _none()))
     return found

@@ -130,16 +130,13 @@ def parse_json(lines: DataFrame, schema: T.StructType = RAW_SCHEMA, value: str =
     texts = T.StructType(
         [T.StructField(f.name, T.StringType() if isinstance(f.dataType, numeric) else f.dataType) for f in schema]
     )
-    parsed = lines.withColumn("_doc", F.from_json(F.col(value), texts, {"mode": "PERMISSIVE"}))
     kind = F.schema_of_variant(F.try_parse_json(F.col(value)))
     keep = [c for c in lines.columns if c != value]
-    fields = [
-        (F.col(f"_doc.{f.name}").try_cast(f.dataType) if isinstance(f.dataType, numeric) else F.col(f"_doc.{f.name}")).alias(
-            f.name
-        )
-        for f in schema
-    ]
-    return parsed.filter(kind.startswith("OBJECT")).select(*keep, *fields)
+    # inline() parses each line once, whatever is done with its fields later
+    doc = F.from_json(F.col(value), texts, {"mode": "PERMISSIVE"})
+    fields = [F.col(f.name).try_cast(f.dataType) if isinstance(f.dataType, numeric) else F.col(f.name) for f in schema]
+    parsed = lines.filter(kind.startswith("OBJECT")).select(*keep, F.inline(F.array(doc)))
+    return parsed.select(*keep, *[c.alias(f.name) for c, f in zip(fields, schema, strict=True)])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> tuple[DataFrame, DataFrame]:

@@ -77,10 +77,12 @@ def contract_errors(lines: DataFrame, contract: dict[str, Any] = RAW_READING, va
     is_object = F.col("_kind").rlike(_KINDS["object"])
     out = out.withColumn("_map", F.when(is_object, F.try_variant_get("_doc", "$", _MAP)))
     out, found = _object_checks(out, "_map", contract, "")
+    # set operations instead of lambdas: these stay inside generated code
+    no_error = F.array(F.lit(None).cast(ERROR))
     errors = (
         F.when(F.col("_doc").isNull(), F.array(_error("/", "invalid_json", F.lit("Invalid JSON"))))
         .when(~is_object, F.array(_error("/", "invalid_json", F.lit("JSONL record must be an object"))))
-        .otherwise(F.array_sort(F.filter(F.concat(*found), lambda e: e.isNotNull())))
+        .otherwise(F.sort_array(F.array_except(F.concat(*found), no_error)))
     )
     # the generator keeps the optimizer from copying the checks into every later filter and column
     out = out.select(*lines.columns, F.inline(F.array(F.struct(errors.alias("errors")))))

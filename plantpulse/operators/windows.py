@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.text import sorted_set
@@ -11,6 +11,11 @@ from plantpulse.functions.times import with_bucket
 EXPECTED_POINTS = 15
 
 
+def settled(x: Column, digits: int) -> Column:
+    """Round after removing summation noise, so that a tie does not depend on the order of rows."""
+    return F.round(F.round(x, digits + 6), digits)
+
+
 def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int = EXPECTED_POINTS) -> DataFrame:
     """Statistics per tenant, tag and window (19 columns).
 
@@ -50,12 +55,12 @@ def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int =
         "tag_id",
         "window_start",
         (F.col("window_start") + F.expr(f"INTERVAL {width}")).alias("window_end"),
-        F.round("mean", 3).alias("avg_value"),
+        settled(F.col("mean"), 3).alias("avg_value"),
         F.round("min_value", 3).alias("min_value"),
         F.round("max_value", 3).alias("max_value"),
         F.round(sd, 6).alias("stddev_value"),
         F.round("p95", 3).alias("p95_value"),
-        F.round((last - F.col("first.value")) / F.greatest(n - 1, F.lit(1)), 6).alias("slope"),
+        settled((last - F.col("first.value")) / F.greatest(n - 1, F.lit(1)), 6).alias("slope"),
         F.when(sd == 0, F.lit(0.0)).otherwise(F.round((last - F.col("mean")) / F.nullif(sd, F.lit(0.0)), 6)).alias("z_score"),
         n.cast("int").alias("event_count"),
         F.lit(expected).alias("expected_count"),

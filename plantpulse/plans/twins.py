@@ -701,7 +701,7 @@ QUALIFY row_number() OVER (PARTITION BY t.tenant_id, t.tag_id ORDER BY named_sco
 def stats_sql(width: str) -> str:
     return f"""
 SELECT tenant_id, min_by(asset_id, (event_time, event_id)) AS asset_id, min_by(component_id, (event_time, event_id)) AS component_id,
-  '' AS measurement_point_id, tag_id, w AS window_start, w + INTERVAL {width} AS window_end, round(round(CAST(avg(value) AS DECIMAL(28, 15)), 9), 3)::DOUBLE AS avg_value,
+  '' AS measurement_point_id, tag_id, w AS window_start, w + INTERVAL {width} AS window_end, round(CAST(avg(value) AS DECIMAL(28, 9)), 3)::DOUBLE AS avg_value,
   round(min(value), 3) AS min_value, round(max(value), 3) AS max_value, round(sd, 6) AS stddev_value,
   round(quantile_disc(value, 0.95), 3) AS p95_value, round(CAST((last - first) / greatest(count(*) - 1, 1) AS DECIMAL(28, 12)), 6)::DOUBLE AS slope,
   CASE WHEN sd = 0 THEN 0.0 ELSE round((last - avg(value)) / sd, 6) END AS z_score, CAST(count(*) AS INTEGER) AS event_count,

@@ -138,7 +138,8 @@ def late_batches(readings: DataFrame, path: str, state: str, checkpoint: str) ->
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         tops = batch.groupBy("tenant_id").agg(F.max("event_time").alias("top"))
-        known = _stored(spark, state, n, tops).groupBy("tenant_id").agg(F.max("top").alias("top"))
+        # the batch before carries the maxima of all earlier ones
+        known = tops.limit(0) if n == 0 else spark.read.schema(tops.schema).parquet(f"{state}/batch_id={n - 1}")
         write_batch(late_since(batch, known), path, n)
         carried = known.unionByName(tops).groupBy("tenant_id").agg(F.max("top").alias("top"))
         write_batch(carried, state, n)
@@ -180,13 +181,25 @@ def detector_increment(
 
 
 def detect_batches(
-    readings: DataFrame, verdict: Callable[[], detectors.Verdict], path: str, history: str, checkpoint: str
+    readings: DataFrame,
+    verdict: Callable[[], detectors.Verdict],
+    path: str,
+    history: str,
+    checkpoint: str,
+    horizon: str | None = None,
 ) -> DataStreamWriter:
-    """Detector over a stream of enriched readings; versions of an anomaly meet in :func:`current_rows`."""
+    """Detector over a stream of enriched readings; versions of an anomaly meet in :func:`current_rows`.
+
+    ``horizon`` (e.g. ``"7 DAYS"``) bounds how far back history is read, where readings are
+    known not to pause or arrive later than that; the bound reaches the history scan.
+    """
 
     def work(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
         old = _stored(batch.sparkSession, history, n, batch)
+        if horizon:
+            oldest = batch.agg(F.min("event_time").alias("oldest")).scalar()
+            old = old.filter(F.col("event_time") >= oldest - F.expr(f"INTERVAL {horizon}"))
         write_batch(detector_increment(batch, old, verdict()), path, n)
         write_batch(batch, history, n)
         batch.unpersist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions.ids import key_text, sha1_id
@@ -108,11 +108,10 @@ def incidents(anomalies: DataFrame, cooldown: str = COOLDOWN) -> DataFrame:
 
 def incident_members(anomalies: DataFrame, cooldown: str = COOLDOWN) -> DataFrame:
     """``incident_id, anomaly_id, seen_at, position``: distinct anomaly ids in order of first sight."""
-    cells = _cells(anomalies, cooldown)
-    ids = _named(cells.groupBy(*KEYS, "_session").agg(F.min("_primary").alias("_primary"))).select(
-        *KEYS, "_session", "incident_id"
-    )
-    by_cell = cells.select(*KEYS, "_session", "_cell").join(ids, [*KEYS, "_session"]).drop("_session")
+    # buckets of an incident already share a task (same key), so its first anomaly is a window away
+    whole = Window.partitionBy(*KEYS, "_session")
+    cells = _cells(anomalies, cooldown).withColumn("_primary", F.min("_primary").over(whole))
+    by_cell = _named(cells).select(*KEYS, "_cell", "incident_id")
     rows = with_bucket(_seen(anomalies), "seen_at", cooldown, "_cell").join(by_cell, [*KEYS, "_cell"])
     first = rows.groupBy("incident_id", "anomaly_id").agg(F.min("seen_at").alias("seen_at"))
     return positions(first, ["incident_id"], ["seen_at", "anomaly_id"], "seen_at")

@@ -808,6 +808,18 @@ def triage_evidence(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def evidence_assembled(s: SparkSession, d: str) -> DataFrame:
+    """Evidence with the run-book of the asset type and one caveat event, from live context."""
+    types = t.assets(s, d).select("tenant_id", "asset_id", "asset_type")
+    c = latest_context(s, d).join(types, ["tenant_id", "asset_id"], "left")
+    e = ev.triage_evidence(c, use_flags=False, asset_type="asset_type")
+    return e.select(
+        "evidence_id", "anomaly_id", "quality_event_ids", "quality_caveats",
+        F.transform("runbook_refs", lambda r: F.concat(r["runbook_id"], F.lit("#"), r["section"])).alias("runbooks"),
+    )
+
+
 @query
 def evidence_runbook(s: SparkSession, d: str) -> DataFrame:
     a = ctx.anomaly_context(t.anomalies(s, d), t.assets(s, d), t.components(s, d), t.tags(s, d))
@@ -829,6 +841,16 @@ def recommendations(s: SparkSession, d: str) -> DataFrame:
     return recommendation_rows(s, d)
 
 
+@query
+def recommendation_store(s: SparkSession, d: str) -> DataFrame:
+    r = recommendation_rows(s, d).withColumn("evidence_key", F.col("anomaly_id"))
+    stored = recommend.recommendation_rows(validate.validate_recommendations(r, evidence_rows(s, d)))
+    return stored.select(
+        "recommendation_id", "anomaly_id", "findings", "possible_causes", "runbook_references", "quality_caveats",
+        "status", "validation_status", "quarantine_reason",
+    )
+
+
 def responses(s: SparkSession, d: str) -> DataFrame:
     """Recorded model output: conversation texts as fenced JSON, bare JSON, JSON list or prose."""
     c = t.table(s, d, "conversations")

@@ -1051,6 +1051,17 @@ SELECT c.anomaly_id, CASE asset_type WHEN 'pump' THEN 'manufacturing_rotating_eq
     'industrial_asset_management_generic' ELSE 'generic_asset_triage' END AS runbook_id, a.metric_name AS section
 FROM v_context c JOIN v_anomalies a USING (anomaly_id)""")
 
+twin("evidence_assembled", f"""
+SELECT e.evidence_id, e.anomaly_id,
+  CASE WHEN list_contains(e.quality_flags, 'late_arrival') THEN
+    {sha1_id('qe_', "e.tenant_id || '|' || e.anomaly_id || '|quality_caveats'")} ELSE '' END AS quality_event_ids,
+  CASE WHEN list_contains(e.quality_flags, 'late_arrival') THEN
+    'Data contains late-arriving events during the anomaly window.' ELSE '' END AS quality_caveats,
+  CASE a.asset_type WHEN 'pump' THEN 'manufacturing_rotating_equipment' WHEN 'boiler' THEN
+    'power_generation_vibration' WHEN 'chiller' THEN 'campus_bms_checks' WHEN 'conveyor' THEN
+    'industrial_asset_management_generic' ELSE 'generic_asset_triage' END || '#' || e.metric_name AS runbooks
+FROM v_evidence e LEFT JOIN v_assets a ON e.tenant_id = a.tenant_id AND e.asset_id = a.asset_id""")
+
 twin("evidence_caveats", """
 SELECT event_id, array_to_string(list_filter([
   CASE WHEN event_no % 9 = 0 THEN 'Flatline (frozen sensor) detected during the anomaly window.' END,
@@ -1085,6 +1096,18 @@ FROM v_evidence""")
 
 twin("recommendations", "SELECT * EXCLUDE (event_no) FROM v_recommendations")
 
+
+
+def listed(c: str) -> str:
+    return f"CASE WHEN {c} = '' THEN '[]' ELSE '[\"' || replace({c}, '|', '\", \"') || '\"]' END"
+
+
+twin("recommendation_store", f"""
+SELECT recommendation_id, anomaly_id, {listed('findings')} AS findings, {listed('possible_causes')} AS possible_causes,
+  {listed('runbook_references')} AS runbook_references, {listed('quality_caveats')} AS quality_caveats, status,
+  'valid' AS validation_status, CAST(NULL AS VARCHAR) AS quarantine_reason
+FROM v_recommendations""")
+
 twin("diagnosis_project", """
 SELECT recommendation_id AS diagnosis_id, tenant_id, asset_id, component_id, anomaly_id AS anomaly_event_id,
   summary AS diagnosis_summary, possible_causes AS probable_causes, related_signals, related_failure_modes,

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantpulse.functions.once import computed_once
+
 ERROR = "struct<field_path:string,error_code:string,message:string>"
 _MAP = "map<string,variant>"
 
@@ -84,8 +86,7 @@ def contract_errors(lines: DataFrame, contract: dict[str, Any] = RAW_READING, va
         .when(~is_object, F.array(_error("/", "invalid_json", F.lit("JSONL record must be an object"))))
         .otherwise(F.sort_array(F.array_except(F.concat(*found), no_error)))
     )
-    # the generator keeps the optimizer from copying the checks into every later filter and column
-    out = out.select(*lines.columns, F.inline(F.array(F.struct(errors.alias("errors")))))
+    out = computed_once(out, errors=errors).select(*lines.columns, "errors")
     first = F.try_element_at(F.col("errors"), F.lit(1))
     return out.withColumns(
         {"error_code": first["error_code"], "field_path": first["field_path"], "message": first["message"]}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.ids import caveat_event_id, evidence_id, key_text, sha1_id
+from plantpulse.functions.once import computed_once
 from plantpulse.functions.text import lookup, sorted_set, spaced_json
 from plantpulse.functions.times import iso_z
 from plantpulse.operators.quality import check_of_flag
@@ -152,9 +153,10 @@ def triage_evidence(
     caveats = evidence_caveats(F.col("quality_flags"), F.size("sensor_window") == 0)
     df = context
     if use_flags:
-        df = df.withColumn("quality_events", quality_events_in_row())
+        df = computed_once(df, quality_events=quality_events_in_row())
     else:
-        df = df.withColumn("quality_caveats", caveats).withColumn("quality_events", caveat_event(F.col("quality_caveats")))
+        df = computed_once(df, quality_caveats=caveats)
+        df = df.withColumn("quality_events", caveat_event(F.col("quality_caveats")))
     none = F.lit(None).cast("string")
     ids = F.array_sort(F.array_distinct(F.transform("quality_events", lambda q: q["quality_event_id"])))
     df = df.withColumns(

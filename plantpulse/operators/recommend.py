@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.ids import key_text, recommendation_id, sha1_id
+from plantpulse.functions.once import computed_once
 from plantpulse.functions.text import json_list, sorted_set
 from plantpulse.functions.times import iso_z
 
@@ -57,7 +58,7 @@ def recommendations(evidence: DataFrame, created_at: Column, related_signals: Co
     metric = F.coalesce(F.nullif("metric_name", F.lit("")), F.lit("metric"))
     asset = F.coalesce(F.nullif("asset_id", F.lit("")), F.lit("asset"))
     component = F.coalesce("component_id", F.lit(""))
-    df = evidence.withColumn("_caveats", quality_caveats())
+    df = computed_once(evidence, _caveats=quality_caveats())
     doubtful = F.size("_caveats") > 0
     slash = F.when(component != "", F.concat(F.lit("/"), component)).otherwise(F.lit(""))
     if related_signals is None:
@@ -135,7 +136,7 @@ def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame
     head = F.regexp_replace(bare, r"^[^\n]*(\n|$)", "")
     inner = strip(F.regexp_replace(head, r"(^|\n)```[^\n]*$", ""))
     cleaned = F.when(bare.startswith("```"), inner).otherwise(bare)
-    out = responses.withColumn("cleaned", cleaned)
+    out = computed_once(responses, cleaned=cleaned)
     kind = F.schema_of_variant(F.try_parse_json(F.col("cleaned")))
     ok = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     return out.withColumn("parsed_status", F.when(ok, F.lit("parsed_json")).otherwise(F.lit("non_json")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.ids import quarantine_id
+from plantpulse.functions.once import computed_once
 from plantpulse.functions.text import sorted_set
 from plantpulse.operators.contracts import contract_errors
 
@@ -139,7 +140,7 @@ def validate_recommendations(recommendations: DataFrame, evidence: DataFrame, on
     reasons = [F.filter(own, lambda e: e.isNotNull()), F.coalesce(unsupported, F.array().cast("array<string>"))]
     if "schema_messages" in df.columns:
         reasons.append(F.coalesce("schema_messages", F.array().cast("array<string>")))
-    df = df.withColumn("_reasons", sorted_set(F.concat(*reasons)))
+    df = computed_once(df, _reasons=sorted_set(F.concat(*reasons)))
     bad = F.size("_reasons") > 0
     return df.withColumns(
         {
@@ -164,7 +165,7 @@ def validate_diagnoses(diagnoses: DataFrame, evidence: DataFrame, on: str = "evi
         F.when(_is_empty("recommended_checks"), F.lit("empty_recommended_checks")),
         F.when(text.rlike(rf"(?i)\b({BANNED_IN_DIAGNOSIS})\b"), F.lit("banned_autonomous_claim")),
     )
-    df = df.withColumn("failure_reasons", sorted_set(F.filter(own, lambda e: e.isNotNull())))
+    df = computed_once(df, failure_reasons=sorted_set(F.filter(own, lambda e: e.isNotNull())))
     bad = F.size("failure_reasons") > 0
     # the quarantine id belongs to the evidence, whatever tenant or anomaly the diagnosis names
     named = df.withColumns({"_t": F.col("tenant_id"), "_a": F.col("anomaly_id")})

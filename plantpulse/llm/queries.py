@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import token_counts
+from plantpulse.llm import bitpack, token_counts
 from plantpulse.llm.shared import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -17,8 +17,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.packed_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op9_packed_ids": op9_packed_ids,
 }
 
 TWINS: dict[str, str] = {}

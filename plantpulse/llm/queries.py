@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import bitpack, token_counts
+from plantpulse.llm import bitpack, simhash, token_counts
 from plantpulse.llm.shared import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
@@ -22,6 +26,7 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_copies": op3_near_copies,
     "op4_token_counts": op4_token_counts,
     "op9_packed_ids": op9_packed_ids,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import bitpack, simhash, token_counts
+from plantpulse.llm import bitpack, quality, simhash, token_counts
 from plantpulse.llm.shared import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -25,10 +25,15 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_copies": op3_near_copies,
     "op4_token_counts": op4_token_counts,
     "op9_packed_ids": op9_packed_ids,
+    "op10_quality": op10_quality,
 }
 
 TWINS: dict[str, str] = {}

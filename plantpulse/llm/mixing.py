@@ -85,7 +85,7 @@ def balance(counts: DataFrame, targets: DataFrame, most: float = 3.0) -> DataFra
         )
         over = F.col("got") - F.col("target")
         low, high = F.when(over < 0, F.col("lam")).otherwise(F.col("low")), F.when(over > 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - over / F.col("slope")
+        newton = F.col("lam") - F.try_divide(over, F.col("slope"))
         inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
         close = F.coalesce((F.abs(over) <= CLOSE * F.col("target")) | (high - low <= 1e-15 * F.abs(high)), F.lit(False))
         state = written(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import bitpack, decontaminate, mixing, quality, simhash, token_counts
+from plantpulse.llm import bitpack, decontaminate, mixing, ppm, quality, simhash, token_counts, warc
 from plantpulse.llm.shared import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -29,6 +29,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_copies": op3_near_copies,
     "op4_token_counts": op4_token_counts,
+    "op6_warc": op6_warc,
+    "op8_lm_scores": op8_lm_scores,
     "op9_packed_ids": op9_packed_ids,
     "op10_quality": op10_quality,
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -32,69 +33,77 @@ SHARD_BYTES = 8 << 20
 FOLD = bytes((i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32) for i in range(256))
 
 SPAN = StructType([StructField("start", LongType()), StructField("stop", LongType())])
-FOUND = [StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN)), StructField("items", ArrayType(StringType()))]
+FOUND = {"n_words": LongType(), "spans": ArrayType(SPAN), "items": ArrayType(StringType())}
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-class Windows:
-    """The distinct windows of some benchmark items, as numbers of a vocabulary, and the items that have them."""
+def windows_of(items: list[tuple], size: int) -> SimpleNamespace:
+    """The distinct windows of some benchmark items, as numbers of a vocabulary, and the items that have them.
 
-    def __init__(self, items: list[tuple], size: int):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set[str]] = {}
-        for name, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(numbers) - size + 1) if numbers else 0):
-                owners.setdefault(tuple(numbers[at : at + size]), set()).add("" if name is None else str(name))
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.patterns = np.zeros((len(owners), size), np.int32)
-        for row, window in enumerate(owners):
-            self.patterns[row, size - len(window) :] = window
-        self.names = sorted(set().union(*owners.values()))
-        number = {name: i for i, name in enumerate(self.names)}
-        self.items = np.array([number[x] for some in owners.values() for x in some], np.int64)
-        self.many = np.array([len(some) for some in owners.values()], np.int64)
+    A plain namespace, as broadcasts pickle classes by name.
+    """
+    vocabulary: dict[bytes, int] = {}
+    owners: dict[tuple, set[str]] = {}
+    for name, text in items:
+        numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        for at in range(max(1, len(numbers) - size + 1) if numbers else 0):
+            owners.setdefault(tuple(numbers[at : at + size]), set()).add("" if name is None else str(name))
+    patterns = np.zeros((len(owners), size), np.int32)
+    for row, window in enumerate(owners):
+        patterns[row, size - len(window) :] = window
+    names = sorted(set().union(*owners.values()))
+    number = {name: i for i, name in enumerate(names)}
+    return SimpleNamespace(
+        vocabulary=vocabulary,
+        patterns=patterns,
+        lengths=np.array([len(w) for w in owners], np.int64),
+        names=names,
+        items=np.array([number[x] for some in owners.values() for x in some], np.int64),
+        many=np.array([len(some) for some in owners.values()], np.int64),
+    )
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, spans (merged ranges of word places hit) and items (sorted ids, as text, that occur).
 
     ``benchmark`` has item_id and text. An item of fewer words than a window is one window; one of none has
     none. Null texts have no words; an item's null id is listed as the empty text; repeated rows of either
-    table change nothing for other rows. Columns of ``docs`` with the three names are replaced, others kept.
+    table change nothing for other rows. The three names start with ``prefix``; columns of ``docs`` with
+    these names are replaced, others kept.
     """
     size = F.greatest(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-total // block_words))
-    out = docs.drop(*[f.name for f in FOUND])
+    found = [StructField(prefix + name, kind) for name, kind in FOUND.items()]
+    out = docs.drop(*[f.name for f in found])
     for block in range(blocks):
         chosen = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        out = _search(out, Windows([tuple(x) for x in chosen.select("item_id", "text").collect()], window), first=block == 0)
+        out = _search(out, windows_of([tuple(x) for x in chosen.select("item_id", "text").collect()], window), found, first=block == 0)
     return out
 
 
-def _search(docs: DataFrame, windows: Windows, first: bool) -> DataFrame:
+def _search(docs: DataFrame, windows: SimpleNamespace, found: list[StructField], first: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(windows)
-    kept = [f for f in docs.schema.fields if first or f.name not in [x.name for x in FOUND]]
+    kept = [f for f in docs.schema.fields if first or f.name not in [x.name for x in found]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of_texts(batches, "text", SHARD_BYTES):
-            before = None if first else batch.select(["spans", "items"]).to_pylist()
+            before = None if first else [{"spans": s, "items": i} for s, i in zip(*(batch.column(f.name).to_pylist() for f in found[1:]), strict=True)]
             n_words, spans, items = search_shard(batch.column("text"), shared.value, before)
-            found = [
+            columns = [
                 pa.array(n_words, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 pa.array(items, pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *found], names=[f.name for f in [*kept, *FOUND]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], names=[f.name for f in [*kept, *found]])
 
-    return docs.mapInArrow(run, StructType([*kept, *FOUND]))
+    return docs.mapInArrow(run, StructType([*kept, *found]))
 
 
-def search_shard(texts: pa.Array, windows: Windows, before: list[dict] | None = None) -> tuple[np.ndarray, list, list]:
+def search_shard(texts: pa.Array, windows: SimpleNamespace, before: list[dict] | None = None) -> tuple[np.ndarray, list, list]:
     """Number of words, merged spans and sorted items of each text; ``before`` has earlier blocks' spans and items."""
     get, numbers, sizes = windows.vocabulary.get, [], []
     end = np.zeros(1, np.int32)
@@ -127,7 +136,7 @@ def search_shard(texts: pa.Array, windows: Windows, before: list[dict] | None =
     return sizes, spans, [sorted(x) for x in items]
 
 
-def _occurrences(flat: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+def _occurrences(flat: np.ndarray, windows: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
     """Place in ``flat`` and row of every occurrence of a window."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(windows.lengths):
@@ -158,6 +167,11 @@ def leak_counts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, unchanged."""
+    return find_leaks(docs, benchmark, prefix="__leak_").where(F.size("__leak_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def without_spans(docs: DataFrame) -> DataFrame:
     """Documents of find_leaks() with the words of all spans, and what stands between them, cut out of ``text``."""
     at = [f.name for f in docs.schema.fields].index("text")

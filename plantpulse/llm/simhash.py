@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -204,9 +204,25 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 
 def classes(rows: DataFrame, radius: int) -> DataFrame:
-    """fingerprint, component_id and first_id (the smallest doc_id of the fingerprint), one row per fingerprint."""
+    """fingerprint, root (a fingerprint, one per component) and component_id, one row per fingerprint of ``rows``."""
     distinct = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(distinct.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
     named = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return named.join(smallest, "root").select("fingerprint", "component_id", "first_id")
+    return named.join(smallest, "root").select("fingerprint", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` without all but one row of each component of near_copies(), with all its columns.
+
+    The row of the smallest doc_id stays, a row without an id only where no other has one; of rows that
+    share this id, one of the smallest hash of id and text.
+    """
+    mark = F.xxhash64("doc_id", "text")
+    rows = written(fingerprints(docs.select("doc_id", "text", mark.alias("h")), words).select("doc_id", "h", "fingerprint"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    kept = rows.join(classes(rows, radius), "fingerprint").groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    own = docs.withColumn("__own", mark)
+    found = own.join(kept, F.expr("doc_id <=> __id and __own = __h"))
+    nth = F.row_number().over(Window.partitionBy("__id", "__h").orderBy("text"))
+    return found.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

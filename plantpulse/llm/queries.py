@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import bitpack, decontaminate, mixing, ppm, quality, simhash, token_counts, topk, warc
+from plantpulse.llm import bitpack, decontaminate, mixing, ppm, quality, simhash, suffixes, token_counts, topk, warc
 from plantpulse.llm.shared import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_top_k": op5_top_k,
     "op6_warc": op6_warc,
+    "op7_repeats": op7_repeats,
     "op8_lm_scores": op8_lm_scores,
     "op9_packed_ids": op9_packed_ids,
     "op10_quality": op10_quality,

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from plantpulse.llm.bytebpe import ByteBPE, Encoder
 from plantpulse.llm.postings import document_sums, postings
 
+#: Larger than the default: fewer chunks repeat fewer pre-tokens.
+CHUNK_BYTES = 16 << 20
 #: Postings of more bytes are dealt out by chunk as well as by pre-token.
 LONG_POSTING = 1024
 
@@ -39,7 +41,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     Other columns of ``docs`` are not read.
     """
     salt = F.when(F.octet_length("posting") > LONG_POSTING, F.col("chunk")).otherwise(0)
-    rows = postings(docs, lambda: ByteBPE(path).units).select("chunk", "term", "posting", "about").repartition("term", salt)
+    rows = postings(docs, lambda: ByteBPE(path).units, chunk_bytes=CHUNK_BYTES).select("chunk", "term", "posting", "about").repartition("term", salt)
     return document_sums(rows, lambda: piece_counter(path), ["n_tokens"]).select(
         "doc_id", "n_bytes", F.col("n_tokens").cast("long").alias("n_tokens"), (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -5,8 +5,8 @@ and no rate exceeds ``most``. The solution tilts exponentially, r = min(most, ex
 document's words over its source's mean; lambda, one per source, solves the convex dual. Each Newton
 iteration is one Spark aggregation of all sources' gradients and curvatures over the counts of documents
 per source and size (documents of one source and size have one rate). A step that leaves the bracket of
-its source is replaced by bisection. The rates are rounded to whole copies so that what one size is short
-of or has too much goes on to the next smaller size of its source.
+its source is replaced by bisection. The rates are rounded to whole copies, from the largest size of a source to the
+smallest: what one size is short of or has too much goes on to the next, within what the smaller ones can take.
 """
 
 from __future__ import annotations
@@ -107,11 +107,21 @@ def copies(counts: DataFrame, solution: DataFrame, most: float = 3.0) -> DataFra
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", ascending=False, ignore_index=True)
+        size, n, rate = (group[c].to_numpy() for c in ("size", "n", "rate"))
         total, carry = np.zeros(len(group), np.int64), 0.0
-        for i, (size, n, r) in enumerate(zip(group["size"].tolist(), group["n"].tolist(), group["rate"].tolist(), strict=True)):
-            want = n * r + (carry / size if size else 0.0)
-            total[i] = min(max(round(want), 0), int(most) * n)
-            carry = (want - total[i]) * size
+        left = float((n * rate * size).sum())
+        smaller = most * (np.cumsum((n * size)[::-1])[::-1] - n * size)  # words that smaller sizes can take
+        for i in range(len(group)):
+            if not size[i]:
+                total[i] = n[i]
+                continue
+            want = n[i] * rate[i] + carry / size[i]
+            least, largest = math.ceil((left - smaller[i]) / size[i] - 1e-9), math.floor(left / size[i] + 1e-9)
+            if least > largest:  # no whole number leaves what smaller sizes can take: the nearer one
+                least = largest = least if least * size[i] - left < left - largest * size[i] - smaller[i] else largest
+            total[i] = min(max(round(want), least, 0), max(largest, 0), int(most) * n[i])
+            carry = (want - total[i]) * size[i]
+            left -= total[i] * size[i]
         return group.assign(total=total)
 
     return rated.groupBy("s").applyInPandas(rounded, "s int, size bigint, n bigint, rate double, total bigint")

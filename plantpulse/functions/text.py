@@ -6,9 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _json_char(c: Column) -> Column:
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+    code = F.ascii(c)
+    over = code - 0x10000
+    pair = F.concat(unit(F.shiftright(over, 10) + 0xD800), unit(over.bitwiseAND(0x3FF) + 0xDC00))
+    out = F.when(c == "\\", F.lit("\\\\")).when(c == '"', F.lit('\\"'))
+    for char, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = out.when(c == char, F.lit(short))
+    return out.when((code >= 32) & (code < 127), c).when(code < 0x10000, unit(code)).otherwise(pair)
+
+
 def json_quote(col: Column) -> Column:
-    """A JSON string literal, or ``null``; non-ASCII text is left as it is."""
-    escaped = F.replace(F.replace(col.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    """A JSON string literal in ASCII, or ``null``: other characters are escaped as ``\\uXXXX``, lower case."""
+    text = col.cast("string")
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    spelled = F.array_join(F.transform(F.split(text, ""), _json_char), "")
+    escaped = F.when(text.rlike(r"[^ -~]"), spelled).otherwise(plain)
     return F.when(col.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions.once import computed_once
@@ -115,7 +115,8 @@ def contract_split(
 
 def contract_summary(lines: DataFrame, contract: dict[str, Any] = RAW_READING, value: str = "value") -> DataFrame:
     """Long-format totals: ``total_records``, ``accepted_records``, ``rejected_records`` and one
-    ``errors:<code>`` row per code.  One pass over the lines; empty input reports no_input_records."""
+    ``errors:<code>`` row per code.  One pass over the lines; totals of zero are listed, and
+    empty input has the row ``errors:no_input_records``."""
     checked = contract_errors(lines, contract, value).select("errors")
     rejected = F.size("errors") > 0
     codes = F.transform(F.col("errors"), lambda e: F.concat(F.lit("errors:"), e["error_code"]))
@@ -123,7 +124,14 @@ def contract_summary(lines: DataFrame, contract: dict[str, Any] = RAW_READING, v
         F.array(F.lit("total_records"), F.when(rejected, F.lit("rejected_records")).otherwise(F.lit("accepted_records"))),
         codes,
     )
-    totals = checked.select(F.explode(counted).alias("measure")).groupBy("measure").agg(F.count(F.lit(1)).alias("n"))
+    found = checked.select(F.explode(counted).alias("measure"), F.lit(1).alias("n"))
+    always = F.array(*[F.lit(m) for m in ("total_records", "accepted_records", "rejected_records", "errors:no_input_records")])
+    zeros = lines.sparkSession.range(1).select(F.explode(always).alias("measure"), F.lit(0).alias("n"))
+    totals = found.union(zeros).groupBy("measure").agg(F.sum("n").alias("n"))
+    empty = F.max(F.when(F.col("measure") == "total_records", F.col("n"))).over(Window.partitionBy()) == 0  # a few rows
+    is_empty_row = F.col("measure") == "errors:no_input_records"
+    totals = totals.withColumn("_empty", empty).filter(~is_empty_row | F.col("_empty"))
+    totals = totals.select("measure", F.when(is_empty_row, F.lit(1)).otherwise(F.col("n")).alias("n"))
     return totals.withColumn("schema_checked", F.lit(f"{contract['title']}.schema.json"))
 
 

@@ -69,43 +69,36 @@ def resolve_fault_type(flags: Column, param_fault: Column | None = None) -> Colu
 def series_summary(readings: DataFrame) -> DataFrame:
     """One row per series: count, first and last reading, moments without the last reading, flags.
 
-    Every measure combines map-side, so a series with a third of all rows costs no more
-    than others.  Mean and deviation of "all but the last" are taken from the whole
-    series' moments; whether those readings are all equal is decided exactly, by
-    comparing an order-free hash sum with that of n - 1 copies of the first value.
+    Both aggregations combine map-side, so a series with a third of all rows costs no more
+    than others.  The last reading is left out before the moments are taken: taking it out of
+    the whole series' moments would lose their digits where it is an extreme outlier.
     """
     row = F.struct(*ORDER, "value", *_PASSENGERS)
-    value_hash = F.xxhash64(F.col("value") + F.lit(0.0)).cast("decimal(38,0)")
     s = readings.groupBy(*SERIES).agg(
         F.count("value").alias("n"),
         F.min(row).alias("first"),
         F.max(row).alias("last"),
-        F.avg("value").alias("mean_all"),
-        F.var_pop("value").alias("var_all"),
-        F.sum(value_hash).alias("hash_all"),
         F.flatten(F.collect_set("quality_flags")).alias("flags"),
     )
     n, x = F.col("n"), F.col("last.value")
-    mean = F.col("mean_all") + (F.col("mean_all") - x) / (n - 1)
-    spread = F.col("var_all") * n - (x - mean) * (x - F.col("mean_all"))
-
-    def h(v: str) -> Column:
-        return F.xxhash64(F.col(v) + F.lit(0.0)).cast("decimal(38,0)")
-
-    constant = F.col("hash_all") - h("last.value") == h("first.value") * (n - 1).cast("decimal(10,0)")
-    several = n > 1
-    return s.select(
+    ends = s.select(*SERIES, *[F.col(f"last.{c}").alias(f"_last_{c}") for c in ORDER])
+    is_last = F.lit(True)
+    for c in ORDER:
+        is_last = is_last & F.col(c).eqNullSafe(F.col(f"_last_{c}"))
+    base = readings.join(ends, list(SERIES)).filter(~is_last).groupBy(*SERIES).agg(
+        F.avg("value").alias("base_mean"),
+        F.when(F.min("value") == F.max("value"), F.lit(0.0)).otherwise(F.stddev_pop("value")).alias("base_stddev"),
+    )
+    return s.join(base, list(SERIES), "left").select(
         *SERIES,
-        n.cast("int").alias("event_count"),
+        n.alias("event_count"),
         F.col("first.event_time").alias("window_start"),
         F.col("last.event_time").alias("window_end"),
         F.col("first.value").alias("first_value"),
         x.alias("last_value"),
         *[F.col(f"first.{c}").alias(c) for c in _PASSENGERS],
-        F.when(several, mean).alias("base_mean"),
-        F.when(several, F.when(constant, F.lit(0.0)).otherwise(F.sqrt(F.greatest(spread / (n - 1), F.lit(0.0))))).alias(
-            "base_stddev"
-        ),
+        "base_mean",
+        "base_stddev",
         sorted_set(F.col("flags")).alias("quality_flags"),
     )
 
@@ -132,8 +125,10 @@ def anomaly_rows(
     breach_count: Column,
     confidence: Column | float = 0.9,
     fault_type: Column | None = None,
+    failure_mode: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Shape rows that carry series, window and source columns into anomaly rows."""
+    """Shape rows that carry series, window and source columns into anomaly rows, with the columns ``keep`` behind."""
 
     def col(c: Column | str | float) -> Column:
         return c if isinstance(c, Column) else F.lit(c)
@@ -155,16 +150,17 @@ def anomaly_rows(
         baseline.cast("double").alias("baseline_value"),
         expected.cast("double").alias("expected_value"),
         "event_count",
-        breach_count.cast("int").alias("breach_count"),
+        breach_count.cast("long").alias("breach_count"),
         "window_start",
         "window_end",
         col(severity).alias("severity"),
         "quality_flags",
         F.lit(None).cast("array<string>").alias("quality_event_ids"),
         (fault_type if fault_type is not None else resolve_fault_type(F.col("quality_flags"))).alias("fault_type"),
-        F.lit(None).cast("string").alias("failure_mode_id"),
+        (F.lit(None) if failure_mode is None else failure_mode).cast("string").alias("failure_mode_id"),
         col(confidence).cast("double").alias("detection_confidence"),
         "source_event_ids",
+        *keep,
     )
 
 
@@ -263,7 +259,7 @@ def detect_heartbeat_gap(
     pairs = pairs.withColumns(
         {
             **{c: F.col(f"previous.{c}") for c in _PASSENGERS},
-            "event_count": F.lit(2),
+            "event_count": F.lit(2).cast("long"),
             "quality_flags": sorted_set(flags),
             "source_event_ids": F.array("previous.event_id", "current.event_id"),
         }
@@ -295,7 +291,7 @@ def detect_flatline(readings: DataFrame, points: int = FLATLINE_POINTS) -> DataF
             **{c: first[c] for c in _PASSENGERS},
             "window_start": first["event_time"],
             "window_end": F.element_at("rows", -1)["event_time"],
-            "event_count": F.lit(points),
+            "event_count": F.lit(points).cast("long"),
             "quality_flags": sorted_set(F.flatten(F.transform("rows", lambda r: r["quality_flags"]))),
             "source_event_ids": F.slice(F.transform("rows", lambda r: r["event_id"]), 1, MAX_SOURCE_IDS),
         }
@@ -357,7 +353,7 @@ def detector_features(
                 "window_stddev": F.when(
                     F.min("value").over(recent) == F.max("value").over(recent), F.lit(0.0)
                 ).otherwise(F.stddev_pop("value").over(recent)),
-                "event_count": F.count("value").over(recent).cast("int"),
+                "event_count": F.count("value").over(recent),
                 "window_start": F.min("event_time").over(recent),
                 "source_event_ids": F.collect_list("event_id").over(recent),
             }
@@ -398,13 +394,17 @@ class Verdict:
 
 
 def spike_verdict(
-    multiplier: Column | float = SPIKE_MULTIPLIER, upper: Column | None = None, lower: Column | None = None
+    multiplier: Column | float = SPIKE_MULTIPLIER,
+    upper: Column | None = None,
+    lower: Column | None = None,
+    given: Column | None = None,
 ) -> Verdict:
     """Bounds first, then the multiplier test, which is always made and overrides the expectation.
-    A rolling mean of exactly 0 counts as missing."""
+    A rolling mean of exactly 0 counts as missing; then the ``given`` baseline is taken, else 0."""
     x = F.col("observed_value")
     zero = F.lit(0.0)
-    base = F.coalesce(F.nullif(F.col("rolling_baseline_mean"), zero), zero)
+    given = F.lit(None).cast("double") if given is None else given
+    base = F.coalesce(F.nullif(F.col("rolling_baseline_mean"), zero), F.nullif(given, zero), zero)
     upper = F.lit(None).cast("double") if upper is None else upper
     lower = F.lit(None).cast("double") if lower is None else lower
     expected = F.when(x >= base * multiplier, base * multiplier).when(x <= lower, lower).when(x >= upper, upper)
@@ -465,16 +465,25 @@ def flatline_verdict(points: Column | int = FLATLINE_WINDOW_POINTS) -> Verdict:
     )
 
 
-def window_anomalies(features: DataFrame, verdict: Verdict) -> DataFrame:
-    """Anomaly rows for the feature rows a verdict hits.  Narrow: no shuffle."""
+def window_anomalies(features: DataFrame, verdict: Verdict, with_cleared: bool = False) -> DataFrame:
+    """Anomaly rows for the feature rows a verdict hits.  Narrow: no shuffle.
+
+    A window's own ``breach_count`` and ``failure_mode_id`` are kept where it has them.
+    ``with_cleared`` keeps the rows not hit as well and tells them by the column ``cleared``.
+    """
+    given = {c: F.col(c) if c in features.columns else F.lit(None) for c in ("breach_count", "failure_mode_id")}
+    hit = F.coalesce(verdict.hit, F.lit(False))
+    rows = features.withColumn("cleared", ~hit) if with_cleared else features.filter(hit)
     return anomaly_rows(
-        features.filter(verdict.hit),
+        rows,
         verdict.rule_id,
         severity=verdict.severity,
         observed=verdict.observed,
         baseline=verdict.baseline,
         expected=verdict.expected,
-        breach_count=F.lit(None),
+        breach_count=given["breach_count"],
         confidence=verdict.confidence,
         fault_type=verdict.fault_type,
+        failure_mode=given["failure_mode_id"],
+        keep=("cleared",) if with_cleared else (),
     )

@@ -44,8 +44,11 @@ def check_mapping(readings: DataFrame, tags: DataFrame) -> DataFrame:
 
     The mapping is looked up by tag id; a tag known only under other tenants, or in
     another unit, is an error.  One join: tenants that share a tag id sit in a small map.
+    Of several mappings of one tag and tenant the newest (``updated_at``, where given) counts.
     """
-    per_tag = tags.groupBy("tag_id").agg(
+    newest = F.struct(*[c for c in ("updated_at",) if c in tags.columns], "unit")
+    single = tags.groupBy("tag_id", "tenant_id").agg(F.max(newest)["unit"].alias("unit"))
+    per_tag = single.groupBy("tag_id").agg(
         F.map_from_entries(F.collect_list(F.struct("tenant_id", F.col("unit").alias("mapped_unit")))).alias("_units")
     )
     units = F.col("_units")

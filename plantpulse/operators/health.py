@@ -25,7 +25,7 @@ def health_snapshot(
         .groupBy("tenant_id", "observed_at")
         .agg(
             F.max(seconds("event_time", "ingest_time")).alias("watermark_lag_seconds"),
-            F.count_if(whole_seconds("event_time", "ingest_time") > max_lag_seconds).cast("int").alias("late_event_count"),
+            F.count_if(whole_seconds("event_time", "ingest_time") > max_lag_seconds).alias("late_event_count"),
         )
     )
     base = _with_count(base, dead_letters, "event_time", width, "dlq_count")
@@ -48,6 +48,6 @@ def _with_count(base: DataFrame, rows: DataFrame | None, time_col: str, width: s
     if rows is None:
         return base.withColumn(name, F.lit(0))
     counts = with_bucket(rows, time_col, width, "observed_at").groupBy("tenant_id", "observed_at").agg(
-        F.count(F.lit(1)).cast("int").alias(name)
+        F.count(F.lit(1)).alias(name)
     )
     return base.join(counts, ["tenant_id", "observed_at"], "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -98,7 +98,7 @@ def incidents(anomalies: DataFrame, cooldown: str = COOLDOWN) -> DataFrame:
         *KEYS,
         "first_seen_at",
         "last_seen_at",
-        F.col("anomaly_count").cast("int").alias("anomaly_count"),
+        F.col("anomaly_count").alias("anomaly_count"),
         severity.alias("max_severity"),
         F.col("_primary.anomaly_id").alias("primary_anomaly_id"),
         F.lit("open").alias("status"),

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.operators import detectors as d
 from plantpulse.operators.scope import in_force
-from plantpulse.operators.series import within
 
-MAX_BROADCAST_RULES = 20_000
 
 # The shipped rules (profile, asset type, component type, metric, unit, rule,
 # name, method, severity, parameters, owner).
@@ -92,8 +90,9 @@ def apply_rules(
     have = set(features.columns)
     upper = F.col("profile_critical_max") if "profile_critical_max" in have else None
     lower = F.col("profile_critical_min") if "profile_critical_min" in have else None
+    given = F.col("baseline_value") if "baseline_value" in have else None
     verdicts = {
-        "static_threshold": d.spike_verdict(parameter("multiplier", d.SPIKE_MULTIPLIER), upper, lower),
+        "static_threshold": d.spike_verdict(parameter("multiplier", d.SPIKE_MULTIPLIER), upper, lower, given),
         "rolling_baseline_zscore": d.zscore_verdict(parameter("zscore_threshold", d.ZSCORE_LIMIT)),
         "slope_over_window": d.drift_verdict(parameter("max_slope_per_hour", d.MAX_SLOPE)),
         "repeated_value_window": d.flatline_verdict(parameter("min_repeated_points", d.FLATLINE_WINDOW_POINTS)),
@@ -107,9 +106,7 @@ def apply_rules(
             out = F.when(cond, pick(verdict)) if out is None else out.when(cond, pick(verdict))
         return out
 
-    # rules are governed by hand; a table above the bound falls back to an ordinary join
-    side = F.broadcast(r) if within(r, MAX_BROADCAST_RULES) else r
-    hits = features.join(side, match).filter(by_method(lambda v: v.hit))
+    hits = features.join(r, match).filter(by_method(lambda v: v.hit))
     own_fault = d.resolve_fault_type(F.col("quality_flags"))
     return d.anomaly_rows(
         hits,
@@ -118,7 +115,8 @@ def apply_rules(
         observed=by_method(lambda v: v.observed),
         baseline=by_method(lambda v: v.baseline),
         expected=by_method(lambda v: v.expected),
-        breach_count=F.lit(None),
+        breach_count=F.col("breach_count") if "breach_count" in have else F.lit(None),
         confidence=by_method(lambda v: v.confidence),
         fault_type=by_method(lambda v: own_fault if v.fault_type is None else v.fault_type),
+        failure_mode=F.col("failure_mode_id") if "failure_mode_id" in have else None,
     )

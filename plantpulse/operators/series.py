@@ -30,28 +30,20 @@ def busy_series(
     return per_series.filter(F.col("_rows") > target_rows).select(*keys, width.alias("_width"))
 
 
-def within(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (reads no more than that plus one)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def with_chunks(
     df: DataFrame,
     keys: Sequence[str] = SERIES,
     time_col: str = "event_time",
     target_rows: int = 1_000_000,
-    max_broadcast: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``(df with _chunk, busy series)``.  Series below ``target_rows`` have the single chunk 0.
 
-    The list of busy series can hold at most ``rows / target_rows`` entries.  It is
-    counted first and broadcast only up to ``max_broadcast`` rows; beyond that it is an
-    ordinary join that Spark sizes at run time.
+    The list of busy series can hold at most ``rows / target_rows`` entries; Spark sizes
+    its join at run time.
     """
     busy = busy_series(df, keys, time_col, target_rows)
-    side = F.broadcast(busy) if within(busy, max_broadcast) else busy
     chunk = F.coalesce(F.floor(epoch_seconds(time_col) / F.col("_width")), F.lit(0)).cast("bigint")
-    return df.join(side, list(keys), "left").withColumn("_chunk", chunk), busy
+    return df.join(busy, list(keys), "left").withColumn("_chunk", chunk), busy
 
 
 def with_halo(

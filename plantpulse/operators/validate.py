@@ -114,15 +114,31 @@ def _evidence_side(evidence: DataFrame) -> DataFrame:
     )
 
 
-def validate_recommendations(recommendations: DataFrame, evidence: DataFrame, on: str = "evidence_key") -> DataFrame:
+#: Columns that name the tenant and the anomaly of the evidence that a row was made from.
+EVIDENCE_KEY = ("evidence_tenant", "evidence_key")
+
+
+def _paired(rows: DataFrame, evidence: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """Rows with their evidence; a row without any keeps NULL there.  Ids are unique within a tenant only."""
+    same = (F.col(on[0]) == F.col("_tenant_id")) & (F.col(on[1]) == F.col("_anomaly_id"))
+    return rows.join(_evidence_side(evidence), same, "left")
+
+
+def _or_missing(reasons: Column) -> Column:
+    return F.when(F.col("_anomaly_id").isNull(), F.array(F.lit("missing_evidence"))).otherwise(reasons)
+
+
+def validate_recommendations(
+    recommendations: DataFrame, evidence: DataFrame, on: tuple[str, str] = EVIDENCE_KEY
+) -> DataFrame:
     """Recommendations with ``validation_status`` (valid, quarantined) and ``quarantine_reason``.
 
-    Both sides are paired by the anomaly id column ``on`` of the recommendation (the
-    evidence it was made from), so a recommendation that *names* another anomaly or
-    tenant is caught.  ``schema_messages`` (from :func:`contract_messages`) join the
-    reasons where present.
+    Both sides are paired by the columns ``on`` of the recommendation (tenant and anomaly of
+    the evidence it was made from), so a recommendation that *names* another anomaly or
+    tenant is caught, and one without evidence is quarantined as ``missing_evidence``.
+    ``schema_messages`` (from :func:`contract_messages`) join the reasons where present.
     """
-    df = recommendations.join(_evidence_side(evidence), F.col(on) == F.col("_anomaly_id"))
+    df = _paired(recommendations, evidence, on)
     banned = _joined(df, ["summary", "findings", "possible_causes", "recommended_checks"])
     unsupported = F.when(
         F.size("_allowed") > 0,
@@ -140,7 +156,7 @@ def validate_recommendations(recommendations: DataFrame, evidence: DataFrame, on
     reasons = [F.filter(own, lambda e: e.isNotNull()), F.coalesce(unsupported, F.array().cast("array<string>"))]
     if "schema_messages" in df.columns:
         reasons.append(F.coalesce("schema_messages", F.array().cast("array<string>")))
-    df = computed_once(df, _reasons=sorted_set(F.concat(*reasons)))
+    df = computed_once(df, _reasons=_or_missing(sorted_set(F.concat(*reasons))))
     bad = F.size("_reasons") > 0
     return df.withColumns(
         {
@@ -150,9 +166,12 @@ def validate_recommendations(recommendations: DataFrame, evidence: DataFrame, on
     ).drop("_reasons", "_tenant_id", "_anomaly_id", "_evidence_version", "_allowed")
 
 
-def validate_diagnoses(diagnoses: DataFrame, evidence: DataFrame, on: str = "evidence_key") -> DataFrame:
-    """Diagnoses with ``validation_status``, ``failure_reasons`` and, when quarantined, ``quarantine_id``."""
-    df = diagnoses.join(_evidence_side(evidence), F.col(on) == F.col("_anomaly_id"))
+def validate_diagnoses(diagnoses: DataFrame, evidence: DataFrame, on: tuple[str, str] = EVIDENCE_KEY) -> DataFrame:
+    """Diagnoses with ``validation_status``, ``failure_reasons`` and, when quarantined, ``quarantine_id``.
+
+    Paired like recommendations; one without evidence fails as ``missing_evidence``.
+    """
+    df = _paired(diagnoses, evidence, on)
     text = _joined(
         df,
         "summary findings possible_causes recommended_checks diagnosis_summary probable_causes suggested_action".split(),
@@ -165,11 +184,13 @@ def validate_diagnoses(diagnoses: DataFrame, evidence: DataFrame, on: str = "evi
         F.when(_is_empty("recommended_checks"), F.lit("empty_recommended_checks")),
         F.when(text.rlike(rf"(?i)\b({BANNED_IN_DIAGNOSIS})\b"), F.lit("banned_autonomous_claim")),
     )
-    df = computed_once(df, failure_reasons=sorted_set(F.filter(own, lambda e: e.isNotNull())))
+    df = computed_once(df, failure_reasons=_or_missing(sorted_set(F.filter(own, lambda e: e.isNotNull()))))
     bad = F.size("failure_reasons") > 0
     # the quarantine id belongs to the evidence, whatever tenant or anomaly the diagnosis names
     named = df.withColumns({"_t": F.col("tenant_id"), "_a": F.col("anomaly_id")})
-    named = named.withColumns({"tenant_id": F.col("_tenant_id"), "anomaly_id": F.col("_anomaly_id")})
+    named = named.withColumns(
+        {"tenant_id": F.coalesce("_tenant_id", F.col(on[0])), "anomaly_id": F.coalesce("_anomaly_id", F.col(on[1]))}
+    )
     named = named.withColumns(
         {
             "validation_status": F.when(bad, F.lit("quarantined")).otherwise(F.lit("valid")),

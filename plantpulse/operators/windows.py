@@ -62,7 +62,7 @@ def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int =
         F.round("p95", 3).alias("p95_value"),
         settled((last - F.col("first.value")) / F.greatest(n - 1, F.lit(1)), 6).alias("slope"),
         F.when(sd == 0, F.lit(0.0)).otherwise(F.round((last - F.col("mean")) / F.nullif(sd, F.lit(0.0)), 6)).alias("z_score"),
-        n.cast("int").alias("event_count"),
+        n.alias("event_count"),
         F.lit(expected).alias("expected_count"),
         "quality_flags",
         F.coalesce("first.operating_state", F.lit("unknown")).alias("operating_state"),
@@ -75,7 +75,7 @@ def completeness(readings: DataFrame, width: str = "15 minutes", expected: int =
     return (
         with_bucket(readings, "event_time", width, "window_start")
         .groupBy("tenant_id", "tag_id", "window_start")
-        .agg(F.count("value").cast("int").alias("event_count"))
+        .agg(F.count("value").alias("event_count"))
         .select(
             "*",
             F.lit(expected).alias("expected_count"),

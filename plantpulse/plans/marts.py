@@ -33,7 +33,7 @@ def distinct_counts(
     )
     known = F.col(id_col).isNotNull()
     return per_id.groupBy(*keys).agg(
-        *[F.count_if(F.col(name) & known).cast("int").alias(name) for name in conditions],
+        *[F.count_if(F.col(name) & known).alias(name) for name in conditions],
         *[F.max(name).alias(name) for name in latest],
     )
 
@@ -72,7 +72,7 @@ def expected_tags(tags: DataFrame) -> DataFrame:
     """Mapped tags per asset (current mappings only)."""
     current = tags.filter(F.col("valid_to").isNull()) if "valid_to" in tags.columns else tags
     return current.select(*ASSET, "tag_id").distinct().groupBy(*ASSET).agg(
-        F.count("tag_id").cast("int").alias("total_expected")
+        F.count("tag_id").alias("total_expected")
     )
 
 
@@ -80,7 +80,7 @@ def active_tags(readings: DataFrame, keys: Sequence[str] = ASSET) -> DataFrame:
     """Tags with at least one reading per key, and the newest reading."""
     per_tag = readings.groupBy(*keys, "tag_id").agg(F.max("event_time").alias("last_event_time"))
     return per_tag.groupBy(*keys).agg(
-        F.count("tag_id").cast("int").alias("active_count"), F.max("last_event_time").alias("last_event_time")
+        F.count("tag_id").alias("active_count"), F.max("last_event_time").alias("last_event_time")
     )
 
 
@@ -203,12 +203,13 @@ def signal_series(
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
         F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("event_time", "event_id"))).alias("last_value"),
-        F.count(F.lit(1)).cast("int").alias("event_count"),
+        F.count(F.lit(1)).alias("event_count"),
         flags_text().alias("quality_flags"),
     )
     t = tags.select("tenant_id", "tag_id", "normal_range_min", "normal_range_max", "sampling_rate_seconds")
     rate_hz = F.lit(1.0) / F.nullif(F.col("sampling_rate_seconds"), F.lit(0.0))
-    sparse = (rate_hz > 0) & (F.col("event_count") < rate_hz * 60 * 0.5)
+    bucket_seconds = F.expr(f"timestampdiff(SECOND, DATE'2000-01-01', DATE'2000-01-01' + INTERVAL {bucket})")
+    sparse = (rate_hz > 0) & (F.col("event_count") < rate_hz * bucket_seconds * 0.5)
     return s.join(t, ["tenant_id", "tag_id"], "left").select(
         *keys,
         "avg_value",
@@ -304,7 +305,7 @@ def diagnosis_kpi(diagnoses: DataFrame, as_of: AsOf, lookback: str = "24 HOURS")
     )
     now = as_of_column(as_of)
     out = per_id.groupBy(*ASSET).agg(
-        *[F.count_if(F.col(n) & F.col("diagnosis_id").isNotNull()).cast("int").alias(n) for n in counts],
+        *[F.count_if(F.col(n) & F.col("diagnosis_id").isNotNull()).alias(n) for n in counts],
         (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("avg_confidence_24h"),
         F.max("latest_diagnosis_time").alias("latest_diagnosis_time"),
     )
@@ -336,16 +337,16 @@ def stream_health(
         health.filter(since("observed_at", as_of, lookback))
         .groupBy("tenant_id", "job_name")
         .agg(
-            F.count(F.lit(1)).cast("int").alias("message_count_5m"),
+            F.count(F.lit(1)).alias("message_count_5m"),
             F.max("watermark_lag_seconds").alias("event_lag_seconds"),
             F.avg("watermark_lag_seconds").alias("ingest_lag_seconds"),
-            F.count_if(F.col("late_event_count") > 0).cast("int").alias("missing_heartbeat_count"),
+            F.count_if(F.col("late_event_count") > 0).alias("missing_heartbeat_count"),
         )
     )
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         recent = df.filter(since("event_time", as_of, lookback))
-        return recent.groupBy("tenant_id").agg(F.count(F.lit(1)).cast("int").alias(name))
+        return recent.groupBy("tenant_id").agg(F.count(F.lit(1)).alias(name))
 
     side = stack(counted(late, "late_event_count_5m"), counted(dead_letters, "dlq_count_5m")).groupBy("tenant_id").agg(
         F.max("late_event_count_5m").alias("late_event_count_5m"), F.max("dlq_count_5m").alias("dlq_count_5m")
@@ -445,9 +446,9 @@ def condition_series(
         with_bucket(recent, "_at", bucket, "window_start")
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).cast("int").alias("anomaly_count"),
-            F.count_if(F.col("severity") == "critical").cast("int").alias("critical_count"),
-            F.count_if(F.col("severity") == "warning").cast("int").alias("warning_count"),
+            F.count(F.lit(1)).alias("anomaly_count"),
+            F.count_if(F.col("severity") == "critical").alias("critical_count"),
+            F.count_if(F.col("severity") == "warning").alias("warning_count"),
             flags_text().alias("quality_flags"),
         )
     )

@@ -71,34 +71,28 @@ def number_of(col: str = "anomaly_id") -> Column:
     return F.substring(col, 10, 20).cast("bigint")
 
 
-@t.shared
 def enriched(s: SparkSession, d: str) -> DataFrame:
     return enrich.enrich_readings(t.readings(s, d), t.tags(s, d), t.assets(s, d), t.components(s, d))
 
 
-@t.shared
 def late_rows(s: SparkSession, d: str) -> DataFrame:
     return late.late_by_ingest_lag(t.readings(s, d).withColumnRenamed("plant_id", "site_id"))
 
 
-@t.shared
 def health_rows(s: SparkSession, d: str) -> DataFrame:
     r = t.readings(s, d)
     dead = r.filter(F.col("value").isNull())
     return health.health_snapshot(r, dead, detectors.detect_heartbeat_gap(t.measured(s, d), all_gaps=True))
 
 
-@t.shared
 def latest_context(s: SparkSession, d: str) -> DataFrame:
     return ctx.latest_context(t.anomalies(s, d), t.readings(s, d), late_rows(s, d), health_rows(s, d))
 
 
-@t.shared
 def evidence_rows(s: SparkSession, d: str) -> DataFrame:
     return ev.triage_evidence(latest_context(s, d))
 
 
-@t.shared
 def recommendation_rows(s: SparkSession, d: str) -> DataFrame:
     return recommend.recommendations(evidence_rows(s, d), F.lit("2024-02-01T00:00:00Z"))
 
@@ -215,10 +209,11 @@ def route_records(s: SparkSession, d: str) -> DataFrame:
 def restamp_times(s: SparkSession, d: str) -> DataFrame:
     r = t.raw_readings(s, d).select("event_id", "event_time", "ingest_time")
     stamp = F.lit("2024-02-01T00:00:00Z")
-    return logs.restamp_times(r, "backfill_replay", stamp).unionByName(logs.restamp_times(r, "realtime_live", stamp))
+    both = logs.restamp_times(r, "backfill_replay", stamp).unionByName(logs.restamp_times(r, "realtime_live", stamp))
+    mode = F.col("synthetic_metadata")["producer_mode"].alias("producer_mode")
+    return both.select("event_id", "event_time", "ingest_time", mode)
 
 
-@t.shared
 def plants(s: SparkSession, d: str) -> DataFrame:
     even = F.col("s_suppkey") % 2 == 0
     return t.table(s, d, "supplier").select(
@@ -234,7 +229,6 @@ def plants(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@t.shared
 def points(s: SparkSession, d: str) -> DataFrame:
     type_no = F.array_position(F.array(*[F.lit(p) for p in t.PART_TYPES]), F.col("p_type")).cast("bigint") - 1
     metric, unit = t.pick(t.METRICS, type_no), t.pick(t.UNITS, type_no)
@@ -398,10 +392,9 @@ def feedback_validate(s: SparkSession, d: str) -> DataFrame:
     return validate.validate_feedback(rows).select("feedback_id", "severity_correction", "reject_reason")
 
 
-@t.shared
 def tampered(s: SparkSession, d: str) -> DataFrame:
     """Recommendations with faults spread by event number, keyed by the evidence they answer."""
-    r = recommendation_rows(s, d).withColumn("evidence_key", F.col("anomaly_id"))
+    r = recommendation_rows(s, d).withColumns({"evidence_key": F.col("anomaly_id"), "evidence_tenant": F.col("tenant_id")})
     no = number_of("evidence_key")
     return r.withColumns(
         {
@@ -614,7 +607,6 @@ def completeness(s: SparkSession, d: str) -> DataFrame:
 # --- marts --------------------------------------------------------------------------------
 
 
-@t.shared
 def snapshot(s: SparkSession, d: str) -> DataFrame:
     return marts.condition_snapshot(
         t.anomalies(s, d), t.diagnoses(s, d), t.readings(s, d), health_rows(s, d), t.tags(s, d), t.assets(s, d),
@@ -688,7 +680,6 @@ def mart_stream_health(s: SparkSession, d: str) -> DataFrame:
     return rounded(health_mart(s, d), "ingest_lag_seconds")
 
 
-@t.shared
 def failure_mart(s: SparkSession, d: str) -> DataFrame:
     return marts.failure_evidence(
         t.failure_events(s, d), t.work_orders(s, d), t.maintenance(s, d), t.components(s, d), t.max_order_time(s, d),
@@ -708,7 +699,6 @@ def mart_condition_1m(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@t.shared
 def trend(s: SparkSession, d: str) -> DataFrame:
     series = marts.signal_series(t.readings(s, d), t.tags(s, d), t.max_event_time(s, d), ALL_EVENTS)
     return marts.signal_trend(series, t.assets_feed(s, d), t.tags_feed(s, d), "display_unit")
@@ -749,7 +739,6 @@ def quality_from_late(s: SparkSession, d: str) -> DataFrame:
     return quality.quality_from_late(late_rows(s, d)).select(*QUALITY_SHOWN)
 
 
-@t.shared
 def all_quality_events(s: SparkSession, d: str) -> DataFrame:
     leak = t.anomalies(s, d).withColumn("expected_tenant_id", F.col("tenant_id"))
     return (
@@ -856,7 +845,7 @@ def recommendations(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def recommendation_store(s: SparkSession, d: str) -> DataFrame:
-    r = recommendation_rows(s, d).withColumn("evidence_key", F.col("anomaly_id"))
+    r = recommendation_rows(s, d).withColumns({"evidence_key": F.col("anomaly_id"), "evidence_tenant": F.col("tenant_id")})
     stored = recommend.recommendation_rows(validate.validate_recommendations(r, evidence_rows(s, d)))
     return stored.select(
         "recommendation_id", "anomaly_id", "findings", "possible_causes", "runbook_references", "quality_caveats",
@@ -960,7 +949,6 @@ def incident_id_pages(s: SparkSession, d: str) -> DataFrame:
     return incidents.incident_id_pages(incidents.incident_members(t.anomalies(s, d), "12 HOURS"), 2)
 
 
-@t.shared
 def incident_view(s: SparkSession, d: str) -> DataFrame:
     return incidents.incident_context(
         incidents.incidents(t.anomalies(s, d), "12 HOURS"), evidence_rows(s, d), recommendation_rows(s, d)

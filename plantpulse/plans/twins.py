@@ -182,11 +182,11 @@ WHERE event_time - prev_time >= INTERVAL 10 MINUTE""")
 
 view("v_health", """
 SELECT r.tenant_id || '-stream_health' AS job_name, r.tenant_id, watermark_lag_seconds, late_event_count, dlq_count,
-  CAST(coalesce(g.n, 0) AS INTEGER) AS missing_heartbeat_count, r.observed_at
+  CAST(coalesce(g.n, 0) AS BIGINT) AS missing_heartbeat_count, r.observed_at
 FROM (SELECT tenant_id, time_bucket(INTERVAL 5 MINUTE, event_time) AS observed_at,
     max((event_no % 20) * 60.0::DOUBLE) AS watermark_lag_seconds,
-    CAST(count(*) FILTER ((event_no % 20) * 60 > 600) AS INTEGER) AS late_event_count,
-    CAST(count(*) FILTER (value IS NULL) AS INTEGER) AS dlq_count FROM v_readings GROUP BY ALL) r
+    CAST(count(*) FILTER ((event_no % 20) * 60 > 600) AS BIGINT) AS late_event_count,
+    CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS dlq_count FROM v_readings GROUP BY ALL) r
 LEFT JOIN (SELECT tenant_id, time_bucket(INTERVAL 5 MINUTE, event_time) AS observed_at, count(*) AS n FROM v_gaps GROUP BY ALL) g
   ON r.tenant_id = g.tenant_id AND r.observed_at = g.observed_at""")
 
@@ -529,8 +529,8 @@ def anomaly_select(
 SELECT {anomaly_hash(f"'{rule}'", start, end)} AS anomaly_id, 'anomaly_event.v1' AS schema_version, '{rule}' AS rule_id,
   tenant_id, plant_id, asset_id, asset_name, component_id, tag_id, tag_name, metric_name,
   round(({observed})::DOUBLE, 6) AS observed_value, round(({baseline})::DOUBLE, 6) AS baseline_value,
-  round(({expected})::DOUBLE, 6) AS expected_value, CAST({count} AS INTEGER) AS event_count,
-  CAST({breaches} AS INTEGER) AS breach_count, {start} AS window_start, {end} AS window_end, '{severity}' AS severity,
+  round(({expected})::DOUBLE, 6) AS expected_value, CAST({count} AS BIGINT) AS event_count,
+  CAST({breaches} AS BIGINT) AS breach_count, {start} AS window_start, {end} AS window_end, '{severity}' AS severity,
   {flags()} AS quality_flags, {fault} AS fault_type, CAST(NULL AS VARCHAR) AS failure_mode_id,
   {confidence} AS detection_confidence, array_to_string({ids}, '|') AS source_event_ids
 FROM {source} WHERE {where}"""
@@ -599,7 +599,7 @@ SELECT {SERIES}, plant_id, asset_name, component_id, tag_name, event_id, event_t
   date_diff('microsecond', lag(event_time) OVER series, event_time) / 1000000.0::DOUBLE / 60.0 AS gap_minutes,
   CASE WHEN min({value}) OVER recent = max({value}) OVER recent THEN 0.0 ELSE stddev_pop({value}) OVER recent END
     AS window_stddev,
-  CAST(count(*) OVER recent AS INTEGER) AS event_count, min(event_time) OVER recent AS window_start,
+  CAST(count(*) OVER recent AS BIGINT) AS event_count, min(event_time) OVER recent AS window_start,
   event_time AS window_end, quality_flags, list(event_id) OVER recent AS ids
 FROM v_measured
 WINDOW series AS (PARTITION BY {SERIES} ORDER BY event_time, event_id),
@@ -704,7 +704,7 @@ SELECT tenant_id, min_by(asset_id, (event_time, event_id)) AS asset_id, min_by(c
   '' AS measurement_point_id, tag_id, w AS window_start, w + INTERVAL {width} AS window_end, round(CAST(avg(value) AS DECIMAL(28, 9)), 3)::DOUBLE AS avg_value,
   round(min(value), 3) AS min_value, round(max(value), 3) AS max_value, round(sd, 6) AS stddev_value,
   round(quantile_disc(value, 0.95), 3) AS p95_value, round(CAST((last - first) / greatest(count(*) - 1, 1) AS DECIMAL(28, 12)), 6)::DOUBLE AS slope,
-  CASE WHEN sd = 0 THEN 0.0 ELSE round((last - avg(value)) / sd, 6) END AS z_score, CAST(count(*) AS INTEGER) AS event_count,
+  CASE WHEN sd = 0 THEN 0.0 ELSE round((last - avg(value)) / sd, 6) END AS z_score, CAST(count(*) AS BIGINT) AS event_count,
   15 AS expected_count, array_to_string(list_sort(list_distinct(flatten(list(quality_flags)))), '|') AS quality_flags,
   'unknown' AS operating_state, 'none' AS degradation_stage
 FROM (SELECT *, CASE WHEN min(value) OVER p = max(value) OVER p THEN 0.0 ELSE stddev_pop(value) OVER p END AS sd,
@@ -719,7 +719,7 @@ twin("window_stats_15m", stats_sql("15 MINUTE"))
 twin("window_stats_1d", stats_sql("1 DAY"))
 
 twin("completeness", """
-SELECT tenant_id, tag_id, time_bucket(INTERVAL 15 MINUTE, event_time) AS window_start, CAST(count(*) AS INTEGER) AS event_count,
+SELECT tenant_id, tag_id, time_bucket(INTERVAL 15 MINUTE, event_time) AS window_start, CAST(count(*) AS BIGINT) AS event_count,
   15 AS expected_count, round(count(*) / 15.0::DOUBLE, 6) AS completeness_ratio, count(*) < 15 AS is_incomplete
 FROM v_measured GROUP BY tenant_id, tag_id, time_bucket(INTERVAL 15 MINUTE, event_time)""")
 
@@ -735,14 +735,14 @@ SELECT tenant_id, asset_id FROM v_anomalies WHERE window_end >= {EVENTS_SINCE}
 UNION SELECT tenant_id, asset_id FROM v_diagnoses WHERE created_at >= {EVENTS_SINCE}
 UNION SELECT tenant_id, asset_id FROM v_readings WHERE event_time >= {EVENTS_SINCE}""")
 
-view("v_expected", "SELECT tenant_id, asset_id, CAST(count(DISTINCT tag_id) AS INTEGER) AS n FROM v_tags GROUP BY ALL")
+view("v_expected", "SELECT tenant_id, asset_id, CAST(count(DISTINCT tag_id) AS BIGINT) AS n FROM v_tags GROUP BY ALL")
 
 twin("base_assets", "SELECT * FROM v_base_assets")
 
 twin("stale_tags", f"""
 SELECT tenant_id, asset_id, coalesce(e.n, 0) AS total_expected, coalesce(a.n, 0) AS active_count,
   greatest(coalesce(e.n, 0) - coalesce(a.n, 0), 0) AS stale_count
-FROM v_expected e FULL JOIN (SELECT tenant_id, asset_id, CAST(count(DISTINCT tag_id) AS INTEGER) AS n FROM v_readings
+FROM v_expected e FULL JOIN (SELECT tenant_id, asset_id, CAST(count(DISTINCT tag_id) AS BIGINT) AS n FROM v_readings
   WHERE event_time >= {AS_OF} - INTERVAL 1 HOUR GROUP BY ALL) a USING (tenant_id, asset_id)""")
 
 view("v_base_components", f"""
@@ -759,11 +759,11 @@ view("v_snapshot", f"""
 SELECT b.tenant_id, b.asset_id, {AS_OF} AS snapshot_time, coalesce(d.asset_name, '') AS asset_name,
   CASE WHEN a.crit > 0 THEN 'critical' WHEN a.warn > 0 THEN 'warning'
     WHEN greatest(coalesce(e.n, 0) - coalesce(s.n, 0), 0) > 0 THEN 'unknown' ELSE 'healthy' END AS condition_status,
-  CAST(coalesce(a.crit, 0) AS INTEGER) AS critical_anomaly_count_15m,
-  CAST(coalesce(a.warn, 0) AS INTEGER) AS warning_anomaly_count_15m,
-  CAST(coalesce(g.high, 0) AS INTEGER) AS high_risk_diagnosis_count_15m,
-  CAST(greatest(coalesce(e.n, 0) - coalesce(s.n, 0), 0) AS INTEGER) AS stale_tag_count_15m,
-  CAST(coalesce(h.n, 0) AS INTEGER) AS missing_heartbeat_count_15m, s.last AS last_event_time,
+  CAST(coalesce(a.crit, 0) AS BIGINT) AS critical_anomaly_count_15m,
+  CAST(coalesce(a.warn, 0) AS BIGINT) AS warning_anomaly_count_15m,
+  CAST(coalesce(g.high, 0) AS BIGINT) AS high_risk_diagnosis_count_15m,
+  CAST(greatest(coalesce(e.n, 0) - coalesce(s.n, 0), 0) AS BIGINT) AS stale_tag_count_15m,
+  CAST(coalesce(h.n, 0) AS BIGINT) AS missing_heartbeat_count_15m, s.last AS last_event_time,
   a.last AS last_anomaly_time, g.last AS last_diagnosis_time, {AS_OF} AS load_time
 FROM v_base_assets b
 LEFT JOIN (SELECT tenant_id, asset_id, count(DISTINCT anomaly_id) FILTER (severity = 'critical') AS crit,
@@ -786,12 +786,12 @@ def signal_view(width: str) -> str:
 SELECT s.tenant_id, s.asset_id, s.component_id, s.tag_id, s.metric_name, bucket_minute, avg_value, min_value, max_value,
   last_value, event_count, quality_flags, contains(quality_flags, 'late') AS has_late_arrival,
   coalesce(min_value = max_value AND event_count > 1, false) AS has_flatline,
-  coalesce(event_count < 1.0 / t.sampling_rate_seconds * 60 * 0.5, false) AS has_missing_heartbeat,
+  coalesce(event_count < 1.0 / t.sampling_rate_seconds * epoch(INTERVAL {width}) * 0.5, false) AS has_missing_heartbeat,
   t.normal_range_min, t.normal_range_max, {AS_OF} AS load_time
 FROM (SELECT tenant_id, asset_id, component_id, tag_id, metric_name, time_bucket(INTERVAL {width}, event_time) AS bucket_minute,
     avg(value) AS avg_value, min(value) AS min_value, max(value) AS max_value,
     arg_max(value, (event_time, event_id)) FILTER (value IS NOT NULL) AS last_value,
-    CAST(count(*) AS INTEGER) AS event_count,
+    CAST(count(*) AS BIGINT) AS event_count,
     array_to_string(list_sort(list_distinct(flatten(list(quality_flags)))), '|') AS quality_flags
   FROM v_readings WHERE event_time >= {EVENTS_SINCE} GROUP BY ALL) s
 LEFT JOIN v_tags t ON s.tenant_id = t.tenant_id AND s.tag_id = t.tag_id"""
@@ -819,25 +819,25 @@ LEFT JOIN (SELECT DISTINCT 'fm_' || type_code || '_' || brand_no AS mode,
     upper(substr(type_code, 1, 1)) || substr(type_code, 2) || ' Wear ' || brand_no AS label FROM v_modes) m ON a.mode = m.mode""")
 
 twin("mart_diagnosis_kpi", f"""
-SELECT tenant_id, asset_id, {AS_OF} AS snapshot_time, CAST(count(DISTINCT diagnosis_id) AS INTEGER) AS diagnosis_count_24h,
-  CAST(count(DISTINCT diagnosis_id) FILTER (risk_level = 'high') AS INTEGER) AS high_risk_diagnosis_count_24h,
-  CAST(count(DISTINCT diagnosis_id) FILTER (risk_level = 'critical') AS INTEGER) AS critical_risk_diagnosis_count_24h,
-  CAST(count(DISTINCT diagnosis_id) FILTER (escalation_required) AS INTEGER) AS escalation_required_count_24h,
+SELECT tenant_id, asset_id, {AS_OF} AS snapshot_time, CAST(count(DISTINCT diagnosis_id) AS BIGINT) AS diagnosis_count_24h,
+  CAST(count(DISTINCT diagnosis_id) FILTER (risk_level = 'high') AS BIGINT) AS high_risk_diagnosis_count_24h,
+  CAST(count(DISTINCT diagnosis_id) FILTER (risk_level = 'critical') AS BIGINT) AS critical_risk_diagnosis_count_24h,
+  CAST(count(DISTINCT diagnosis_id) FILTER (escalation_required) AS BIGINT) AS escalation_required_count_24h,
   round(avg(confidence), 6) AS avg_confidence_24h,
-  CAST(count(DISTINCT diagnosis_id) FILTER (quality_caveats <> '') AS INTEGER) AS diagnosis_with_quality_caveats_24h,
-  CAST(count(DISTINCT diagnosis_id) FILTER (anomaly_id IS NOT NULL) AS INTEGER) AS diagnosis_linked_to_anomaly_count_24h,
+  CAST(count(DISTINCT diagnosis_id) FILTER (quality_caveats <> '') AS BIGINT) AS diagnosis_with_quality_caveats_24h,
+  CAST(count(DISTINCT diagnosis_id) FILTER (anomaly_id IS NOT NULL) AS BIGINT) AS diagnosis_linked_to_anomaly_count_24h,
   max(created_at) AS latest_diagnosis_time, {AS_OF} AS load_time
 FROM v_diagnoses WHERE created_at >= {EVENTS_SINCE} GROUP BY tenant_id, asset_id""")
 
 twin("mart_stream_health", f"""
 SELECT tenant_id, source_system, job_name AS pipeline_name, {AS_OF} AS snapshot_time, message_count_5m,
-  CAST(coalesce(l.n, 0) AS INTEGER) AS late_event_count_5m, missing_heartbeat_count, CAST(coalesce(q.n, 0) AS INTEGER) AS dlq_count_5m,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS late_event_count_5m, missing_heartbeat_count, CAST(coalesce(q.n, 0) AS BIGINT) AS dlq_count_5m,
   event_lag_seconds, round(ingest_lag_seconds, 6) AS ingest_lag_seconds,
   CASE WHEN event_lag_seconds > 300 OR coalesce(q.n, 0) > 0 THEN 'critical' WHEN event_lag_seconds > 60 THEN 'degraded'
     ELSE 'healthy' END AS health_status, {AS_OF} AS load_time
-FROM (SELECT tenant_id, job_name, CAST(count(*) AS INTEGER) AS message_count_5m, max(watermark_lag_seconds) AS event_lag_seconds,
+FROM (SELECT tenant_id, job_name, CAST(count(*) AS BIGINT) AS message_count_5m, max(watermark_lag_seconds) AS event_lag_seconds,
     avg(watermark_lag_seconds) AS ingest_lag_seconds,
-    CAST(count(*) FILTER (late_event_count > 0) AS INTEGER) AS missing_heartbeat_count
+    CAST(count(*) FILTER (late_event_count > 0) AS BIGINT) AS missing_heartbeat_count
   FROM v_health WHERE observed_at >= {EVENTS_SINCE} GROUP BY ALL) h
 LEFT JOIN (SELECT tenant_id, count(*) AS n FROM v_late WHERE event_time >= {EVENTS_SINCE} GROUP BY ALL) l USING (tenant_id)
 LEFT JOIN (SELECT tenant_id, count(*) AS n FROM v_readings WHERE value IS NULL AND event_time >= {EVENTS_SINCE} GROUP BY ALL) q
@@ -845,10 +845,10 @@ LEFT JOIN (SELECT tenant_id, count(*) AS n FROM v_readings WHERE value IS NULL A
 
 view("v_failure_mart", f"""
 SELECT b.tenant_id, b.asset_id, b.component_id, {ORDER_AS_OF} AS snapshot_time,
-  CAST(coalesce(f.s, 0) AS INTEGER) AS suspected_failure_count, CAST(coalesce(f.c, 0) AS INTEGER) AS confirmed_failure_count,
-  CAST(coalesce(w.o, 0) AS INTEGER) AS open_workorder_count, CAST(coalesce(w.c, 0) AS INTEGER) AS completed_workorder_count,
-  CAST(coalesce(m.n, 0) AS INTEGER) AS maintenance_count,
-  CAST(coalesce(m.s, 0) AS INTEGER) AS sensor_related_maintenance_count, f.t AS latest_failure_time,
+  CAST(coalesce(f.s, 0) AS BIGINT) AS suspected_failure_count, CAST(coalesce(f.c, 0) AS BIGINT) AS confirmed_failure_count,
+  CAST(coalesce(w.o, 0) AS BIGINT) AS open_workorder_count, CAST(coalesce(w.c, 0) AS BIGINT) AS completed_workorder_count,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS maintenance_count,
+  CAST(coalesce(m.s, 0) AS BIGINT) AS sensor_related_maintenance_count, f.t AS latest_failure_time,
   w.t AS latest_workorder_time, m.t AS latest_maintenance_time, {ORDER_AS_OF} AS load_time
 FROM v_base_components b
 LEFT JOIN (SELECT tenant_id, asset_id, component_id, count(DISTINCT failure_event_id) FILTER (event_status = 'suspected') AS s,
@@ -868,9 +868,9 @@ twin("mart_condition_1m", f"""
 SELECT tenant_id, asset_id, window_start, window_start + INTERVAL 1 MINUTE AS window_end,
   CASE WHEN a.crit > 0 THEN 'critical' WHEN a.warn > 0 THEN 'warning' WHEN coalesce(s.n, 0) = 0 THEN 'unknown'
     WHEN greatest(coalesce(e.n, 0) - coalesce(s.n, 0), 0) > 0 THEN 'unknown' ELSE 'healthy' END AS condition_status,
-  CAST(coalesce(a.crit, 0) AS INTEGER) AS critical_count, CAST(coalesce(a.warn, 0) AS INTEGER) AS warning_count,
-  CAST(coalesce(a.n, 0) AS INTEGER) AS anomaly_count, CAST(coalesce(s.n, 0) AS INTEGER) AS active_tags,
-  CAST(greatest(coalesce(e.n, 0) - coalesce(s.n, 0), 0) AS INTEGER) AS stale_tags, a.flags AS quality_flags,
+  CAST(coalesce(a.crit, 0) AS BIGINT) AS critical_count, CAST(coalesce(a.warn, 0) AS BIGINT) AS warning_count,
+  CAST(coalesce(a.n, 0) AS BIGINT) AS anomaly_count, CAST(coalesce(s.n, 0) AS BIGINT) AS active_tags,
+  CAST(greatest(coalesce(e.n, 0) - coalesce(s.n, 0), 0) AS BIGINT) AS stale_tags, a.flags AS quality_flags,
   {AS_OF} AS load_time
 FROM (SELECT tenant_id, asset_id, date_trunc('minute', event_time) AS window_start, count(DISTINCT tag_id) AS n
   FROM v_readings WHERE event_time >= {EVENTS_SINCE} GROUP BY ALL) s
@@ -1191,7 +1191,7 @@ SELECT {sha1_id('inc_', key)} AS incident_id, {key} AS correlation_key, tenant_i
   first_seen_at, last_seen_at, anomaly_count, ['info','warning','critical'][sev] AS max_severity, ids[1] AS primary_anomaly_id,
   'open' AS status, ['dashboard_only','ticket_simulated','teams_card'][sev] AS routing_channel, ids
 FROM (SELECT tenant_id, asset_id, metric_name, rule_id, session, min(window_start) AS first_seen_at,
-    max(window_start) AS last_seen_at, CAST(count(*) AS INTEGER) AS anomaly_count, {_SEVERITY} AS sev,
+    max(window_start) AS last_seen_at, CAST(count(*) AS BIGINT) AS anomaly_count, {_SEVERITY} AS sev,
     list(anomaly_id ORDER BY window_start, anomaly_id) AS ids
   FROM {source} GROUP BY ALL)"""
 

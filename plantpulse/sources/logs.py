@@ -54,7 +54,7 @@ LANDINGS = {
     ),
     "health": (
         "mart_stream_health",
-        "schema_version job_name tenant_id watermark_lag_seconds:d late_event_count:i checkpoint_status observed_at:t",
+        "schema_version job_name tenant_id watermark_lag_seconds:d late_event_count:n checkpoint_status observed_at:t",
     ),
     "diagnosis": (
         "mart_realtime_diagnosis",
@@ -91,6 +91,8 @@ def land(stream: str, records: DataFrame, typed: bool = True) -> DataFrame:
             c = c.try_cast("double")
         elif typed and kind == "i":
             c = c.try_cast("int")
+        elif typed and kind == "n":
+            c = c.try_cast("bigint")
         elif typed and kind == "t":
             c = parse_iso(c)
         elif typed and kind == "b":
@@ -196,8 +198,20 @@ def route_records(checked: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def restamp_times(records: DataFrame, mode: str, now: Column) -> DataFrame:
-    """``backfill_replay`` stamps the ingest time, ``realtime_live`` event and ingest time."""
+    """``backfill_replay`` stamps the ingest time, ``realtime_live`` event and ingest time.
+
+    The mode goes into ``synthetic_metadata`` (a struct or a string map; made where missing).
+    """
     if mode not in ("backfill_replay", "realtime_live"):
         raise ValueError(f"unknown producer mode: {mode}")
-    out = records.withColumn("ingest_time", now).withColumn("producer_mode", F.lit(mode))
+    kind = dict(records.dtypes).get("synthetic_metadata", "")
+    if kind.startswith("struct"):
+        metadata = F.when(F.col("synthetic_metadata").isNotNull(), F.col("synthetic_metadata").withField("producer_mode", F.lit(mode)))
+        metadata = F.coalesce(metadata, F.lit(None).cast(kind).withField("producer_mode", F.lit(mode)))
+    elif kind.startswith("map"):
+        kept = F.map_filter(F.coalesce("synthetic_metadata", F.create_map().cast(kind)), lambda k, _: k != "producer_mode")
+        metadata = F.map_concat(kept, F.create_map(F.lit("producer_mode"), F.lit(mode)))
+    else:
+        metadata = F.create_map(F.lit("producer_mode"), F.lit(mode))
+    out = records.withColumn("ingest_time", now).withColumn("synthetic_metadata", metadata)
     return out if mode == "backfill_replay" else out.withColumn("event_time", now)

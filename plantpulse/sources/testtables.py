@@ -1,16 +1,14 @@
 """Sensor-shaped views over the synthetic test tables.
 
 The driver's tables are star-schema-like, so the library's queries run on
-deterministic views of them.  Every view reads the whole table and stays lazy.
+deterministic views of them.  Every view reads the whole table, is built anew
+for each query and stays lazy.
 Entities line up at every scale factor: ``user_id div 5``, ``o_custkey div 50``,
 ``l_suppkey * 3 div 10`` and ``p_partkey div 5`` all number assets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +23,6 @@ ASSET_TYPES = ("pump", "boiler", "chiller", "conveyor")
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
-def shared(view: Callable) -> Callable:
-    """Build a view's plan once per session and folder; only the plan is kept, never rows."""
-    return lru_cache(maxsize=64)(view)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,7 +44,6 @@ def strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-@shared
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with their series attributes; ``event_no`` is kept as a plain number."""
     e = table(spark, sf_dir, "events")
@@ -83,13 +75,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that carry a value (detectors and window statistics need one)."""
     return readings(spark, sf_dir).filter(F.col("value").isNotNull())
 
 
-@shared
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve wire columns, with some required ones missing."""
     from plantpulse.functions.times import iso_z
@@ -112,7 +102,6 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``offset, value`` log lines; contract breakages are chosen by the event number."""
     from plantpulse.functions.times import iso_z
@@ -146,7 +135,6 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def tags_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag mapping changes: two versions per tag, no mapping for every 29th tag."""
     users = table(spark, sf_dir, "events").select("user_id").distinct().filter(F.col("user_id") % 29 != 0)
@@ -177,12 +165,10 @@ def tags_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(tags_feed(spark, sf_dir), ["tenant_id", "tag_id"], "updated_at")
 
 
-@shared
 def assets_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset changes as the change feed writes them: everything is text."""
     s = table(spark, sf_dir, "supplier").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -209,17 +195,14 @@ def assets_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def assets_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return land_changes(assets_cdc(spark, sf_dir), "assets")
 
 
-@shared
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(assets_feed(spark, sf_dir), ["tenant_id", "asset_id"], "updated_at")
 
 
-@shared
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset_no = F.expr("p_partkey div 5")
     return table(spark, sf_dir, "part").select(
@@ -232,7 +215,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def taxonomy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Failure domains, classes and modes derived from part types and brands."""
     p = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
@@ -257,7 +239,6 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return domains, classes, modes
 
 
-@shared
 def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset_no = F.expr("o_custkey div 50")
     status = (
@@ -278,7 +259,6 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def current_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a change feed: the last shipped row per (order, line) is the current one."""
     return latest_by_key(
@@ -292,7 +272,6 @@ def current_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset_no = F.expr("l_suppkey * 3 div 10")
     return current_lines(spark, sf_dir).select(
@@ -311,7 +290,6 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset_no = F.expr("l_suppkey * 3 div 10")
     return (
@@ -331,7 +309,6 @@ def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold breaches with severities spread by event number, so ladders have every case."""
     flagged = flag_breaches(readings(spark, sf_dir))
@@ -340,7 +317,6 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.withColumn("severity", severity)
 
 
-@shared
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.substring("anomaly_id", 10, 20).cast("bigint")
     return anomalies(spark, sf_dir).select(
@@ -357,12 +333,10 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared
 def max_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the newest event time, used as ``as_of``."""
     return table(spark, sf_dir, "events").agg(F.max("ts").alias("as_of"))
 
 
-@shared
 def max_order_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("as_of"))

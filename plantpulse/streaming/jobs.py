@@ -59,7 +59,7 @@ def health_stream(readings: DataFrame, width: str = "5 minutes", max_lag_seconds
         readings.groupBy("tenant_id", F.window("event_time", width).alias("w"))
         .agg(
             F.max(seconds("event_time", "ingest_time")).alias("watermark_lag_seconds"),
-            F.count_if(whole_seconds("event_time", "ingest_time") > max_lag_seconds).cast("int").alias("late_event_count"),
+            F.count_if(whole_seconds("event_time", "ingest_time") > max_lag_seconds).alias("late_event_count"),
         )
         .select("tenant_id", "watermark_lag_seconds", "late_event_count", F.col("w.start").alias("observed_at"))
     )
@@ -105,8 +105,14 @@ def upsert_batches(df: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
     return per_batch(df, lambda batch, n: write_batch(batch, path, n), checkpoint)
 
 
-def current_rows(spark: SparkSession, path: str, keys: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
-    """Newest version per key of an upsert folder."""
+def current_anomalies(spark: SparkSession, path: str) -> DataFrame:
+    """Anomalies of a detector folder by their newest verdict per series and reading; cleared ones are gone."""
+    keys = [*SERIES, "window_end"]
+    return current_rows(spark, path, keys, ["anomaly_id"]).filter(~F.col("cleared")).drop("cleared")
+
+
+def current_rows(spark: SparkSession, path: str, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """Newest version per key of an upsert folder; ``ties`` order the versions of one batch."""
     return latest_by_key(spark.read.parquet(path), keys, "batch_id", ties).drop("batch_id")
 
 
@@ -177,7 +183,7 @@ def detector_increment(
     rows = before.unionByName(after).unionByName(batch).dropDuplicates(["event_id"])
     features = detectors.detector_features(rows).join(starts, list(SERIES))
     judged = features.filter(F.col("event_time") >= F.col("_from")).drop("_from")
-    return detectors.window_anomalies(judged, verdict)
+    return detectors.window_anomalies(judged, verdict, with_cleared=True)
 
 
 def detect_batches(
@@ -188,7 +194,10 @@ def detect_batches(
     checkpoint: str,
     horizon: str | None = None,
 ) -> DataStreamWriter:
-    """Detector over a stream of enriched readings; versions of an anomaly meet in :func:`current_rows`.
+    """Detector over a stream of enriched readings; :func:`current_anomalies` reads what stands.
+
+    Every reading judged anew leaves its verdict, hit or cleared, so a late reading withdraws a
+    false alarm.
 
     ``horizon`` (e.g. ``"7 DAYS"``) bounds how far back history is read, where readings are
     known not to pause or arrive later than that; the bound reaches the history scan.
@@ -217,7 +226,7 @@ def signal_stream(readings: DataFrame, bucket: str = "1 minute") -> DataFrame:
             F.min("value").alias("min_value"),
             F.max("value").alias("max_value"),
             F.max_by("value", F.struct("event_time", "event_id")).alias("last_value"),
-            F.count(F.lit(1)).cast("int").alias("event_count"),
+            F.count(F.lit(1)).alias("event_count"),
         )
         .select(*keys, F.col("w.start").alias("bucket_minute"), "avg_value", "min_value", "max_value", "last_value",
                 "event_count")

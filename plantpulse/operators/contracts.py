@@ -67,13 +67,39 @@ _KINDS = {
 }
 
 
+#: Keywords that change nothing here, those that a field's checks know, and those of an array's items.
+_NOTES = {"$schema", "$id", "title", "description"}
+_CHECKED = {
+    "type", "const", "enum", "pattern", "format", "minLength", "minimum", "maximum", "minItems", "maxItems", "uniqueItems",
+    "items", "properties", "required", "additionalProperties",
+}
+_OF_ITEMS = {"type"}
+
+
+def check_contract(contract: dict[str, Any], path: str = "") -> None:
+    """Refuse a contract with a keyword that the checks would pass over."""
+    unknown = set(contract) - _NOTES - _CHECKED
+    unknown |= {f"items.{k}" for k in set(contract.get("items", {})) - _NOTES - _OF_ITEMS}
+    if contract.get("additionalProperties", True) not in (True, False):
+        unknown.add("additionalProperties")
+    if unknown:
+        raise ValueError(f"contract keywords not supported at {path or '/'}: {', '.join(sorted(unknown))}")
+    for name, rule in contract.get("properties", {}).items():
+        check_contract(rule, f"{path}/{name}")
+
+
+def _types(rule: dict[str, Any]) -> list[str]:
+    return rule["type"] if isinstance(rule["type"], list) else [rule["type"]]
+
+
 def contract_errors(lines: DataFrame, contract: dict[str, Any] = RAW_READING, value: str = "value") -> DataFrame:
     """Lines with ``errors`` (sorted by path, code, message; empty when valid) and the first
     of them as ``error_code`` / ``field_path`` / ``message``.
 
-    Each line is parsed once.  Fields, their kinds and their texts become columns of
+    A contract with keywords that are not supported is refused. Each line is parsed once.  Fields, their kinds and their texts become columns of
     their own, so that the checks only read them.
     """
+    check_contract(contract)
     out = lines.withColumn("_doc", F.try_parse_json(F.col(value)))
     out = out.withColumn("_kind", F.schema_of_variant(F.col("_doc")))
     is_object = F.col("_kind").rlike(_KINDS["object"])
@@ -196,8 +222,9 @@ def _field_checks(column: str, rule: dict[str, Any], path: str) -> list[Column]:
         single.append(F.when(v.isNotNull() & broken, _error(path, code, message)))
 
     if "type" in rule:
-        message = F.concat(shown, F.lit(f" is not of type '{rule['type']}'"))
-        check(~kind.rlike(_KINDS[rule["type"]]), "invalid_type", message)
+        named = ", ".join(f"'{t}'" for t in _types(rule))
+        fits = kind.rlike("|".join(f"({_KINDS[t]})" for t in _types(rule)))
+        check(~fits, "invalid_type", F.concat(shown, F.lit(f" is not of type {named}")))
     if "const" in rule:
         check(~is_text | (text != rule["const"]), "invalid_value", F.lit(f"'{rule['const']}' was expected"))
     if "enum" in rule:
@@ -218,6 +245,12 @@ def _field_checks(column: str, rule: dict[str, Any], path: str) -> list[Column]:
         message = F.concat(shown, F.lit(f" is greater than the maximum of {rule['maximum']}"))
         check(is_number & (number > rule["maximum"]), "invalid_value", message)
     items = F.try_variant_get(v, "$", "array<variant>")
+    if "minItems" in rule:
+        few = F.lit(" should be non-empty") if rule["minItems"] == 1 else F.lit(" is too short")
+        check(F.coalesce(F.size(items) < rule["minItems"], F.lit(False)), "schema_validation_error", F.concat(shown, few))
+    if "maxItems" in rule:
+        many = F.lit(" is expected to be empty") if rule["maxItems"] == 0 else F.lit(" is too long")
+        check(F.coalesce(F.size(items) > rule["maxItems"], F.lit(False)), "schema_validation_error", F.concat(shown, many))
     if rule.get("uniqueItems"):
         texts = F.transform(items, lambda i: F.to_json(i))
         message = F.concat(shown, F.lit(" has non-unique elements"))
@@ -230,8 +263,10 @@ def _field_checks(column: str, rule: dict[str, Any], path: str) -> list[Column]:
             item_kind, item_text = F.schema_of_variant(i), F.try_variant_get(i, "$", "string")
             item = F.when(item_kind == "STRING", F.concat(F.lit("'"), item_text, F.lit("'"))).otherwise(item_text)
             at = F.concat(F.lit(f"{path}/"), n.cast("string"))
-            message = F.concat(item, F.lit(f" is not of type '{item_type}'"))
-            return F.when(~item_kind.rlike(_KINDS[item_type]), _error(at, "invalid_type", message))
+            allowed = _types(rule["items"])
+            message = F.concat(item, F.lit(" is not of type " + ", ".join(f"'{t}'" for t in allowed)))
+            fits = item_kind.rlike("|".join(f"({_KINDS[t]})" for t in allowed))
+            return F.when(~fits, _error(at, "invalid_type", message))
 
         found.append(F.coalesce(F.transform(items, item_error), _none()))
     return found

@@ -102,6 +102,29 @@ def test_contract_summary_lists_zeros_and_empty_input(spark):
     assert "errors:no_input_records" not in got
 
 
+def test_contracts_with_type_lists_and_item_counts(spark):
+    contract = {
+        "title": "anomaly",
+        "type": "object",
+        "properties": {
+            "baseline": {"type": ["number", "null"]},
+            "ids": {"type": "array", "items": {"type": "string"}, "minItems": 1, "maxItems": 2},
+        },
+    }
+    lines = ['{"baseline": null, "ids": ["a"]}', '{"baseline": 1.5, "ids": ["a", "b"]}', '{"baseline": "x"}', '{"ids": []}', '{"ids": ["a", "b", "c"]}']
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, value string")
+    got = [[(e.field_path, e.error_code, e.message) for e in r.errors] for r in contracts.contract_errors(df, contract).orderBy("i").collect()]
+    assert got == [
+        [],
+        [],
+        [("/baseline", "invalid_type", "'x' is not of type 'number', 'null'")],
+        [("/ids", "schema_validation_error", "[] should be non-empty")],
+        [("/ids", "schema_validation_error", '["a","b","c"] is too long')],
+    ]
+    with pytest.raises(ValueError, match="oneOf"):
+        contracts.contract_errors(df, {"title": "x", "properties": {"a": {"oneOf": []}}})
+
+
 def test_json_text_equals_the_standard_library(spark):
     texts = ['plain "quoted" \\ back', "line\nbreak\ttab\r\b\f", "\x01\x0b\x1f\x7f", "é ü ñ", "pump 🔧 ok", ""]
     rows = spark.createDataFrame([(x,) for x in texts], "a string").select("a", spaced_json(a=F.col("a"), b=F.lit("x")).alias("j"))

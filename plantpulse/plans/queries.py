@@ -172,6 +172,46 @@ def cdc_land(s: SparkSession, d: str) -> DataFrame:
     return dimensions.land_changes(t.assets_cdc(s, d), "assets")
 
 
+def change_feed(s: SparkSession, d: str, table: str, key: str) -> DataFrame:
+    """Text rows of a change feed over a table: some deleted, some with numbers or times that cannot be read."""
+    rows = t.table(s, d, table)
+    k = F.col(key)
+    day = F.date_format("o_orderdate" if table == "orders" else "l_shipdate", "yyyy-MM-dd'T'00:00:00'Z'")
+    money = F.col("o_totalprice" if table == "orders" else "l_quantity").cast("int").cast("string")
+    return rows.select(
+        "*",
+        t.tenant_of(k).alias("tenant_id"),
+        day.alias("_day"),
+        F.when(k % 19 == 0, "n/a").otherwise(money).alias("downtime_minutes"),
+        F.when(k % 7 != 0, day).alias("created_at"),
+        F.when(k % 5 == 0, "unknown").otherwise(k.cast("string")).alias("failure_mode_id"),
+        F.when(k % 17 == 0, "true").when(k % 2 == 0, "false").alias("__deleted"),
+    )
+
+
+@query
+def cdc_land_workorder(s: SparkSession, d: str) -> DataFrame:
+    feed = change_feed(s, d, "orders", "o_orderkey").select(
+        "*", t.named("wo_", "o_orderkey").alias("work_order_id"), F.col("o_orderstatus").alias("work_order_status"),
+        F.col("_day").alias("requested_at"),
+    )
+    out = dimensions.land_changes(feed, "workorder")
+    return out.select("tenant_id", "work_order_id", "work_order_status", "requested_at", "downtime_minutes", "failure_mode_id", "created_at")
+
+
+@query
+def cdc_land_maintenance(s: SparkSession, d: str) -> DataFrame:
+    feed = change_feed(s, d, "lineitem", "l_orderkey").select(
+        "*", F.concat(F.lit("mnt_"), "l_orderkey", F.lit("_"), "l_linenumber").alias("maintenance_id"),
+        F.col("_day").alias("performed_at"),
+        t.pick(("true", "F", "yes", "0", "maybe"), F.col("l_linenumber")).alias("sensor_anomaly_related"),
+    )
+    out = dimensions.land_changes(feed, "maintenance")
+    return out.select(
+        "tenant_id", "maintenance_id", "performed_at", "downtime_minutes", "failure_mode_id", "sensor_anomaly_related", "created_at"
+    )
+
+
 @query
 def cdc_op_ts(s: SparkSession, d: str) -> DataFrame:
     marked = dimensions.with_change_marks(t.assets_cdc(s, d))
@@ -644,6 +684,12 @@ def mart_signal_1m(s: SparkSession, d: str) -> DataFrame:
     return rounded(marts.signal_series(t.readings(s, d), t.tags(s, d), t.max_event_time(s, d), ALL_EVENTS), "avg_value")
 
 
+@query
+def mart_signal_day(s: SparkSession, d: str) -> DataFrame:
+    """The series with a look-back that leaves most readings out."""
+    return rounded(marts.signal_series(t.readings(s, d), t.tags(s, d), t.max_event_time(s, d), "24 HOURS"), "avg_value")
+
+
 @query
 def mart_signal_6h(s: SparkSession, d: str) -> DataFrame:
     out = marts.signal_series(t.readings(s, d), t.tags(s, d), t.max_event_time(s, d), ALL_EVENTS, "6 hours")
@@ -670,6 +716,11 @@ def mart_diagnosis_kpi(s: SparkSession, d: str) -> DataFrame:
     return rounded(marts.diagnosis_kpi(t.diagnoses(s, d), t.max_event_time(s, d), ALL_EVENTS), "avg_confidence_24h")
 
 
+@query
+def mart_diagnosis_kpi_24h(s: SparkSession, d: str) -> DataFrame:
+    return rounded(marts.diagnosis_kpi(t.diagnoses(s, d), t.max_event_time(s, d), "24 HOURS"), "avg_confidence_24h")
+
+
 def health_mart(s: SparkSession, d: str) -> DataFrame:
     dead = t.readings(s, d).filter(F.col("value").isNull())
     return marts.stream_health(health_rows(s, d), late_rows(s, d), dead, t.max_event_time(s, d), ALL_EVENTS)

@@ -256,6 +256,26 @@ FROM v_missing WHERE field_path IS NOT NULL""")
 
 twin("cdc_land", "SELECT * EXCLUDE (deleted, cdc_op, ver) FROM v_assets_feed")
 
+
+def landed(table: str, key: str, day: str, money: str, columns: str) -> str:
+    return f"""
+SELECT ['tenant_a', 'tenant_b', 'tenant_c'][{key} % 3 + 1] AS tenant_id, {columns},
+  CASE WHEN {key} % 19 <> 0 THEN CAST(trunc({money}) AS DOUBLE) END AS downtime_minutes,
+  CASE WHEN {key} % 5 <> 0 THEN CAST({key} AS BIGINT) END AS failure_mode_id,
+  CASE WHEN {key} % 7 <> 0 THEN CAST(CAST({day} AS DATE) AS TIMESTAMP) ELSE TIMESTAMP '1970-01-01' END AS created_at
+FROM {table} WHERE {key} % 17 <> 0"""
+
+
+twin("cdc_land_workorder", landed(
+    "orders", "o_orderkey", "o_orderdate", "o_totalprice",
+    "'wo_' || o_orderkey AS work_order_id, o_orderstatus AS work_order_status, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS requested_at",
+))
+twin("cdc_land_maintenance", landed(
+    "lineitem", "l_orderkey", "l_shipdate", "l_quantity",
+    "'mnt_' || l_orderkey || '_' || l_linenumber AS maintenance_id, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS performed_at, "
+    "[true, false, true, false, NULL][l_linenumber % 5 + 1] AS sensor_anomaly_related",
+))
+
 twin("cdc_op_ts", """
 SELECT tenant_id, asset_id, asset_name, cdc_op, TIMESTAMP '2023-01-01' + to_minutes(ver::BIGINT) AS cdc_updated_at
 FROM v_assets_cdc""")
@@ -781,7 +801,7 @@ LEFT JOIN v_assets d USING (tenant_id, asset_id)""")
 twin("mart_condition_snapshot", "SELECT * FROM v_snapshot")
 
 
-def signal_view(width: str) -> str:
+def signal_view(width: str, since: str = EVENTS_SINCE) -> str:
     return f"""
 SELECT s.tenant_id, s.asset_id, s.component_id, s.tag_id, s.metric_name, bucket_minute, avg_value, min_value, max_value,
   last_value, event_count, quality_flags, contains(quality_flags, 'late') AS has_late_arrival,
@@ -793,13 +813,16 @@ FROM (SELECT tenant_id, asset_id, component_id, tag_id, metric_name, time_bucket
     arg_max(value, (event_time, event_id)) FILTER (value IS NOT NULL) AS last_value,
     CAST(count(*) AS BIGINT) AS event_count,
     array_to_string(list_sort(list_distinct(flatten(list(quality_flags)))), '|') AS quality_flags
-  FROM v_readings WHERE event_time >= {EVENTS_SINCE} GROUP BY ALL) s
+  FROM v_readings WHERE event_time >= {since} GROUP BY ALL) s
 LEFT JOIN v_tags t ON s.tenant_id = t.tenant_id AND s.tag_id = t.tag_id"""
 
 
 view("v_signal_1m", signal_view("1 MINUTE"))
 view("v_signal_6h", signal_view("6 HOUR"))
 twin("mart_signal_1m", "SELECT * REPLACE (round(avg_value, 6) AS avg_value) FROM v_signal_1m")
+DAY_SINCE = "(SELECT as_of - INTERVAL 24 HOUR FROM v_as_of)"
+view("v_signal_day", signal_view("1 MINUTE", DAY_SINCE))
+twin("mart_signal_day", "SELECT * REPLACE (round(avg_value, 6) AS avg_value) FROM v_signal_day")
 twin("mart_signal_6h", "SELECT * REPLACE (round(avg_value, 6) AS avg_value) FROM v_signal_6h")
 
 twin("mart_anomaly_enriched", f"""
@@ -818,7 +841,8 @@ LEFT JOIN v_components c ON a.tenant_id = c.tenant_id AND a.component_id = c.com
 LEFT JOIN (SELECT DISTINCT 'fm_' || type_code || '_' || brand_no AS mode,
     upper(substr(type_code, 1, 1)) || substr(type_code, 2) || ' Wear ' || brand_no AS label FROM v_modes) m ON a.mode = m.mode""")
 
-twin("mart_diagnosis_kpi", f"""
+def kpi_sql(since: str) -> str:
+    return f"""
 SELECT tenant_id, asset_id, {AS_OF} AS snapshot_time, CAST(count(DISTINCT diagnosis_id) AS BIGINT) AS diagnosis_count_24h,
   CAST(count(DISTINCT diagnosis_id) FILTER (risk_level = 'high') AS BIGINT) AS high_risk_diagnosis_count_24h,
   CAST(count(DISTINCT diagnosis_id) FILTER (risk_level = 'critical') AS BIGINT) AS critical_risk_diagnosis_count_24h,
@@ -827,7 +851,11 @@ SELECT tenant_id, asset_id, {AS_OF} AS snapshot_time, CAST(count(DISTINCT diagno
   CAST(count(DISTINCT diagnosis_id) FILTER (quality_caveats <> '') AS BIGINT) AS diagnosis_with_quality_caveats_24h,
   CAST(count(DISTINCT diagnosis_id) FILTER (anomaly_id IS NOT NULL) AS BIGINT) AS diagnosis_linked_to_anomaly_count_24h,
   max(created_at) AS latest_diagnosis_time, {AS_OF} AS load_time
-FROM v_diagnoses WHERE created_at >= {EVENTS_SINCE} GROUP BY tenant_id, asset_id""")
+FROM v_diagnoses WHERE created_at >= {since} GROUP BY tenant_id, asset_id"""
+
+
+twin("mart_diagnosis_kpi", kpi_sql(EVENTS_SINCE))
+twin("mart_diagnosis_kpi_24h", kpi_sql(DAY_SINCE))
 
 twin("mart_stream_health", f"""
 SELECT tenant_id, source_system, job_name AS pipeline_name, {AS_OF} AS snapshot_time, message_count_5m,

@@ -154,6 +154,30 @@ def route_alerts(incident_rows: DataFrame, created_at: Column, webhook_configure
     )
 
 
+# The card's labels, in order, its constant cool-down and its closing sentences.
+CARD_LABELS = (
+    "Tenant",
+    "Asset",
+    "Metric",
+    "Rule",
+    "Incident ID",
+    "Severity",
+    "Anomaly count",
+    "First seen",
+    "Last seen",
+    "Cooldown",
+    "Triage finding",
+    "Recommended checks",
+    "Evidence ID",
+    "Recommendation ID",
+)
+CARD_COOLDOWN = "10 min"
+CARD_CLOSING = (
+    "This is an LLM-assisted triage summary for operator review. "
+    "Review the recommended checks before taking operational action."
+)
+
+
 def alert_text(context: DataFrame) -> DataFrame:
     """Incidents with the card's ``alert_summary``, ``alert_color`` and ``alert_text``."""
 
@@ -164,27 +188,19 @@ def alert_text(context: DataFrame) -> DataFrame:
         return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("N/A"))
 
     checks = F.coalesce(F.nullif(F.array_join("recommended_checks", ", "), F.lit("")), F.lit("N/A"))
-    lines = [
-        ("Tenant", shown(F.col("tenant_id"))),
-        ("Asset", shown(F.col("asset_id"))),
-        ("Metric", shown(F.col("metric_name"))),
-        ("Rule", shown(F.col("rule_id"))),
-        ("Incident ID", shown(F.col("incident_id"))),
-        ("Severity", shown(F.col("max_severity"))),
-        ("Anomaly count", shown(F.col("anomaly_count"))),
-        ("First seen", shown(iso_z("first_seen_at"))),
-        ("Last seen", shown(iso_z("last_seen_at"))),
-        ("Cooldown", F.lit("10 min")),
-        ("Triage finding", other("summary")),
-        ("Recommended checks", checks),
-        ("Evidence ID", other("evidence_id")),
-        ("Recommendation ID", other("recommendation_id")),
+    values = [
+        *[shown(F.col(c)) for c in ("tenant_id", "asset_id", "metric_name", "rule_id", "incident_id", "max_severity")],
+        shown(F.col("anomaly_count")),
+        shown(iso_z("first_seen_at")),
+        shown(iso_z("last_seen_at")),
+        F.lit(CARD_COOLDOWN),
+        other("summary"),
+        checks,
+        other("evidence_id"),
+        other("recommendation_id"),
     ]
-    closing = F.lit(
-        "This is an LLM-assisted triage summary for operator review. "
-        "Review the recommended checks before taking operational action."
-    )
-    text = F.concat_ws("\n\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in lines], closing)
+    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in zip(CARD_LABELS, values, strict=True)]
+    text = F.concat_ws("\n\n", *lines, F.lit(CARD_CLOSING))
     return context.withColumns(
         {
             "alert_summary": F.concat(

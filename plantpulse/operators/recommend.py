@@ -25,6 +25,11 @@ RECOMMENDED_CHECKS = (
     "Review asset runbook references before operator action.",
     "Confirm data quality flags before escalating severity.",
 )
+SUMMARY_MIDDLE = " has an evidence-backed "
+SUMMARY_END = " anomaly in the selected window. Review the recommended checks before taking operational action."
+ACTION_START = "Review "
+ACTION_MIDDLE = " readings on "
+ACTION_END = " in Doris and cross-check with asset runbook references before operator action."
 CAUSE_CHANGE = "Hypothesis: sensor or process condition changed during the anomaly window."
 CAUSE_QUALITY = "Hypothesis: data quality issues may affect confidence."
 CAUSE_PHYSICAL = "Hypothesis: physical operating condition breached configured expectations."
@@ -74,10 +79,8 @@ def recommendations(evidence: DataFrame, created_at: Column, related_signals: Co
         asset.alias("asset_id"),
         component.alias("component_id"),
         F.concat(
-            asset, F.lit(" has an evidence-backed "), metric,
-            F.lit(
-                " anomaly in the selected window. Review the recommended checks before taking operational action."
-            ),
+            asset, F.lit(SUMMARY_MIDDLE), metric,
+            F.lit(SUMMARY_END),
         ).alias("summary"),
         F.array(
             F.concat(
@@ -97,8 +100,7 @@ def recommendations(evidence: DataFrame, created_at: Column, related_signals: Co
         sorted_set(related_signals).alias("related_signals"),
         F.array().cast("array<string>").alias("related_failure_modes"),
         F.concat(
-            F.lit("Review "), metric, F.lit(" readings on "), asset, slash,
-            F.lit(" in Doris and cross-check with asset runbook references before operator action."),
+            F.lit(ACTION_START), metric, F.lit(ACTION_MIDDLE), asset, slash, F.lit(ACTION_END),
         ).alias("suggested_action"),
         F.when(doubtful, F.lit("low")).otherwise(F.lit("medium")).alias("confidence_label"),
         F.col("_caveats").alias("quality_caveats"),

@@ -144,23 +144,23 @@ def repeated(docs: DataFrame) -> DataFrame:
     left = written(ranked.join(common, "rank"), "suffix-ranks")
     onward = left.select("rid", F.col("at").alias("next_at"), F.col("rank").alias("next_rank"))
     paired = left.where("before >= after").withColumn("next_at", F.col("at") + F.col("step")).join(onward.distinct(), ["rid", "next_at"])
-    paired = written(paired.select("rid", "at", "before", "after", "rank", "next_rank", "around"), "suffix-pairs")
+    paired = paired.withColumn("rank", F.xxhash64("rank", "next_rank"))  # a pair's new rank
+    paired = written(paired.select("rid", "at", "before", "after", "rank", "around"), "suffix-pairs")
     place = F.struct("rid", "at")
-    kinds = paired.groupBy("rank", "next_rank", "around").agg(F.count("*").alias("same"), F.min(place).alias("one"))
-    groups = kinds.groupBy("rank", "next_rank").agg(F.count("*").alias("kinds"), F.sum("same").alias("all")).where("all > 1")
-    told = written(kinds.join(groups, ["rank", "next_rank"]).select("rank", "next_rank", "around", "same", "one", "kinds"), "suffix-groups")
-    known = paired.join(told, ["rank", "next_rank", "around"])
+    kinds = paired.groupBy("rank", "around").agg(F.count("*").alias("same"), F.min(place).alias("one"))
+    groups = kinds.groupBy("rank").agg(F.count("*").alias("kinds"), F.sum("same").alias("all")).where("all > 1")
+    told = written(kinds.join(groups, "rank").select("rank", "around", "same", "one", "kinds"), "suffix-groups")
+    known = paired.join(told, ["rank", "around"])
     whole = known.where("same > 1").select("rid", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("after")).alias("last"))
-    open_rank = F.xxhash64("rank", "next_rank").alias("rank")
     unsettled = known.where((F.col("kinds") > 1) & ((F.col("same") == 1) | (F.col("one") == place)))
-    asked = unsettled.select("rid", "at", "before", "after", open_rank, F.ceil(F.col("kinds") / CROWD).cast("int").alias("parts"))
+    asked = unsettled.select("rid", "at", "before", "after", "rank", F.ceil(F.col("kinds") / CROWD).cast("int").alias("parts"))
     return whole.union(compared(docs, asked))
 
 
 def compared(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """rid, first, last of the starts of ``asked`` anchors whose strings are equal to another's of their rank."""
     lists = asked.groupBy("rid").agg(F.collect_list(F.struct("at", "before", "after", "rank", "parts")).alias("asked"))
-    kinds = pa.schema([("rank", pa.int64()), ("part", pa.int32()), ("rid", pa.int64()), ("at", pa.int64()), ("back", pa.binary()), ("hashes", pa.binary())])
+    kinds = pa.schema([("rank", pa.int64()), ("part", pa.int32()), ("rid", pa.int64()), ("at", pa.int64()), ("after", pa.int16()), ("back", pa.binary()), ("hashes", pa.binary())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of_texts(batches, "text", GROUP_BYTES):
@@ -177,14 +177,15 @@ def compared(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     own, hash_ = back[bounds[i] : bounds[i + 1]].astype(np.uint8), found[bounds[i] : bounds[i + 1]]
                     for part in range(parts[i]):  # equal strings have equal hashes and so the same part
                         here = slice(None) if parts[i] == 1 else hash_ % np.uint64(parts[i]) == part
-                        rows.append((int(rank[i]), part, rid, int(at[i]), own[here].tobytes(), hash_[here].tobytes()))
+                        backs = None if parts[i] == 1 else own[here].tobytes()  # else they go on from ``after``
+                        rows.append((int(rank[i]), part, rid, int(at[i]), int(after[i]), backs, hash_[here].tobytes()))
                 if len(rows) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    dealt = docs.select("rid", "text").join(lists, "rid").mapInArrow(hashed, "rank bigint, part int, rid bigint, at bigint, back binary, hashes binary")
+    dealt = docs.select("rid", "text").join(lists, "rid").mapInArrow(hashed, "rank bigint, part int, rid bigint, at bigint, after smallint, back binary, hashes binary")
     dealt = dealt.repartition("rank", "part").sortWithinPartitions("rank", "part")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +214,14 @@ def _groups(rows: pa.Table) -> np.ndarray:
 
 
 def _equal(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    back = np.frombuffer(b"".join(rows.column("back").to_pylist()), np.uint8).astype(np.int64)
-    hashes = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64)
-    sizes = np.array([len(x) for x in rows.column("back").to_pylist()])
+    lists = rows.column("hashes").to_pylist()
+    hashes = np.frombuffer(b"".join(lists), np.uint64)
+    sizes = np.array([len(x) // 8 for x in lists])
+    back = ranges(rows.column("after").to_numpy().astype(np.int64), sizes)
+    if rows.column("back").null_count < rows.num_rows:
+        for i, (end, given) in enumerate(zip(np.cumsum(sizes), rows.column("back").to_pylist(), strict=True)):
+            if given is not None:
+                back[end - sizes[i] : end] = np.frombuffer(given, np.uint8)
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = group[row] << 8 | back
     order = np.lexsort((hashes, place))

@@ -24,10 +24,14 @@ from plantpulse.llm.shared import groups_of_texts, new_folder, written
 
 BLOCK = 4096
 MAGIC = b"PLIDS001"
+#: Widths of whole bytes: the same layout, without shifts.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Eight ids fill ``bits`` bytes; the last eight are filled up with zeros."""
+    if bits in WHOLE:
+        return np.concatenate([ids, np.zeros(-len(ids) % 8, np.uint32)]).astype(WHOLE[bits]).tobytes()
     lanes = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(lanes), bits + 8), np.uint8)
@@ -41,6 +45,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
     """The first ``count`` ids of what pack() made."""
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits])[:count].astype(np.uint32)
     rows = np.frombuffer(data, np.uint8).reshape(-1, bits)
     out = np.zeros((len(rows), 8), np.uint32)
     for lane in range(8):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from plantpulse.llm.bytebpe import ranges
 from plantpulse.llm.shared import groups_of_texts
 
 #: Bound on the labelled rows that the classifier is fitted on; the smallest hashes of their ids are taken.
@@ -84,25 +85,27 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return ids[order], np.bincount(np.concatenate(owners), minlength=len(words))
 
 
-def features(texts: list[str], buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the buckets that it has and their weights, which sum to 1 (no words: none)."""
-    known: dict[str, int] = defaultdict()
-    known.default_factory = known.__len__
-    numbered = counted(texts, known)
-    ids, sizes = subwords(list(known), buckets)
-    ends = np.cumsum(sizes)
-    out = []
-    for places, times in numbered:
-        if not len(places):
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
-            continue
-        words, back = np.unique(places, return_inverse=True)
-        counts = np.bincount(back, times)
-        own = np.concatenate([ids[ends[w] - sizes[w] : ends[w]] for w in words])
-        weight = np.repeat(counts / counts.sum() / sizes[words], sizes[words])
-        places, back = np.unique(own, return_inverse=True)
-        out.append((places, np.bincount(back, weight).astype(np.float32)))
-    return out
+def features(texts: list[str], buckets: int = BUCKETS, at_once: int = 200) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the buckets that it has and their weights, which sum to 1 (no words: none).
+
+    The words of ``at_once`` texts are taken apart together.
+    """
+    for low in range(0, len(texts), at_once):
+        known: dict[str, int] = defaultdict()
+        known.default_factory = known.__len__
+        numbered = counted(texts[low : low + at_once], known)
+        ids, sizes = subwords(list(known), buckets)
+        ends = np.cumsum(sizes)
+        for places, times in numbered:
+            if not len(places):
+                yield np.zeros(0, np.int32), np.zeros(0, np.float32)
+                continue
+            words, back = np.unique(places, return_inverse=True)
+            counts = np.bincount(back, times)
+            own = ids[ranges(ends[words] - sizes[words], sizes[words])]
+            weight = np.repeat(counts / counts.sum() / sizes[words], sizes[words])
+            met, back = np.unique(own, return_inverse=True)
+            yield met.astype(np.int32), np.bincount(back, weight).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
@@ -111,7 +114,7 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, width: in
     vectors = ((rng.random((buckets, width), np.float32) - 0.5) / width).astype(np.float32)
     weights, bias = np.zeros((2, width), np.float32), np.zeros(2, np.float32)
     seen_v, seen_w, seen_b = np.full((buckets, 1), 1e-8, np.float32), np.full((2, width), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    rows, target = features(texts, buckets), np.array(labels)
+    rows, target = list(features(texts, buckets)), np.array(labels)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(rows)):

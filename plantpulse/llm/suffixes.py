@@ -84,6 +84,8 @@ def anchors(hashes: Hashes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     least = np.minimum(behind[:count], ahead[REACH - 1 : REACH - 1 + count]) & ((1 << 31) - 1)
     left = np.repeat(ends, np.diff(ends, prepend=0))[:count] - np.arange(count)  # bytes to the text's end
     start = np.flatnonzero(left >= REACH + GRAM - 1)
+    if not len(start):  # short texts only
+        return none
     least, left = least[start], left[start]
     text = np.searchsorted(ends, start, "right")
     new = np.flatnonzero((np.diff(least, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))

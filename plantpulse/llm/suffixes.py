@@ -14,8 +14,8 @@ anchors that follow it too, and an anchor serves a run of starts.
    rank holds different surroundings, the strings of their starts are compared by 64-bit hashes, for each
    distance from the anchor.
 
-Rows know their document by its place in the scan: ``docs`` must be a table or a checkpoint, which every
-job reads in the same order.
+Rows know their document by a 64-bit hash of its id and text, whichever way later jobs cut the scan. Equal
+rows share the hash and are copies of each other, so what is found for one holds for all of them.
 """
 
 from __future__ import annotations
@@ -98,7 +98,8 @@ def anchors(hashes: Hashes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+    """``docs`` with rid, a hash of the row's content: a place in the scan would change with the scan's splits."""
+    return docs.withColumn("rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
 
 
 def first_ranks(docs: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """rid, first, last of the starts of ``asked`` anchors whose strings are equal to another's of their rank."""
-    lists = asked.groupBy("rid").agg(F.collect_list(F.struct("at", "before", "after", "rank", "parts")).alias("asked"))
+    lists = asked.groupBy("rid").agg(F.collect_set(F.struct("at", "before", "after", "rank", "parts")).alias("asked"))
     kinds = pa.schema([("rank", pa.int64()), ("part", pa.int32()), ("rid", pa.int64()), ("at", pa.int64()), ("after", pa.int16()), ("back", pa.binary()), ("hashes", pa.binary())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     Strings are judged on the input, not on what is left. Equal rows are copies of each other like any others.
     """
     rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    spans = repeated(rows).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))).alias("found"))
+    spans = repeated(rows).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))).alias("found"))
     return rows.join(spans, "rid", "left")
 
 

@@ -22,3 +22,26 @@ def test_many_short_texts_have_no_repeats(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts * 5)], "doc_id bigint, text string").coalesce(1)
     got = suffixes.without_repeats(docs).collect()
     assert len(got) == 20 and not any(r.n_removed for r in got)
+
+
+def test_repeats_hold_when_later_jobs_split_the_scan_otherwise(spark, tmp_path):
+    passage = " ".join(prose(120))
+    texts = [" ".join(prose(60)) + (f" {passage} " if i % 3 == 0 else " ") + " ".join(prose(60)) for i in range(30)]
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, x) for i, x in enumerate(texts)] + [(3, texts[3]), (1, texts[1]), (None, texts[2]), (None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12).write.parquet(path)
+    docs = spark.read.parquet(path)
+    answer = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        want = answer(suffixes.without_repeats(docs))
+        later = suffixes.without_repeats(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert answer(later) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = {1, 2, 3, None}  # rows with a copy
+    for doc_id, n_bytes, n_removed, *_ in want:
+        assert n_removed == n_bytes if doc_id in whole else (n_removed >= len(passage)) == (doc_id % 3 == 0)

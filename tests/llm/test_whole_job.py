@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import corpus_pipeline
 import numpy as np
 
-from plantpulse.llm import suffixes
+from plantpulse.llm import minhash, suffixes
 
 RNG = np.random.default_rng(8)
 WORDS = ["".join(RNG.choice(list("abcdefgh"), int(n))) for n in RNG.integers(2, 9, 2_000)]
@@ -45,3 +48,44 @@ def test_repeats_hold_when_later_jobs_split_the_scan_otherwise(spark, tmp_path):
     whole = {1, 2, 3, None}  # rows with a copy
     for doc_id, n_bytes, n_removed, *_ in want:
         assert n_removed == n_bytes if doc_id in whole else (n_removed >= len(passage)) == (doc_id % 3 == 0)
+
+
+def brute_jaccard(texts):
+    sets = []
+    for text in texts:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if both >= 0.8 * either:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_copy_stage_equals_brute_force_jaccard(spark, monkeypatch):
+    texts = [None, "", " \n", "one two", "ONE two", "one two three"]
+    for n in (40, 120, 400):
+        for _ in range(6):
+            words = prose(n)
+            texts.append(" ".join(words))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+                copy = list(words)
+                for at in RNG.choice(n, max(1, int(n * share)), replace=False):
+                    copy[at] = "changed"
+                texts.append(" ".join(copy))
+    words = prose(150)
+    for _ in range(40):  # a group of near copies that is cut, and a chain
+        copy = list(words)
+        copy[int(RNG.integers(150))] = "other"
+        texts.append(" ".join(copy))
+        words[int(RNG.integers(150))] = "moved"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(minhash, "SHARD", 15)
+    docs = spark.createDataFrame([(i, x, i % 3) for i, x in enumerate(texts)] + [(7, texts[7], 1), (None, texts[8], 1)], "doc_id bigint, text string, size int")
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = sorted(set(brute_jaccard(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == want and len(want) < len(texts) / 2
+    assert corpus_pipeline.one_of_near_copies(spark, docs.where("false"), "").count() == 0

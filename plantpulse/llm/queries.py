@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import bitpack, decontaminate, mixing, ppm, quality, simhash, suffixes, token_counts, topk, warc
+from plantpulse.llm import alignment, bitpack, decontaminate, itq, lexical, mixing, ppm, quality, simhash, suffixes, token_counts, topk, warc
 from plantpulse.llm.shared import table
 
 BPE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment_scores(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.path(PIECE_FILE))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -64,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_packed_ids": op9_packed_ids,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_alignment": op12_alignment,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 TWINS: dict[str, str] = {
@@ -86,4 +103,40 @@ TWINS: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op11_ranked_search": r"""
+        WITH w AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL
+        ),
+        d AS (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM w WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+        asked AS (
+            SELECT row_number() OVER () AS q, item_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+        ),
+        item AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM asked) GROUP BY ALL),
+        tf AS (
+            SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+            WHERE term IN (SELECT term FROM item) GROUP BY ALL
+        ),
+        weight AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+        ),
+        scored AS (
+            SELECT q, item_id, r, doc_id,
+                   CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM item JOIN weight USING (term) JOIN tf USING (term) JOIN d USING (r), total
+            GROUP BY q, item_id, r, doc_id
+        ),
+        best AS (
+            SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10
+    """,
 }

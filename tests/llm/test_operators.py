@@ -457,5 +457,5 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert "op5_top_k" in entry.oracle_sql()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert {"op5_top_k", "op11_ranked_search"} <= set(entry.oracle_sql())

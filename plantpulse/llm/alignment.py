@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from plantpulse.llm.bytebpe import SPACE, ByteBPE, ranges
 from plantpulse.llm.shared import groups_of_texts, written
 
-#: Ends of a piece; bytes of text taken at once; units kept in a task's table, and their characters.
+#: Ends of a piece; bytes of text taken at once; units kept in a task's table, and their characters; units given to the libraries at once.
 PIECE = 1 << 15
-GROUP_BYTES = 1 << 20
-MOST_UNITS = 300_000
-MOST_CHARACTERS = 8_000_000
+GROUP_BYTES = 1 << 19
+MOST_UNITS = 250_000
+MOST_CHARACTERS = 5_000_000
+AT_ONCE = 8_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -87,26 +88,33 @@ class Pair:
 
     def b_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the units (each begins with white space) one after another, their numbers, and whether bytes are kept."""
-        sizes, same, parts = np.zeros(len(units), np.int64), np.ones(len(units), bool), [np.zeros(0, np.int64)] * len(units)
-        plain = [i for i, u in enumerate(units) if u[0] == " " and not u[-1].isspace()]
-        lots = [plain[low : low + 500] for low in range(0, len(plain), 500)]
-        alone = [i for i, u in enumerate(units) if u[0] != " " or u[-1].isspace()]
-        for lot, got in zip(lots, self.b.encode(["".join([units[i] for i in lot])[1:] for lot in lots], num_threads=1), strict=True):
+        sizes, same, order, parts = np.zeros(len(units), np.int64), np.ones(len(units), bool), [], [np.zeros(0, np.int64)]
+        plain, alone = [], []
+        for i, u in enumerate(units):
+            (plain if u[0] == " " and not u[-1].isspace() else alone).append(i)
+        for low in range(0, len(plain), 500):
+            lot = plain[low : low + 500]
+            some = [units[i] for i in lot]
+            text = "".join(some)
             # the library puts a space in front, which is the first unit's own
-            data = [units[i].encode() for i in lot]
-            if b"".join(map(self.bytes_b.__getitem__, got)) != b"".join(data):
+            got = self.b.encode(text[1:])
+            if b"".join(map(self.bytes_b.__getitem__, got)) != text.encode():
                 alone += lot
                 continue
-            numbers = np.array(got, np.int64)
-            ends = np.searchsorted(np.cumsum(self.widths[1][numbers]), np.cumsum([len(x) for x in data])) + 1
-            for i, low, high in zip(lot, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                parts[i], sizes[i] = numbers[low:high], high - low
+            parts.append(np.array(got, np.int64))
+            ends = np.cumsum(list(map(len, some if text.isascii() else [u.encode() for u in some])))
+            sizes[lot] = np.diff(np.searchsorted(np.cumsum(self.widths[1][parts[-1]]), ends) + 1, prepend=0)
+            order += lot
         lead = len(self.b.encode("x"))
         for i in alone:
-            parts[i] = np.array(self.b.encode("x" + units[i])[lead:], np.int64)
-            sizes[i] = len(parts[i])
-            same[i] = b"".join(map(self.bytes_b.__getitem__, parts[i].tolist())) == units[i].encode()
-        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.uint32), sizes, same
+            got = self.b.encode("x" + units[i])[lead:]
+            parts.append(np.array(got, np.int64))
+            sizes[i] = len(got)
+            same[i] = b"".join(map(self.bytes_b.__getitem__, got)) == units[i].encode()
+        order = np.array(order + alone, np.int64)
+        starts = np.zeros(len(units), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(parts)[ranges(starts, sizes)].astype(np.uint32), sizes, same
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The place of each unit in the table."""
@@ -118,11 +126,13 @@ class Pair:
         if new := [x for x in met if x not in self.known]:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.held += sum(map(len, new))
-            b_ids, b_sizes, same = self.b_ids(new)
-            for side, (ids, sizes) in enumerate((self.a.ids(new), (b_ids, b_sizes))):
-                self.ids[side] = np.concatenate([self.ids[side], ids])
-                self.sizes[side] = np.concatenate([self.sizes[side], sizes])
-            self.same = np.concatenate([self.same, same])
+            for low in range(0, len(new), AT_ONCE):  # the libraries' own results are many times the ids
+                some = new[low : low + AT_ONCE]
+                b_ids, b_sizes, same = self.b_ids(some)
+                for side, (ids, sizes) in enumerate((self.a.ids(some), (b_ids, b_sizes))):
+                    self.ids[side] = np.concatenate([self.ids[side], ids])
+                    self.sizes[side] = np.concatenate([self.sizes[side], sizes])
+                self.same = np.concatenate([self.same, same])
         return np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))[codes]
 
     def encode(self, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -180,21 +190,30 @@ def links_of(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
     return joined(0, i), joined(1, j)
 
 
-def group_texts(a_ids: np.ndarray, b_ids: np.ndarray, at: np.ndarray, bt: np.ndarray, words: list[bytes], n_a: int, n_b: int) -> list[bytes]:
-    """Every token as text with what follows it, groups in order: A's ids, a bar, B's ids, a semicolon.
+class IdTexts:
+    """Ids as text: decimal digits and what follows them."""
 
-    ``at`` and ``bt``: the last A and B token of each group. ``words`` holds, for ids of A and then of B, the
-    id with a comma, and again for each the id as the last of its group.
-    """
-    group_a = np.searchsorted(at, np.arange(len(a_ids)))
-    group_b = np.searchsorted(bt, np.arange(len(b_ids)))
-    out = np.zeros(len(a_ids) + len(b_ids), np.int64)
-    last_a, last_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
-    last_a[at], last_b[bt] = 1, 1
-    b_before = np.concatenate([[0], bt + 1])[group_a] if len(a_ids) else np.zeros(0, np.int64)
-    out[np.arange(len(a_ids)) + b_before] = a_ids + last_a * (n_a + n_b)
-    out[np.arange(len(b_ids)) + at[group_b] + 1] = b_ids + n_a + last_b * (n_a + n_b)
-    return list(map(words.__getitem__, out.tolist()))
+    def __init__(self, n_a: int, n_b: int):
+        self.n_a, self.both = n_a, n_a + n_b
+        # ids of A, then of B, inside a group; then both again as a group's last: A's before a bar, B's before a semicolon
+        words = [b"%d," % i for n in (n_a, n_b) for i in range(n)] + [b"%d|" % i for i in range(n_a)] + [b"%d;" % i for i in range(n_b)]
+        self.lengths = np.array([len(x) for x in words])
+        self.letters = np.array(words).view(np.uint8).reshape(len(words), -1)
+
+    def groups(self, a_ids: np.ndarray, b_ids: np.ndarray, at: np.ndarray, bt: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All tokens, groups in order, A's ids before B's, as one text, and where each token's part ends.
+
+        ``at`` and ``bt``: the last A and B token of each group.
+        """
+        last_a, last_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
+        last_a[at], last_b[bt] = 1, 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        out = np.zeros(len(a_ids) + len(b_ids), np.int64)
+        out[np.arange(len(a_ids)) + np.concatenate([[0], bt + 1])[group_a]] = a_ids + last_a * self.both
+        out[np.arange(len(b_ids)) + np.append(at, 0)[group_b] + 1] = b_ids + self.n_a + last_b * self.both
+        lengths = self.lengths[out]
+        shown = np.arange(self.letters.shape[1]) < lengths[:, None]
+        return self.letters[out][shown].tobytes(), np.cumsum(lengths)
 
 
 def possible_pairs(bytes_a: list[bytes], bytes_b: list[bytes]) -> np.ndarray:
@@ -226,19 +245,19 @@ def align(docs: DataFrame, a_path: str, b_path: str, piece: int = PIECE) -> Data
     kinds = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("links", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, known = Pair(a_path, b_path), pairs.value
-        words = [b"%d," % i for n in (n_a, n_b) for i in range(n)] + [b"%d|" % i for i in range(n_a)] + [b"%d;" % i for i in range(n_b)]
+        both, known, texts = Pair(a_path, b_path), pairs.value, IdTexts(n_a, n_b)
         for batch in groups_of_texts(batches, "text", GROUP_BYTES):
             ((a_ids, a_sizes), (b_ids, b_sizes)), _ = both.encode(batch.column("text").to_pylist())
             a_ids, b_ids = a_ids.astype(np.int64), b_ids.astype(np.int64)
             # texts with tokens have equal bytes on both sides, so all of a batch can be merged as one
             at, bt = links_of(np.cumsum(both.widths[0][a_ids]), np.cumsum(both.widths[1][b_ids]), piece)
-            texts = group_texts(a_ids, b_ids, at, bt, words, n_a, n_b)
+            shown, parts = texts.groups(a_ids, b_ids, at, bt)
             a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
             ends = np.searchsorted(at, a_ends)  # a text's last token is a group's last
             starts = np.concatenate([[0], ends])
-            begin = np.concatenate([[0], a_ends + b_ends]).tolist()
-            digests = [hashlib.sha256(b"".join(texts[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(begin, begin[1:], strict=False)]
+            begin = np.concatenate([[0], parts])[np.concatenate([[0], a_ends + b_ends])].tolist()
+            view = memoryview(shown)  # without a text's last semicolon
+            digests = [hashlib.sha256(view[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(begin, begin[1:], strict=False)]
             codes = np.searchsorted(known, a_ids[at] * n_b + b_ids[bt]).astype(np.int32)
             many = pa.array(np.diff(starts))
             links = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(codes))

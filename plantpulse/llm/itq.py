@@ -101,13 +101,13 @@ def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def balls(rows: DataFrame, model: tuple, dim: int, angle: float) -> DataFrame:
     """rid, first (the ball's substring), alpha (angle to its centre), centre, c0, c1 of vectors that belong to a ball."""
-    first = rows.select("rid", F.col("keys")[0].alias("first"), "embedding")
-    crowded = first.groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("first")
-    some = first.join(crowded, "first")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    first = rows.select("rid", F.col("keys")[0].alias("first"), "embedding", F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"))
+    crowded = first.groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("first", salts.alias("salt"))
+    some = first.join(crowded, ["first", "salt"])
     centre = some.groupBy("first").agg(F.array(*[F.sum(F.col("embedding")[i].cast("double")) for i in range(dim)]).alias("centre"))
     centre = coded(centre.where(usable("centre")), model, dim, "centre").drop("keys")
-    salted = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = some.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(salted, ["first", "salt"]).drop("salt")
+    met = some.join(centre.withColumn("salt", salts), ["first", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

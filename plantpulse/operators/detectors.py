@@ -66,52 +66,85 @@ def resolve_fault_type(flags: Column, param_fault: Column | None = None) -> Colu
 # --- group detectors ----------------------------------------------------------------------
 
 
-def series_summary(readings: DataFrame) -> DataFrame:
-    """One row per series: count, first and last reading, moments without the last reading, flags.
+def series_summary(readings: DataFrame, cell: str = "1 hour") -> DataFrame:
+    """One row per series: count, first and last reading, moments without the last reading, flags, first ten ids.
 
-    Both aggregations combine map-side, so a series with a third of all rows costs no more
-    than others.  The last reading is left out before the moments are taken: taking it out of
-    the whole series' moments would lose their digits where it is an extreme outlier.
+    One scan.  Rows meet by series and time ``cell``, so no series comes to one task.  A cell keeps the mean and
+    the squared deviations of all its readings but the last one, and that one apart; the cells of a series are then
+    merged in time order, the last one without its last reading.  Nothing is ever subtracted from a sum, so an
+    extreme last value takes no digits from the baseline.  Key columns may be NULL.
     """
     row = F.struct(*ORDER, "value", *_PASSENGERS)
-    s = readings.groupBy(*SERIES).agg(
-        F.count("value").alias("n"),
-        F.min(row).alias("first"),
-        F.max(row).alias("last"),
-        F.flatten(F.collect_set("quality_flags")).alias("flags"),
+    rows = with_bucket(readings, "event_time", cell, "_cell").withColumn("_row", row)
+    inside = Window.partitionBy(*SERIES, "_cell").orderBy("_row")
+    rows = rows.withColumns({"_front": F.row_number().over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull()})
+    rest = F.when(~F.col("_end"), F.col("value"))
+    cells = rows.groupBy(*SERIES, "_cell").agg(
+        F.count("value").alias("_n"),
+        F.min("_row").alias("_first"),
+        F.max("_row").alias("_last"),
+        F.struct(
+            F.count(rest).alias("n"),
+            F.coalesce(F.avg(rest), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.var_pop(rest) * F.count(rest), F.lit(0.0)).alias("m2"),
+            F.min(rest).alias("lo"),
+            F.max(rest).alias("hi"),
+        ).alias("_rest"),
+        F.flatten(F.collect_set("quality_flags")).alias("_flags"),
+        F.array_sort(F.collect_list(F.when(F.col("_front") <= MAX_SOURCE_IDS, F.struct(*ORDER)))).alias("_ids"),
     )
-    n, x = F.col("n"), F.col("last.value")
-    ends = s.select(*SERIES, *[F.col(f"last.{c}").alias(f"_last_{c}") for c in ORDER])
-    is_last = F.lit(True)
-    for c in ORDER:
-        is_last = is_last & F.col(c).eqNullSafe(F.col(f"_last_{c}"))
-    base = readings.join(ends, list(SERIES)).filter(~is_last).groupBy(*SERIES).agg(
-        F.avg("value").alias("base_mean"),
-        F.when(F.min("value") == F.max("value"), F.lit(0.0)).otherwise(F.stddev_pop("value")).alias("base_stddev"),
+    # a cell has at least one reading, so the first ten ids lie in the first ten cells
+    early = F.row_number().over(Window.partitionBy(*SERIES).orderBy("_cell")) <= MAX_SOURCE_IDS
+    s = (
+        cells.withColumn("_ids", F.when(early, F.col("_ids")))
+        .groupBy(*SERIES)
+        .agg(
+            F.sum("_n").alias("event_count"),
+            F.min("_first").alias("first"),
+            F.max("_last").alias("last"),
+            F.array_sort(F.collect_list(F.struct("_cell", "_rest", F.col("_last.value").alias("end")))).alias("_cells"),
+            F.flatten(F.collect_set("_flags")).alias("flags"),
+            F.array_sort(F.flatten(F.collect_list("_ids"))).alias("_ids"),
+        )
     )
-    return s.join(base, list(SERIES), "left").select(
+    before = F.transform(F.slice("_cells", 1, F.size("_cells") - 1), lambda c: _merged(c["_rest"], _one(c["end"])))
+    base = F.aggregate(before, F.element_at("_cells", -1)["_rest"], _merged)
+    mean = F.when(base["n"] > 0, base["mean"])
+    deviation = F.when(base["lo"] == base["hi"], F.lit(0.0)).when(base["n"] > 0, F.sqrt(base["m2"] / base["n"]))
+    return s.select(
         *SERIES,
-        n.alias("event_count"),
+        "event_count",
         F.col("first.event_time").alias("window_start"),
         F.col("last.event_time").alias("window_end"),
         F.col("first.value").alias("first_value"),
-        x.alias("last_value"),
+        F.col("last.value").alias("last_value"),
         *[F.col(f"first.{c}").alias(c) for c in _PASSENGERS],
-        "base_mean",
-        "base_stddev",
+        mean.alias("base_mean"),
+        deviation.alias("base_stddev"),
         sorted_set(F.col("flags")).alias("quality_flags"),
+        F.transform(F.slice("_ids", 1, MAX_SOURCE_IDS), lambda r: r["event_id"]).alias("source_event_ids"),
     )
 
 
-def with_source_ids(summary: DataFrame, readings: DataFrame) -> DataFrame:
-    """Attach the first ten event ids of each series (pruned to ten per series before the shuffle)."""
-    ids = (
-        first_n(readings.select(*SERIES, *ORDER), SERIES, ORDER, MAX_SOURCE_IDS)
-        .groupBy(*SERIES)
-        .agg(F.array_sort(F.collect_list(F.struct(*ORDER))).alias("_ids"))
-        .select(*SERIES, F.transform("_ids", lambda r: r["event_id"]).alias("source_event_ids"))
+def _one(value: Column) -> Column:
+    """Moments of a single value; of none where it is NULL."""
+    zero = F.lit(0.0)
+    n = F.when(value.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    return F.struct(n.alias("n"), F.coalesce(value, zero).alias("mean"), zero.alias("m2"), value.alias("lo"), value.alias("hi"))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two groups of values together: counts, mean, sum of squared deviations from it, extremes."""
+    n = a["n"] + b["n"]
+    share = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0))
+    step = b["mean"] - a["mean"]
+    return F.struct(
+        n.alias("n"),
+        (a["mean"] + step * share).alias("mean"),
+        (a["m2"] + b["m2"] + step * step * a["n"] * share).alias("m2"),
+        F.least(a["lo"], b["lo"]).alias("lo"),
+        F.greatest(a["hi"], b["hi"]).alias("hi"),
     )
-    return summary.join(ids, list(SERIES), "left")
 
 
 def anomaly_rows(
@@ -164,8 +197,90 @@ def anomaly_rows(
     )
 
 
-def _summaries(readings: DataFrame) -> DataFrame:
-    return with_source_ids(series_summary(readings), readings)
+@dataclass
+class Verdict:
+    """Column expressions of one detector."""
+
+    rule_id: str
+    severity: str
+    hit: Column
+    observed: Column
+    baseline: Column
+    expected: Column
+    confidence: Column = field(default_factory=lambda: F.lit(0.9))
+    fault_type: Column | None = None
+    breach_count: Column | None = None
+
+
+def group_anomalies(summaries: DataFrame, *verdicts: Verdict) -> DataFrame:
+    """Anomaly rows of several detectors over one :func:`series_summary`: the summary is computed once."""
+    found = [
+        F.when(
+            v.hit,
+            F.struct(
+                F.lit(v.rule_id).alias("rule_id"),
+                F.lit(v.severity).alias("severity"),
+                v.observed.cast("double").alias("observed"),
+                v.baseline.cast("double").alias("baseline"),
+                v.expected.cast("double").alias("expected"),
+                v.confidence.cast("double").alias("confidence"),
+                v.breach_count.cast("long").alias("breach_count"),
+            ),
+        )
+        for v in verdicts
+    ]
+    rows = summaries.withColumn("_found", F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())))
+    return anomaly_rows(
+        rows,
+        F.col("_found.rule_id"),
+        severity=F.col("_found.severity"),
+        observed=F.col("_found.observed"),
+        baseline=F.col("_found.baseline"),
+        expected=F.col("_found.expected"),
+        breach_count=F.col("_found.breach_count"),
+        confidence=F.col("_found.confidence"),
+    )
+
+
+def group_spike(multiplier: float = SPIKE_MULTIPLIER, upper: Column | None = None, lower: Column | None = None) -> Verdict:
+    """At least two values, the last one at a bound (the lower one wins), else at ``multiplier`` times the mean before it."""
+    x, limit = F.col("last_value"), F.col("base_mean") * multiplier
+    none = F.lit(None).cast("double")
+    upper, lower = none if upper is None else upper, none if lower is None else lower
+    expected = F.when(x <= lower, lower).when(x >= upper, upper).when(x >= limit, limit)
+    hit = (F.col("event_count") >= 2) & expected.isNotNull()
+    return Verdict("threshold_spike", "critical", hit, x, F.round("base_mean", 6), F.round(expected, 6), breach_count=F.lit(1))
+
+
+def group_zscore(limit: float = ZSCORE_LIMIT) -> Verdict:
+    """At least four values, the last one ``limit`` deviations from the mean of those before it."""
+    mean, deviation = F.col("base_mean"), F.col("base_stddev")
+    z = F.abs((F.col("last_value") - mean) / F.nullif(deviation, F.lit(0.0)))
+    return Verdict(
+        "rolling_zscore",
+        "warning",
+        (F.col("event_count") >= 4) & (z >= limit),
+        F.col("last_value"),
+        F.round(mean, 6),
+        F.round(mean + limit * deviation, 6),
+        F.least(F.lit(0.99), F.round(z / (limit * 2), 3)),
+        breach_count=F.lit(1),
+    )
+
+
+def group_drift(max_slope: float = MAX_SLOPE) -> Verdict:
+    """At least three values whose mean change per point is ``max_slope`` or more in either direction."""
+    steps = F.col("event_count") - 1
+    slope = (F.col("last_value") - F.col("first_value")) / F.nullif(steps, F.lit(0))
+    return Verdict(
+        "drift_rate_of_change",
+        "warning",
+        (F.col("event_count") >= 3) & (F.abs(slope) >= max_slope),
+        F.round(slope, 6),
+        F.col("first_value"),
+        F.lit(max_slope),
+        breach_count=steps,
+    )
 
 
 def detect_spike(
@@ -178,58 +293,21 @@ def detect_spike(
 
     ``bounds`` may give ``upper`` / ``lower`` per tenant and tag; the lower bound wins.
     """
-    s = _summaries(readings) if summaries is None else summaries
+    s = series_summary(readings) if summaries is None else summaries
     if bounds is None:
-        s = s.withColumns({"upper": F.lit(None).cast("double"), "lower": F.lit(None).cast("double")})
-    else:
-        s = s.join(bounds.select("tenant_id", "tag_id", "upper", "lower"), ["tenant_id", "tag_id"], "left")
-    x, limit = F.col("last_value"), F.col("base_mean") * multiplier
-    expected = (
-        F.when(x <= F.col("lower"), F.col("lower")).when(x >= F.col("upper"), F.col("upper")).when(x >= limit, limit)
-    )
-    hit = s.filter(F.col("event_count") >= 2).withColumn("_expected", expected).filter(F.col("_expected").isNotNull())
-    return anomaly_rows(
-        hit,
-        "threshold_spike",
-        severity="critical",
-        observed=x,
-        baseline=F.round("base_mean", 6),
-        expected=F.round("_expected", 6),
-        breach_count=F.lit(1),
-    )
+        return group_anomalies(s, group_spike(multiplier))
+    s = s.join(bounds.select("tenant_id", "tag_id", "upper", "lower"), ["tenant_id", "tag_id"], "left")
+    return group_anomalies(s, group_spike(multiplier, F.col("upper"), F.col("lower")))
 
 
 def detect_zscore(readings: DataFrame, limit: float = ZSCORE_LIMIT, summaries: DataFrame | None = None) -> DataFrame:
     """Last value at least ``limit`` standard deviations from the mean of the values before it."""
-    s = _summaries(readings) if summaries is None else summaries
-    z = F.abs((F.col("last_value") - F.col("base_mean")) / F.nullif(F.col("base_stddev"), F.lit(0.0)))
-    hit = s.filter(F.col("event_count") >= 4).withColumn("_z", z).filter(F.col("_z") >= limit)
-    return anomaly_rows(
-        hit,
-        "rolling_zscore",
-        severity="warning",
-        observed=F.col("last_value"),
-        baseline=F.round("base_mean", 6),
-        expected=F.round(F.col("base_mean") + limit * F.col("base_stddev"), 6),
-        breach_count=F.lit(1),
-        confidence=F.least(F.lit(0.99), F.round(F.col("_z") / (limit * 2), 3)),
-    )
+    return group_anomalies(series_summary(readings) if summaries is None else summaries, group_zscore(limit))
 
 
 def detect_drift(readings: DataFrame, max_slope: float = MAX_SLOPE, summaries: DataFrame | None = None) -> DataFrame:
     """Mean change per point from the first to the last value, in either direction."""
-    s = _summaries(readings) if summaries is None else summaries
-    s = s.filter(F.col("event_count") >= 3)
-    slope = (F.col("last_value") - F.col("first_value")) / (F.col("event_count") - 1)
-    return anomaly_rows(
-        s.withColumn("_slope", slope).filter(F.abs("_slope") >= max_slope),
-        "drift_rate_of_change",
-        severity="warning",
-        observed=F.round("_slope", 6),
-        baseline=F.col("first_value"),
-        expected=F.lit(max_slope),
-        breach_count=F.col("event_count") - 1,
-    )
+    return group_anomalies(series_summary(readings) if summaries is None else summaries, group_drift(max_slope))
 
 
 def detect_heartbeat_gap(
@@ -309,14 +387,11 @@ def detect_flatline(readings: DataFrame, points: int = FLATLINE_POINTS) -> DataF
 
 
 def detect_all(readings: DataFrame) -> DataFrame:
-    """Every group detector with its defaults.  Spike, z-score and drift read one shared summary."""
-    s = _summaries(readings)
+    """Every group detector with its defaults.  Spike, z-score and drift are judged side by side on one summary."""
     return (
         detect_heartbeat_gap(readings)
         .unionByName(detect_flatline(readings))
-        .unionByName(detect_spike(readings, summaries=s))
-        .unionByName(detect_zscore(readings, summaries=s))
-        .unionByName(detect_drift(readings, summaries=s))
+        .unionByName(group_anomalies(series_summary(readings), group_spike(), group_zscore(), group_drift()))
     )
 
 
@@ -379,20 +454,6 @@ def detector_features(
     )
 
 
-@dataclass
-class Verdict:
-    """Column expressions of one window detector."""
-
-    rule_id: str
-    severity: str
-    hit: Column
-    observed: Column
-    baseline: Column
-    expected: Column
-    confidence: Column = field(default_factory=lambda: F.lit(0.9))
-    fault_type: Column | None = None
-
-
 def spike_verdict(
     multiplier: Column | float = SPIKE_MULTIPLIER,
     upper: Column | None = None,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantpulse.functions.times import seconds, whole_seconds, with_bucket
+from plantpulse.functions.joins import join_same
+from plantpulse.functions.times import seconds, whole_seconds
+from plantpulse.operators.series import with_ranges
 
 WATERMARK_DELAY = "5 MINUTES"
 ALLOWED_LATENESS = "10 MINUTES"
@@ -37,27 +39,23 @@ def late_by_watermark(
     events: DataFrame,
     delay: str = WATERMARK_DELAY,
     allowed: str = ALLOWED_LATENESS,
-    cell: str = "1 minute",
+    ranges: int = 1024,
 ) -> DataFrame:
     """Readings older than the tenant's watermark minus the allowed lateness on arrival.
 
     The watermark before a reading is the newest event time among earlier arrivals of
-    the tenant, minus ``delay``.  Arrivals are ordered by (ingest_time, event_id).  The
-    running maximum is taken in two steps so that no task sees a whole tenant: maxima
-    per arrival ``cell`` first, a running maximum over those few rows, then a window
-    inside each cell only.
+    the tenant, minus ``delay``.  Arrivals are ordered by (ingest_time, event_id) and cut into ranges of
+    that order, so neither a tenant nor an instant of ingestion (a backfill) comes to one task: maxima per
+    range first, a running maximum over the ranges of a tenant, then a window inside each range.
     """
-    arrivals = with_bucket(events, "ingest_time", cell, "_cell")
-    tops = arrivals.groupBy("tenant_id", "_cell").agg(F.max("event_time").alias("_top"))
-    before = Window.partitionBy("tenant_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("tenant_id", "_cell", F.max("_top").over(before).alias("_earlier"))
-    inside = (
-        Window.partitionBy("tenant_id", "_cell")
-        .orderBy("ingest_time", "event_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    order = ("tenant_id", "ingest_time", "event_id")
+    arrivals = with_ranges(events, order, ranges)
+    tops = arrivals.groupBy("tenant_id", "_range").agg(F.max("event_time").alias("_top"))
+    before = Window.partitionBy("tenant_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("tenant_id", "_range", F.max("_top").over(before).alias("_earlier"))
+    inside = Window.partitionBy("tenant_id", "_range").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.greatest(F.col("_earlier"), F.max("event_time").over(inside))
-    marked = arrivals.join(tops, ["tenant_id", "_cell"]).withColumn(
+    marked = join_same(arrivals, tops, ["tenant_id", "_range"]).withColumn(
         "watermark_time", seen - F.expr(f"INTERVAL {delay}")
     )
     return late_against(marked, allowed)

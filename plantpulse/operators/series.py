@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.functions.joins import join_same
 from plantpulse.functions.times import epoch_seconds, with_bucket
 from plantpulse.operators.latest import latest_n
 
@@ -107,6 +108,48 @@ def positions(
     )
 
 
+def with_ranges(df: DataFrame, order: Sequence[str], ranges: int = 1024, name: str = "_range") -> DataFrame:
+    """Number the range of ``order`` each row falls in: about ``ranges`` ranges of like size, ascending, NULLs first.
+
+    Rows equal in ``order`` share a range; else neither a key nor a time bucket makes a range large. The
+    bounds are the rows of the smallest hashes, ``ranges`` of them, in one sorted array that every task reads
+    (a scalar subquery); where they fall changes the ranges' sizes only, never a result.
+    """
+    step = max(1, int(ranges**0.5))
+    key = F.struct(*[F.col(c) for c in order])
+    some = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(ranges)
+    fine = some.agg(F.array_sort(F.collect_set("key")).alias("fine"))
+    bounds = fine.select(F.struct("fine", F.filter("fine", lambda _, i: i % step == 0).alias("coarse")).alias("bounds")).scalar()
+
+    def below(some: Column) -> Column:
+        """How many of some bounds are less than the row's key (higher-order functions take no subquery)."""
+        return F.array_position(F.sort_array(F.array_append(some, key)), key) - 1
+
+    # two searches among about the root of ``ranges`` bounds each
+    skipped = (below(bounds["coarse"]) - 1).cast("int") * step
+    inside = below(F.slice(bounds["fine"], skipped + 1, F.lit(step)))
+    return df.withColumn(name, F.when(skipped < 0, F.lit(0)).otherwise(skipped + inside).cast("int"))
+
+
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percent: int, name: str, ranges: int = 1024) -> DataFrame:
+    """Per key the smallest value with at least ``percent`` per cent of the values at or below it; NULLs do not count.
+
+    Rows are counted per key and range of values, the counts say in which range the rank lies, and only
+    that range's values are put in order: no task or buffer holds a key's values. Keys may be NULL.
+    """
+    ranged = with_ranges(df.select(*keys, value).filter(F.col(value).isNotNull()), [*keys, value], ranges)
+    cells = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*keys).orderBy("_range")
+    until = F.sum("_n").over(line)
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    cells = cells.withColumns({"_until": until, "_rank": F.ceil(total * percent / 100).cast("bigint")})
+    lies = (F.col("_until") >= F.col("_rank")) & (F.col("_until") - F.col("_n") < F.col("_rank"))
+    cells = cells.filter(lies).select(*keys, "_range", (F.col("_rank") - F.col("_until") + F.col("_n")).alias("_want"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    found = join_same(ranged, cells, [*keys, "_range"]).withColumn("_at", F.row_number().over(inside))
+    return found.filter(F.col("_at") == F.col("_want")).select(*keys, F.col(value).alias(name))
+
+
 def bucketed_sessions(
     df: DataFrame, keys: Sequence[str], time_col: str, gap: str, partial: Sequence[Column], first: str, last: str
 ) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantpulse.functions.joins import join_same
 from plantpulse.functions.text import sorted_set
 from plantpulse.functions.times import with_bucket
+from plantpulse.operators.series import nearest_rank
 
 EXPECTED_POINTS = 15
 
@@ -19,9 +21,10 @@ def settled(x: Column, digits: int) -> Column:
 def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int = EXPECTED_POINTS) -> DataFrame:
     """Statistics per tenant, tag and window (19 columns).
 
-    A group is one tag for one window, so its size is bounded by the sensor's rate; all
-    measures combine map-side.  p95 is the nearest-rank percentile.
+    All measures but p95 combine map-side.  p95 is the nearest-rank percentile, selected by
+    :func:`series.nearest_rank`, so no buffer holds the values of a tag and window.
     """
+    keys = ("tenant_id", "tag_id", "window_start")
     for c in ("component_id", "measurement_point_id", "operating_state", "degradation_stage"):
         if c not in readings.columns:
             readings = readings.withColumn(c, F.lit(None).cast("string"))
@@ -29,21 +32,21 @@ def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int =
         "event_time", "event_id", "value", "asset_id", "component_id", "measurement_point_id", "operating_state",
         "degradation_stage",
     )
+    rows = with_bucket(readings, "event_time", width, "window_start")
     g = (
-        with_bucket(readings, "event_time", width, "window_start")
-        .groupBy("tenant_id", "tag_id", "window_start")
+        rows.groupBy(*keys)
         .agg(
             F.min(row).alias("first"),
             F.max("value").alias("max_value"),
             F.min("value").alias("min_value"),
             F.avg("value").alias("mean"),
             F.stddev_pop("value").alias("sd"),
-            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"),
             F.max_by("value", F.struct("event_time", "event_id")).alias("last_value"),
             F.count("value").alias("n"),
             sorted_set(F.flatten(F.collect_set("quality_flags"))).alias("quality_flags"),
         )
     )
+    g = join_same(g, nearest_rank(rows, keys, "value", 95, "p95"), keys, "left")
     n, last = F.col("n"), F.col("last_value")
     flat = F.col("min_value") == F.col("max_value")
     sd = F.when(flat, F.lit(0.0)).otherwise(F.col("sd"))

@@ -21,7 +21,9 @@ from plantpulse.operators.enrich import enrich_readings
 from plantpulse.operators.late import late_against, late_by_watermark
 from plantpulse.operators.latest import latest_by_key, latest_n
 from plantpulse.operators.series import ORDER, SERIES
+from plantpulse.sources import tables
 from plantpulse.sources.logs import RAW_SCHEMA, parse_json
+from plantpulse.sources.tables import BUCKETS
 
 WATERMARK = "5 minutes"
 # event-time state must outlive the watermark delay plus the allowed lateness
@@ -105,6 +107,17 @@ def upsert_batches(df: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
     return per_batch(df, lambda batch, n: write_batch(batch, path, n), checkpoint)
 
 
+def merge_batches(
+    df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], version: str, ties: Sequence[str] = (), buckets: int = BUCKETS
+) -> DataStreamWriter:
+    """Keyed upsert into a table of hash buckets (:func:`sources.tables.merge_batch`).
+
+    A batch rewrites the buckets it touches; :func:`sources.tables.read_table` reads one file per bucket,
+    however many batches there were.  :func:`upsert_batches` writes less and reads more.
+    """
+    return per_batch(df, lambda batch, n: tables.merge_batch(batch, path, keys, version, ties, n, buckets), checkpoint)
+
+
 def current_anomalies(spark: SparkSession, path: str) -> DataFrame:
     """Anomalies of a detector folder by their newest verdict per series and reading; cleared ones are gone."""
     keys = [*SERIES, "window_end"]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REQUIRED = ("event_id", "tenant_id", "tag_id", "event_time", "ingest_time", "value", "unit", "source_system")
@@ -12,10 +16,15 @@ PAYLOAD = (
 ).split()
 
 
-def missing_required(raw: DataFrame) -> DataFrame:
+def complete() -> Column:
+    """No required field is null."""
+    return reduce(and_, [F.col(c).isNotNull() for c in REQUIRED])
+
+
+def missing_required(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One record per reading with a null required field; the first null field names the path.
 
-    Works for every tenant at once, so readings without a tenant are caught as well.
+    Works for every tenant at once, so readings without a tenant are caught as well.  Columns ``keep`` go along.
     """
     path = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"$.{c}")) for c in REQUIRED])
     payload = [F.col(c).cast("string").alias(c) if c == "quality_flags" else F.col(c) for c in PAYLOAD]
@@ -30,5 +39,6 @@ def missing_required(raw: DataFrame) -> DataFrame:
             F.lit("raw_sensor_event.v1").alias("schema_name"),
             F.lit("raw_sensor_event.v1").alias("schema_version"),
             F.current_timestamp().alias("validation_time"),
+            *keep,
         )
     )

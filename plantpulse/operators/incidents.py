@@ -36,7 +36,8 @@ def channel_of(severity: Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_CHANNEL))
 
 
-def _seen(anomalies: DataFrame) -> DataFrame:
+def seen(anomalies: DataFrame) -> DataFrame:
+    """Keys, id, severity and time of anomalies; missing keys are empty text."""
     keys = [F.coalesce(c, F.lit("")).alias(c) for c in KEYS]
     return anomalies.select(
         *keys,
@@ -49,7 +50,7 @@ def _seen(anomalies: DataFrame) -> DataFrame:
 def _cells(anomalies: DataFrame, cooldown: str) -> DataFrame:
     """Per key and cool-down-wide bucket: counts and extremes, numbered by incident."""
     return bucketed_sessions(
-        _seen(anomalies),
+        seen(anomalies),
         KEYS,
         "seen_at",
         cooldown,
@@ -90,9 +91,14 @@ def incidents(anomalies: DataFrame, cooldown: str = COOLDOWN) -> DataFrame:
             F.max("_rank").alias("_rank"),
         )
     )
+    return shaped(s)
+
+
+def shaped(sessions: DataFrame) -> DataFrame:
+    """Incident rows of sessions with ``first_seen_at``, ``last_seen_at``, ``anomaly_count``, ``_primary`` and ``_rank``."""
     names = F.create_map(*[F.lit(x) for name, rank in SEVERITY_RANK.items() for x in (rank, name)])
     severity = F.coalesce(F.try_element_at(names, F.col("_rank")), F.col("_primary.severity"))
-    return _named(s).select(
+    return _named(sessions).select(
         "incident_id",
         "correlation_key",
         *KEYS,
@@ -112,11 +118,38 @@ def incident_members(anomalies: DataFrame, cooldown: str = COOLDOWN) -> DataFram
     whole = Window.partitionBy(*KEYS, "_session")
     cells = _cells(anomalies, cooldown).withColumn("_primary", F.min("_primary").over(whole))
     by_cell = _named(cells).select(*KEYS, "_cell", "incident_id")
-    rows = with_bucket(_seen(anomalies), "seen_at", cooldown, "_cell").join(by_cell, [*KEYS, "_cell"])
+    rows = with_bucket(seen(anomalies), "seen_at", cooldown, "_cell").join(by_cell, [*KEYS, "_cell"])
     first = rows.groupBy("incident_id", "anomaly_id").agg(F.min("seen_at").alias("seen_at"))
     return positions(first, ["incident_id"], ["seen_at", "anomaly_id"], "seen_at")
 
 
+def placed_anomalies(anomalies: DataFrame, incident_rows: DataFrame, cooldown: str = COOLDOWN) -> DataFrame:
+    """Anomalies with the ``incident_id`` whose first and last sight they lie between; NULL outside every incident.
+
+    Incidents are met per key and cool-down-wide time cell, so a key with many incidents makes no row pairs.
+    """
+    cells = F.explode(F.sequence("_from", "_to", F.expr(f"INTERVAL {cooldown}")))
+    spans = with_bucket(with_bucket(incident_rows, "first_seen_at", cooldown, "_from"), "last_seen_at", cooldown, "_to")
+    spans = spans.select(*KEYS, "incident_id", "first_seen_at", "last_seen_at", cells.alias("_cell"))
+    rows = with_bucket(seen(anomalies), "seen_at", cooldown, "_cell").alias("a")
+    met = [F.col(f"a.{c}") == F.col(f"i.{c}") for c in (*KEYS, "_cell")]
+    inside = F.col("a.seen_at").between(F.col("i.first_seen_at"), F.col("i.last_seen_at"))
+    return rows.join(spans.alias("i"), [*met, inside], "left").select("a.*", "i.incident_id").drop("_cell")
+
+
+def missed_anomalies(anomalies: DataFrame, incident_rows: DataFrame, closed_until: Column, cooldown: str = COOLDOWN) -> DataFrame:
+    """What a stream of incidents left out because it came too late: ``incident_id`` (NULL: of its own) and ``missed_count`` per key.
+
+    ``closed_until``: incidents last seen before then are closed.  An incident counts as many anomalies as
+    lie in its span, unless some came after it was closed; those outside every incident are told by key.
+    """
+    placed = placed_anomalies(anomalies, incident_rows, cooldown).filter(F.col("seen_at") < closed_until)
+    known = incident_rows.select("incident_id", "anomaly_count")
+    found = placed.groupBy(*KEYS, "incident_id").agg(F.count(F.lit(1)).alias("_n")).join(known, "incident_id", "left")
+    missed = (F.col("_n") - F.coalesce("anomaly_count", F.lit(0))).alias("missed_count")
+    return found.select(*KEYS, "incident_id", missed).filter("missed_count > 0")
+
+
 def incident_id_pages(members: DataFrame, page_size: int = 1000) -> DataFrame:
     """Ordered id lists: ``incident_id, page, source_anomaly_ids``, at most ``page_size`` ids per row."""
     page = F.floor((F.col("position") - 1) / page_size).cast("bigint")

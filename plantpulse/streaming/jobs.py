@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from plantpulse.functions.times import parse_iso, seconds, whole_seconds
-from plantpulse.operators import detectors
+from plantpulse.operators import detectors, health, incidents
+from plantpulse.operators.dead_letter import complete, missing_required
 from plantpulse.operators.enrich import enrich_readings
-from plantpulse.operators.late import late_against, late_by_watermark
+from plantpulse.operators.late import late_against, late_by_ingest_lag, late_by_watermark
 from plantpulse.operators.latest import latest_by_key, latest_n
 from plantpulse.operators.series import ORDER, SERIES
 from plantpulse.sources import tables
@@ -55,16 +56,35 @@ def enriched_stream(readings: DataFrame, dims: Callable[[], tuple[DataFrame, Dat
     return enrich_readings(readings, *dims())
 
 
-def health_stream(readings: DataFrame, width: str = "5 minutes", max_lag_seconds: int = 600) -> DataFrame:
-    """Tumbling health snapshots per tenant (append: a window is emitted when the watermark passes it)."""
-    return (
-        readings.groupBy("tenant_id", F.window("event_time", width).alias("w"))
-        .agg(
-            F.max(seconds("event_time", "ingest_time")).alias("watermark_lag_seconds"),
-            F.count_if(whole_seconds("event_time", "ingest_time") > max_lag_seconds).alias("late_event_count"),
-        )
-        .select("tenant_id", "watermark_lag_seconds", "late_event_count", F.col("w.start").alias("observed_at"))
+def health_stream(
+    readings: DataFrame,
+    dead_letters: DataFrame | None = None,
+    gaps: DataFrame | None = None,
+    width: str = "5 minutes",
+    max_lag_seconds: int = 600,
+) -> DataFrame:
+    """Tumbling health snapshots per tenant in the 10 columns of the batch form, from up to three streams.
+
+    Append: a window is emitted when the watermark of all streams passes it.  ``dead_letters`` needs
+    ``tenant_id, event_time``; ``gaps`` ``tenant_id, window_end``; each with a watermark on its time.
+    """
+    no, none = F.lit(0).cast("bigint"), F.lit(None).cast("double")
+    late = (whole_seconds("event_time", "ingest_time") > max_lag_seconds).cast("bigint")
+    lag = seconds("event_time", "ingest_time")
+
+    def part(rows: DataFrame, time_col: str, *measures: Column) -> DataFrame:
+        return rows.select("tenant_id", F.col(time_col).alias("at"), *[m.alias(c) for m, c in zip(measures, health.PART, strict=True)])
+
+    one = F.lit(1).cast("bigint")
+    rows = part(readings, "event_time", one, lag, late, no, no)
+    if dead_letters is not None:
+        rows = rows.union(part(dead_letters, "event_time", no, none, no, one, no))
+    if gaps is not None:
+        rows = rows.union(part(gaps, "window_end", no, none, no, no, one))
+    totals = rows.groupBy("tenant_id", F.window("at", width).alias("w")).agg(
+        *[(F.max if c == "watermark_lag_seconds" else F.sum)(c).alias(c) for c in health.PART]
     )
+    return health.shaped(totals.filter("reading_count > 0").withColumn("observed_at", F.col("w.start")))
 
 
 def append_files(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataStreamWriter:
@@ -229,6 +249,88 @@ def detect_batches(
     return per_batch(readings, work, checkpoint)
 
 
+# --- one pass with several outputs -----------------------------------------------------------
+
+
+OUTPUTS = ("readings", "dead_letters", "late", "health", "metrics")
+
+
+def ingest_batches(
+    lines: DataFrame,
+    dims: Callable[[], tuple[DataFrame, DataFrame, DataFrame]],
+    path: str,
+    checkpoint: str,
+    max_lag_seconds: int = 600,
+) -> DataStreamWriter:
+    """Raw JSON lines to enriched readings, dead letters, late readings and health, each a folder below ``path``.
+
+    The source is read once per batch: the parsed rows are kept for all outputs.  What the batch held is
+    observed while the readings are written and stored as one row of ``metrics``.  Every output is a folder
+    named by the batch, so a repeated batch leaves one copy.
+    """
+
+    def work(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        parsed = parse_json(batch).persist()
+        dead = missing_required(parsed.withColumn("at", parse_iso("event_time")), keep=("tenant_id", "at"))
+        write_batch(dead, f"{path}/dead_letters", n)
+        dead = spark.read.parquet(f"{path}/dead_letters/batch_id={n}")
+        rows = parsed.filter(complete())
+        rows = rows.withColumns({c: parse_iso(c) for c in ("event_time", "ingest_time")})
+        lag = seconds("event_time", "ingest_time")
+        seen = Observation()
+        rows = rows.observe(
+            seen,
+            F.count(F.lit(1)).alias("complete_count"),
+            F.count_if(lag > max_lag_seconds).alias("late_count"),
+            F.max(lag).alias("max_lag_seconds"),
+        )
+        write_batch(enrich_readings(rows, *dims()), f"{path}/readings", n)
+        readings = spark.read.parquet(f"{path}/readings/batch_id={n}")
+        write_batch(late_by_ingest_lag(readings, max_lag_seconds), f"{path}/late", n)
+        dead_times = dead.select("tenant_id", F.col("at").alias("event_time"))
+        write_batch(health.health_parts(readings, dead_times, max_lag_seconds=max_lag_seconds), f"{path}/health", n)
+        counts = spark.range(1).select(
+            F.lit(dead.count()).alias("dead_count"),
+            *[F.lit(seen.get[c]).cast("double" if c == "max_lag_seconds" else "bigint").alias(c) for c in sorted(seen.get)],
+        )
+        write_batch(counts, f"{path}/metrics", n)
+        parsed.unpersist()
+
+    return per_batch(lines, work, checkpoint)
+
+
+def current_health(spark: SparkSession, path: str, gaps: DataFrame | None = None) -> DataFrame:
+    """Health rows of all batches of :func:`ingest_batches`; ``gaps`` (missing heartbeats) as in the batch form."""
+    parts = spark.read.parquet(f"{path}/health").drop("batch_id")
+    if gaps is not None:
+        parts = parts.unionByName(health.health_parts(gaps.limit(0).select("tenant_id", F.col("window_end").alias("event_time"),
+                                                      F.col("window_end").alias("ingest_time")), gaps=gaps))
+    return health.health_rows(parts)
+
+
+# --- incidents ---------------------------------------------------------------------------------
+
+
+def incident_stream(anomalies: DataFrame, cooldown: str = incidents.COOLDOWN, delay: str = "5 minutes") -> DataFrame:
+    """Incidents of a stream of anomalies, each emitted once, when the watermark has passed its cool-down.
+
+    State per key: the open sessions' counts and extremes.  An anomaly that comes after its incident was
+    closed opens nothing anew; :func:`incidents.missed_anomalies` tells it from the landed anomalies.
+    """
+    kind = anomalies.schema["window_start"].dataType
+    rows = incidents.seen(anomalies).withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", delay)
+    sessions = rows.groupBy(*incidents.KEYS, F.session_window("seen_at", cooldown.lower()).alias("w")).agg(
+        F.min("seen_at").alias("first_seen_at"),
+        F.max("seen_at").alias("last_seen_at"),
+        F.count(F.lit(1)).alias("anomaly_count"),
+        F.min(F.struct("seen_at", "anomaly_id", "severity")).alias("_primary"),
+        F.max(incidents.severity_rank(F.col("severity"))).alias("_rank"),
+    )
+    out = incidents.shaped(sessions)
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("first_seen_at", "last_seen_at")})
+
+
 def signal_stream(readings: DataFrame, bucket: str = "1 minute") -> DataFrame:
     """Per-tag minute series as a stream (append, closed by the watermark)."""
     keys = ("tenant_id", "tag_id")
@@ -248,8 +350,6 @@ def signal_stream(readings: DataFrame, bucket: str = "1 minute") -> DataFrame:
 
 def dead_letter_rows(lines: DataFrame) -> DataFrame:
     """Dead letters of a raw stream: the second output next to the enriched readings."""
-    from plantpulse.operators.dead_letter import missing_required
-
     return missing_required(parse_json(lines))
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL meets NULL; the keys come from ``left`` (for inner, left, semi and anti joins)."""
-    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
-    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
-    return left.join(other, condition, how).drop(*[f"_same_{k}" for k in keys])
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Equi-join in which NULL meets NULL (for inner, left, semi and anti joins).
+
+    The keys meet as one struct, which is never NULL itself.  ``small``: the right side has a size bound that
+    the caller knows, and is broadcast.
+    """
+    same = F.struct(*[F.col(k) for k in keys]).alias("_same")
+    other = right.select(same, *[c for c in right.columns if c not in keys])
+    return left.withColumn("_same", same).join(F.broadcast(other) if small else other, "_same", how).drop("_same")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantpulse.functions.joins import join_same
-from plantpulse.functions.times import seconds, whole_seconds
+from plantpulse.functions.times import seconds, whole_seconds, with_bucket
 from plantpulse.operators.series import with_ranges
 
 WATERMARK_DELAY = "5 MINUTES"
@@ -39,25 +38,28 @@ def late_by_watermark(
     events: DataFrame,
     delay: str = WATERMARK_DELAY,
     allowed: str = ALLOWED_LATENESS,
-    ranges: int = 1024,
+    cell: str = "1 minute",
+    target_rows: int = 1_000_000,
 ) -> DataFrame:
     """Readings older than the tenant's watermark minus the allowed lateness on arrival.
 
     The watermark before a reading is the newest event time among earlier arrivals of
-    the tenant, minus ``delay``.  Arrivals are ordered by (ingest_time, event_id) and cut into ranges of
-    that order, so neither a tenant nor an instant of ingestion (a backfill) comes to one task: maxima per
-    range first, a running maximum over the ranges of a tenant, then a window inside each range.
+    the tenant, minus ``delay``.  Arrivals are ordered by (ingest_time, event_id) and cut into arrival
+    cells; a cell of more than ``target_rows`` rows (a backfill has one ingest time) into ranges of that
+    order.  Maxima per cell and range come first, a running maximum over those few rows, then a window
+    inside each: no task sees a whole tenant or instant.
     """
-    order = ("tenant_id", "ingest_time", "event_id")
-    arrivals = with_ranges(events, order, ranges)
-    tops = arrivals.groupBy("tenant_id", "_range").agg(F.max("event_time").alias("_top"))
-    before = Window.partitionBy("tenant_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("tenant_id", "_range", F.max("_top").over(before).alias("_earlier"))
-    inside = Window.partitionBy("tenant_id", "_range").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    order = ("ingest_time", "event_id")
+    arrivals = with_ranges(with_bucket(events, "ingest_time", cell, "_cell"), ["tenant_id", "_cell"], order, target_rows)
+    # a struct, so that arrivals without a tenant are joined as well
+    part = F.struct("tenant_id", "_cell", "_range")
+    arrivals = arrivals.withColumn("_part", part).drop("_cell", "_range")
+    tops = arrivals.groupBy("_part").agg(F.max("event_time").alias("_top"))
+    before = Window.partitionBy("_part.tenant_id").orderBy("_part._cell", "_part._range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_part", F.max("_top").over(before).alias("_earlier"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.greatest(F.col("_earlier"), F.max("event_time").over(inside))
-    marked = join_same(arrivals, tops, ["tenant_id", "_range"]).withColumn(
-        "watermark_time", seen - F.expr(f"INTERVAL {delay}")
-    )
+    marked = arrivals.join(tops, "_part").withColumn("watermark_time", seen - F.expr(f"INTERVAL {delay}"))
     return late_against(marked, allowed)
 
 

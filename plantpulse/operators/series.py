@@ -108,16 +108,31 @@ def positions(
     )
 
 
-def with_ranges(df: DataFrame, order: Sequence[str], ranges: int = 1024, name: str = "_range") -> DataFrame:
-    """Number the range of ``order`` each row falls in: about ``ranges`` ranges of like size, ascending, NULLs first.
+def mark_busy(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
+    """``_busy`` is true for keys of more than ``target_rows`` rows, else NULL.
 
-    Rows equal in ``order`` share a range; else neither a key nor a time bucket makes a range large. The
-    bounds are the rows of the smallest hashes, ``ranges`` of them, in one sorted array that every task reads
-    (a scalar subquery); where they fall changes the ranges' sizes only, never a result.
+    There are at most rows / target_rows such keys, so their list is broadcast: by a shuffle of the rows for
+    this join a busy key would come to one task.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    busy = counts.filter(F.col("_n") > target_rows).select(*keys, F.lit(True).alias("_busy"))
+    return join_same(df, busy, keys, "left", small=True)
+
+
+def with_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = 1_000_000, ranges: int = 1024, name: str = "_range"
+) -> DataFrame:
+    """Number the range of ``order`` each row falls in inside its key, ascending, NULLs first.
+
+    Keys of at most ``target_rows`` rows have the single range 0.  The rows of the others are cut into about
+    ``ranges`` ranges of like size in all, so that no key makes a range large (rows equal in key and order
+    share one).  The bounds are the rows of the smallest hashes, in one sorted array that every task reads (a
+    scalar subquery); where they fall changes the ranges' sizes only, never a result.  Keys may be NULL.
     """
     step = max(1, int(ranges**0.5))
-    key = F.struct(*[F.col(c) for c in order])
-    some = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(ranges)
+    key = F.struct(*[F.col(c) for c in (*keys, *order)])
+    marked = mark_busy(df, keys, target_rows)
+    some = marked.filter("_busy").select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(ranges)
     fine = some.agg(F.array_sort(F.collect_set("key")).alias("fine"))
     bounds = fine.select(F.struct("fine", F.filter("fine", lambda _, i: i % step == 0).alias("coarse")).alias("bounds")).scalar()
 
@@ -128,16 +143,17 @@ def with_ranges(df: DataFrame, order: Sequence[str], ranges: int = 1024, name: s
     # two searches among about the root of ``ranges`` bounds each
     skipped = (below(bounds["coarse"]) - 1).cast("int") * step
     inside = below(F.slice(bounds["fine"], skipped + 1, F.lit(step)))
-    return df.withColumn(name, F.when(skipped < 0, F.lit(0)).otherwise(skipped + inside).cast("int"))
+    number = F.when(F.col("_busy").isNull() | (skipped < 0), F.lit(0)).otherwise(skipped + inside)
+    return marked.withColumn(name, number.cast("int")).drop("_busy")
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percent: int, name: str, ranges: int = 1024) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percent: int, name: str, target_rows: int = 100_000) -> DataFrame:
     """Per key the smallest value with at least ``percent`` per cent of the values at or below it; NULLs do not count.
 
     Rows are counted per key and range of values, the counts say in which range the rank lies, and only
-    that range's values are put in order: no task or buffer holds a key's values. Keys may be NULL.
+    that range's values are put in order: no task or buffer holds a busy key's values.  Keys may be NULL.
     """
-    ranged = with_ranges(df.select(*keys, value).filter(F.col(value).isNotNull()), [*keys, value], ranges)
+    ranged = with_ranges(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, [value], target_rows)
     cells = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     line = Window.partitionBy(*keys).orderBy("_range")
     until = F.sum("_n").over(line)

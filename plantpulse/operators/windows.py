@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plantpulse.functions.joins import join_same
 from plantpulse.functions.text import sorted_set
 from plantpulse.functions.times import with_bucket
-from plantpulse.operators.series import nearest_rank
+from plantpulse.operators.series import mark_busy, nearest_rank
 
 EXPECTED_POINTS = 15
 
@@ -18,11 +18,13 @@ def settled(x: Column, digits: int) -> Column:
     return F.round(F.round(x, digits + 6), digits)
 
 
-def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int = EXPECTED_POINTS) -> DataFrame:
+def window_stats(
+    readings: DataFrame, width: str = "15 minutes", expected: int = EXPECTED_POINTS, target_rows: int = 100_000
+) -> DataFrame:
     """Statistics per tenant, tag and window (19 columns).
 
-    All measures but p95 combine map-side.  p95 is the nearest-rank percentile, selected by
-    :func:`series.nearest_rank`, so no buffer holds the values of a tag and window.
+    All measures combine map-side.  p95 is the nearest-rank percentile; that of a tag and window of more than
+    ``target_rows`` readings is selected by :func:`series.nearest_rank`, so no buffer holds their values.
     """
     keys = ("tenant_id", "tag_id", "window_start")
     for c in ("component_id", "measurement_point_id", "operating_state", "degradation_stage"):
@@ -33,6 +35,7 @@ def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int =
         "degradation_stage",
     )
     rows = with_bucket(readings, "event_time", width, "window_start")
+    rows = mark_busy(rows, keys, target_rows)
     g = (
         rows.groupBy(*keys)
         .agg(
@@ -41,12 +44,14 @@ def window_stats(readings: DataFrame, width: str = "15 minutes", expected: int =
             F.min("value").alias("min_value"),
             F.avg("value").alias("mean"),
             F.stddev_pop("value").alias("sd"),
+            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN _busy IS NULL THEN value END)").alias("p95"),
             F.max_by("value", F.struct("event_time", "event_id")).alias("last_value"),
             F.count("value").alias("n"),
             sorted_set(F.flatten(F.collect_set("quality_flags"))).alias("quality_flags"),
         )
     )
-    g = join_same(g, nearest_rank(rows, keys, "value", 95, "p95"), keys, "left")
+    busy = nearest_rank(rows.filter("_busy"), keys, "value", 95, "_p95", target_rows)
+    g = join_same(g, busy, keys, "left").withColumn("p95", F.coalesce("p95", "_p95"))
     n, last = F.col("n"), F.col("last_value")
     flat = F.col("min_value") == F.col("max_value")
     sd = F.when(flat, F.lit(0.0)).otherwise(F.col("sd"))

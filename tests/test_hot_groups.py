@@ -28,10 +28,12 @@ def test_late_by_watermark_of_one_tenant_and_one_ingest_time(spark):
                 if top is not None and at < top - timedelta(minutes=15):
                     want.add((event_id, top - timedelta(minutes=5)))
                 top = at if top is None else max(top, at)
-    got = late.late_by_watermark(df.repartition(7), ranges=64)
+    got = late.late_by_watermark(df.repartition(7), target_rows=100)
     assert {(r.event_id, r.watermark_time) for r in got.collect()} == want and len(want) > 100
-    sizes = [r["count"] for r in series.with_ranges(df, ["tenant_id", "ingest_time", "event_id"], 64).groupBy("tenant_id", "_range").count().collect()]
+    ranged = series.with_ranges(df, ["tenant_id"], ["ingest_time", "event_id"], 100, ranges=64)
+    sizes = [r["count"] for r in ranged.groupBy("tenant_id", "_range").count().collect()]
     assert len(sizes) > 50 and max(sizes) < 600
+    assert {(r.event_id, r.watermark_time) for r in late.late_by_watermark(df).collect()} == want
 
 
 @pytest.mark.parametrize("ranges", [1, 2, 9, 100])
@@ -39,10 +41,10 @@ def test_ranges_follow_the_order_and_equal_rows_share_one(spark, ranges):
     rng = np.random.default_rng(ranges)
     rows = [(None if x % 11 == 0 else int(x % 5), float(x) if x % 7 else None) for x in rng.integers(0, 300, 2000).tolist()]
     df = spark.createDataFrame(rows, "a int, b double")
-    got = [(r.a, r.b, r._range) for r in series.with_ranges(df, ["a", "b"], ranges).orderBy("a", "b").collect()]
+    got = [(r.a, r.b, r._range) for r in series.with_ranges(df, ["a"], ["b"], 0, ranges).orderBy("a", "b").collect()]
     assert [x[2] for x in got] == sorted(x[2] for x in got) and len(got) == 2000
     assert len({x[2] for x in got}) <= ranges + 1 and len({x[:2] for x in got}) == len({x for x in got})
-    assert series.with_ranges(df.limit(0), ["a", "b"], ranges).count() == 0
+    assert series.with_ranges(df.limit(0), ["a"], ["b"], 0, ranges).count() == 0
 
 
 @pytest.mark.parametrize("percent", [1, 50, 95, 100])
@@ -55,8 +57,9 @@ def test_nearest_rank_equals_sorting(spark, percent):
         values = sorted(v for t, v in rows if t == tag and v is not None)
         if values:
             want[tag] = values[-(-len(values) * percent // 100) - 1]
-    assert {r.tag: r.p for r in series.nearest_rank(df, ["tag"], "value", percent, "p").collect()} == want
-    ranged = series.with_ranges(df, ["tag", "value"]).groupBy("tag", "_range").count()
+    for target in (0, 1000, 10**6):
+        assert {r.tag: r.p for r in series.nearest_rank(df, ["tag"], "value", percent, "p", target).collect()} == want
+    ranged = series.with_ranges(df, ["tag"], ["value"], 1000).groupBy("tag", "_range").count()
     assert ranged.agg(F.max("count")).first()[0] < 1000
 
 
@@ -68,8 +71,8 @@ def test_window_stats_of_a_tag_day_with_all_values_different(spark):
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 4)).alias("event_time"),
         F.lit(None).cast("array<string>").alias("quality_flags"), ((F.col("id") * 7919 % n) / 7.0).alias("value"),
     )
-    r = windows.window_stats(df, "1 day").collect()
-    assert len(r) == 1 and r[0].event_count == n
+    r = windows.window_stats(df, "1 day", target_rows=1000).collect()
+    assert len(r) == 1 and r[0].event_count == n and r == windows.window_stats(df, "1 day").collect()
     assert r[0].p95_value == round(float(np.sort(values)[-(-n * 95 // 100) - 1]), 3)
 
 

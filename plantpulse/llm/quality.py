@@ -29,6 +29,8 @@ WIDTH = 12
 GRAMS = (3, 4, 5)
 EPOCHS = 5
 RATE = 0.05
+#: Bytes of text scored at once; the n-grams of its words take some fifty times as much.
+GROUP_BYTES = 1 << 20
 
 
 #: Mark words, and the distances at which they stand for equal words.
@@ -94,6 +96,7 @@ def features(texts: list[str], buckets: int = BUCKETS, at_once: int = 200) -> It
         known: dict[str, int] = defaultdict()
         known.default_factory = known.__len__
         numbered = counted(texts[low : low + at_once], known)
+        known.default_factory = None  # else the table, which it refers to, waits for the cycle collector
         ids, sizes = subwords(list(known), buckets)
         ends = np.cumsum(sizes)
         for places, times in numbered:
@@ -108,17 +111,54 @@ def features(texts: list[str], buckets: int = BUCKETS, at_once: int = 200) -> It
             yield met.astype(np.int32), np.bincount(back, weight).astype(np.float32)
 
 
+#: Buckets are kept as their lower 16 bits; a text's buckets ascend, so the places where the upper bits grow are enough.
+HALF = 1 << 16
+
+
+#: Entries of a part: 64 MB, which the allocator keeps apart from what comes and goes between two texts.
+PART = 1 << 25
+
+
+class Sample:
+    """The features of the sampled texts, packed: 16 bits a bucket and 16 bits a weight."""
+
+    def __init__(self, texts: list[str], buckets: int):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.places = np.zeros((len(texts), 3), np.int64)  # part, first entry, one behind the last
+        steps = np.arange(HALF, max(buckets, HALF + 1), HALF)
+        self.cuts = np.zeros((len(texts), len(steps)), np.int64)
+        end = PART
+        for i, (ids, weights) in enumerate(features(texts, buckets)):
+            if end + len(ids) > PART:
+                size = max(PART, len(ids))
+                self.parts.append((np.empty(size, np.uint16), np.empty(size, np.float16)))
+                end = 0
+            self.places[i] = len(self.parts) - 1, end, end + len(ids)
+            self.cuts[i] = np.searchsorted(ids, steps)
+            for part, values in zip(self.parts[-1], (ids.astype(np.uint16), weights), strict=True):
+                part[end : end + len(ids)] = values
+            end += len(ids)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of text ``i`` and their weights."""
+        part, low, high = self.places[i]
+        ids = self.parts[part][0][low:high].astype(np.int32)
+        for cut in self.cuts[i]:
+            ids[cut:] += HALF
+        return ids, self.parts[part][1][low:high].astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
     """One number per bucket, and the offset at the end; their weighted sum is the log odds of label 1."""
     rng = np.random.default_rng(7)
     vectors = ((rng.random((buckets, width), np.float32) - 0.5) / width).astype(np.float32)
     weights, bias = np.zeros((2, width), np.float32), np.zeros(2, np.float32)
     seen_v, seen_w, seen_b = np.full((buckets, 1), 1e-8, np.float32), np.full((2, width), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    rows, target = list(features(texts, buckets)), np.array(labels)
+    sample, target = Sample(texts, buckets), np.array(labels)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(rows)):
-            ids, share = rows[i]
+        for i in rng.permutation(len(target)):
+            ids, share = sample.row(i)
             hidden = share @ vectors[ids]
             logits = weights @ hidden + bias
             error = np.exp(logits - logits.max())
@@ -164,10 +204,11 @@ def score(docs: DataFrame, model: np.ndarray, column: str = "score") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = shared.value
-        for batch in groups_of_texts(batches, "text", 4 << 20):
+        for batch in groups_of_texts(batches, "text", GROUP_BYTES):
             known: dict[str, int] = defaultdict()
             known.default_factory = known.__len__
             parts = counted([x.as_py() or "" for x in batch.column("text")], known)
+            known.default_factory = None
             sizes = np.array([len(codes) for codes, _ in parts])
             codes, times = (np.concatenate(x) for x in zip(*parts, strict=True))
             texts = np.repeat(np.arange(len(parts)), sizes)

@@ -169,7 +169,8 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
     ids_crc32 is the unsigned crc32 of the document's ids as little-endian unsigned 32-bit integers.
     """
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("start")).repartition("file")
+    # a given number of partitions is not merged, so that files are read side by side
+    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("start")).repartition(max(1, files.count()), "file")
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,6 +96,7 @@ class Encoder:
         met: dict[str, int] = defaultdict()
         met.default_factory = met.__len__
         codes = np.fromiter(map(met.__getitem__, units), np.int64, len(units))
+        met.default_factory = None  # else the table, which it refers to, waits for the cycle collector
         if new := [x for x in met if x not in self.known]:
             ids, sizes = self.bpe.ids(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))

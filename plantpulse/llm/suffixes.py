@@ -262,7 +262,7 @@ def merged(found: pa.Scalar) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; see find_repeats()."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeats (n_removed > 0) of every row; see find_repeats()."""
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,4 +279,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(kinds)[1:], strict=True)] if rows else [pa.nulls(0, f.type) for f in list(kinds)[1:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=kinds)
 
-    return find_repeats(docs).select("doc_id", "text", "found").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = find_repeats(docs).select("doc_id", "text", "found")
+    return found.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumn(
+        "repeats", F.col("n_removed") > 0
+    )

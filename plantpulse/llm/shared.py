@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        return f"{tempfile.mkdtemp(prefix='spark-llm-')}/{name}"
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own under ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a temporary folder; a cluster, whose executors would
+    not find it, a ValueError.
+    """
+    own = tempfile.mkdtemp(prefix="spark-llm-") if spark.sparkContext.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None) else None
+    return f"{checkpoint_dir(spark, own).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plantpulse.llm import bitpack, decontaminate, fmindex, mixing, ppm, quality, simhash, suffixes, token_counts, topk, warc
@@ -413,6 +414,50 @@ def test_quality_learns_and_scores_all_rows(spark, tmp_path):
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
 
 
+def brute_jaccard(texts):
+    """The first place of each group of texts linked by a five-word Jaccard similarity of 0.8."""
+    sets = []
+    for text in texts:
+        w = words(text or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both >= 0.8 * either and (either or sets[i] == sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return set(root)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from plantpulse.llm.shared import new_folder
+
+    session = lambda master, folder: SimpleNamespace(
+        sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda *_: folder)
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_folder(session("spark://host:7077", None), "x")
+    assert new_folder(session("spark://host:7077", "hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+    assert new_folder(session("local[8]", None), "x").startswith("/")
+
+
+def test_packed_files_are_read_by_several_tasks(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    folder = str(tmp_path / "packed")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # as many small files as partitions
+        files = bitpack.write_packed(docs, BPE, f"file://{folder}")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    n = files.count()
+    read = bitpack.read_documents(files, f"file://{folder}")
+    assert n > 2 and read.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+    assert read.count() == 400
+
+
 def test_pipeline_stages_equal_their_operators(spark):
     import corpus_pipeline as pipeline
 
@@ -429,7 +474,8 @@ def test_pipeline_stages_equal_their_operators(spark):
             scores = quality.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet"))
             assert sorted(left) == sorted(r.doc_id for r in scores.where("predicted = 1").collect())
         elif name == "near_copies":
-            assert sorted(left) == sorted({r.component_id for r in simhash.near_copies(docs).collect()})
+            rows = sorted((r.doc_id, r.text) for r in docs.collect())
+            assert sorted(left) == sorted({rows[k][0] for k in brute_jaccard([t for _, t in rows])})
         elif name == "decontaminate":
             leaks = decontaminate.leak_counts(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
             assert sorted(left) == sorted(r.doc_id for r in leaks.where("not contaminated").collect())

@@ -2,13 +2,20 @@
 
 The contract is compiled into column expressions over one parsed VARIANT value:
 ``required``, ``additionalProperties``, ``type``, ``const``, ``enum``, ``pattern``,
-``minLength``, ``minimum``, ``maximum``, ``uniqueItems``, ``items.type`` and nested
-``properties``.  All of it is narrow, so it runs in batch and in streams.
+``minLength``, ``minimum``, ``maximum``, ``minItems``, ``maxItems``, ``uniqueItems``, ``items`` and nested
+``properties``, to any depth.  All of it is narrow, so it runs in batch and in streams.
+
+Lines are checked in two phases.  The first accepts: the kinds of all fields, as one text, must match one
+pattern made from the contract, and fields with values to keep to are looked up.  Only lines that it cannot
+accept are taken apart field by field, for every error they have.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +63,76 @@ RAW_READING = {
     },
 }
 
+# The contract of a dead-letter record.
+_TEXT = {"type": "string"}
+_FILLED = {"type": "string", "minLength": 1}
+DEAD_LETTER = {
+    "title": "dlq_record",
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["original_record", "error_code", "field_path", "message", "schema_name", "schema_version", "validation_time"],
+    "properties": {
+        "original_record": {"type": ["object", "null"]},
+        "error_code": _FILLED,
+        "field_path": _FILLED,
+        "message": _FILLED,
+        "schema_name": _FILLED,
+        "schema_version": _FILLED,
+        "validation_time": {"type": "string", "format": "date-time", "pattern": "Z$"},
+        "all_errors": {
+            "type": "array",
+            "items": {
+                "type": "object",
+                "additionalProperties": False,
+                "required": ["error_code", "field_path", "message"],
+                "properties": {"error_code": _TEXT, "field_path": _TEXT, "message": _TEXT},
+            },
+        },
+    },
+}
+
+# The contract of a work order.
+WORK_ORDER = {
+    "title": "work_order",
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["schema_version", "work_order_id", "tenant_id", "asset_id", "work_type", "priority", "created_at", "status"],
+    "properties": {
+        "schema_version": {"type": "string", "const": "work_order.v1"},
+        "work_order_id": _TEXT,
+        "tenant_id": _TEXT,
+        "asset_id": _TEXT,
+        "component_id": _TEXT,
+        "failure_mode_id": _TEXT,
+        "anomaly_id": _TEXT,
+        "incident_id": _TEXT,
+        "work_type": {"type": "string", "enum": ["corrective", "preventive", "predictive", "inspection", "emergency", "calibration"]},
+        "priority": {"type": "string", "enum": ["low", "medium", "high", "emergency"]},
+        "problem_code": _TEXT,
+        "cause_code": _TEXT,
+        "remedy_code": _TEXT,
+        "technician_notes": _TEXT,
+        "downtime_minutes": {"type": "number", "minimum": 0},
+        "parts_used": {
+            "type": "array",
+            "items": {"type": "object", "properties": {"part_number": _TEXT, "part_name": _TEXT, "quantity": {"type": "integer"}}},
+        },
+        "inspection_results": {
+            "type": "object",
+            "properties": {
+                "inspection_type": {"type": "string", "enum": ["visual", "thermal", "vibration_analysis", "oil_analysis", "ultrasound", "ndt"]},
+                "findings": _TEXT,
+                "severity": {"type": "string", "enum": ["normal", "degraded", "action_required", "critical"]},
+                "measurements": {"type": "object", "additionalProperties": {"type": "number"}},
+            },
+        },
+        "source_system": {"type": "string", "enum": ["cmms", "eam", "manual", "apm_triage"]},
+        "created_at": {"type": "string", "format": "date-time"},
+        "completed_at": {"type": "string", "format": "date-time"},
+        "status": {"type": "string", "enum": ["open", "in_progress", "pending_parts", "completed", "cancelled"]},
+    },
+}
+
 _KINDS = {
     "string": "^STRING$",
     "number": "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)",
@@ -67,25 +144,23 @@ _KINDS = {
 }
 
 
-#: Keywords that change nothing here, those that a field's checks know, and those of an array's items.
+#: Keywords that change nothing here, and those that the checks know.
 _NOTES = {"$schema", "$id", "title", "description"}
 _CHECKED = {
     "type", "const", "enum", "pattern", "format", "minLength", "minimum", "maximum", "minItems", "maxItems", "uniqueItems",
     "items", "properties", "required", "additionalProperties",
 }
-_OF_ITEMS = {"type"}
 
 
 def check_contract(contract: dict[str, Any], path: str = "") -> None:
     """Refuse a contract with a keyword that the checks would pass over."""
     unknown = set(contract) - _NOTES - _CHECKED
-    unknown |= {f"items.{k}" for k in set(contract.get("items", {})) - _NOTES - _OF_ITEMS}
-    if contract.get("additionalProperties", True) not in (True, False):
-        unknown.add("additionalProperties")
     if unknown:
         raise ValueError(f"contract keywords not supported at {path or '/'}: {', '.join(sorted(unknown))}")
-    for name, rule in contract.get("properties", {}).items():
-        check_contract(rule, f"{path}/{name}")
+    below = {**contract.get("properties", {}), **{k: contract[k] for k in ("items", "additionalProperties") if k in contract}}
+    for name, rule in below.items():
+        if not isinstance(rule, bool):
+            check_contract(rule, f"{path}/{name}")
 
 
 def _types(rule: dict[str, Any]) -> list[str]:
@@ -102,15 +177,17 @@ def contract_errors(lines: DataFrame, contract: dict[str, Any] = RAW_READING, va
     check_contract(contract)
     out = lines.withColumn("_doc", F.try_parse_json(F.col(value)))
     out = out.withColumn("_kind", F.schema_of_variant(F.col("_doc")))
+    out = computed_once(out, _texts=_texts(contract))
+    out = computed_once(out, _fine=_accepted(contract)).drop("_texts")
+    # what follows finds nothing to do in a line accepted here
     is_object = F.col("_kind").rlike(_KINDS["object"])
-    out = out.withColumn("_map", F.when(is_object, F.try_variant_get("_doc", "$", _MAP)))
+    out = out.withColumn("_map", F.when(~F.col("_fine") & is_object, F.try_variant_get("_doc", "$", _MAP)))
     out, found = _object_checks(out, "_map", contract, "")
-    # set operations instead of lambdas: these stay inside generated code
-    no_error = F.array(F.lit(None).cast(ERROR))
     errors = (
-        F.when(F.col("_doc").isNull(), F.array(_error("/", "invalid_json", F.lit("Invalid JSON"))))
+        F.when(F.col("_fine"), _none())
+        .when(F.col("_doc").isNull(), F.array(_error("/", "invalid_json", F.lit("Invalid JSON"))))
         .when(~is_object, F.array(_error("/", "invalid_json", F.lit("JSONL record must be an object"))))
-        .otherwise(F.sort_array(F.array_except(F.concat(*found), no_error)))
+        .otherwise(F.sort_array(F.array_compact(F.concat(*found))))
     )
     out = computed_once(out, errors=errors).select(*lines.columns, "errors")
     first = F.try_element_at(F.col("errors"), F.lit(1))
@@ -172,6 +249,76 @@ def _none() -> Column:
     return F.array().cast(f"array<{ERROR}>")
 
 
+def _accepted(contract: dict[str, Any]) -> Column:
+    """Certainly valid, judged by the kinds of ``_doc``'s fields as one text and by the texts of fields with values to keep to.
+
+    False says nothing: a contract with open properties, and lines with fields that need a closer look.
+    """
+    properties = contract.get("properties", {})
+    patterns = {name: _kind_pattern(rule) for name, rule in properties.items()}
+    required = set(contract.get("required", []))
+    if contract.get("additionalProperties") is not False or any(patterns.get(name) is None for name in required):
+        return F.lit(False)
+    fields = [f"(?:{re.escape(name)}: {patterns[name]}, )" + ("" if name in required else "?") for name in sorted(patterns) if patterns[name]]
+    inside = F.concat(F.substr(F.col("_kind"), F.lit(8), F.length("_kind") - 8), F.lit(", "))
+    fits = [F.col("_kind").rlike(_KINDS["object"]), inside.rlike(f"^{''.join(fields)}$")]
+    fits.append(F.col("_texts").isNotNull())
+    for name, rule in properties.items():
+        if patterns[name]:
+            fits += _value_fits(F.col("_texts")[name], rule)
+    return F.coalesce(reduce(and_, fits), F.lit(False))
+
+
+def _texts(contract: dict[str, Any]) -> Column:
+    """The fields with values to keep to as one struct of texts and lists of texts: one walk over the line."""
+    said = {"const", "enum", "pattern", "minLength", "minimum", "maximum"}
+    rules = {n: r for n, r in contract.get("properties", {}).items() if _kind_pattern(r) and (said & set(r) or "array" in _types(r))}
+    fields = ", ".join(f"`{n}`: {'array<string>' if 'array' in _types(r) else 'string'}" for n, r in rules.items())
+    return F.try_variant_get("_doc", "$", f"struct<{fields or '_: string'}>")
+
+
+def _kind_pattern(rule: dict[str, Any]) -> str | None:
+    """What schema_of_variant may say of a value of this rule; None where that is not enough to accept it."""
+    kinds = {
+        "string": "STRING",
+        "number": "(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\\(\\d+,\\d+\\))",
+        "integer": "(?:TINYINT|SMALLINT|INT|BIGINT|DECIMAL\\(\\d+,0\\))",
+        "boolean": "BOOLEAN",
+        "null": "VOID",
+        "array": "ARRAY<(?:VOID|STRING)>",
+    }
+    types = _types(rule) if "type" in rule else []
+    if not types or not set(types) <= set(kinds) or ("array" in types and rule.get("items") != {"type": "string"}):
+        return None
+    return f"(?:{'|'.join(kinds[t] for t in types)})"
+
+
+def _value_fits(value: Column, rule: dict[str, Any]) -> list[Column]:
+    """The value (of :func:`_texts`) is missing or keeps to the rule; its kind is known to."""
+    fits: list[Column] = []
+    if "const" in rule:
+        fits.append(value == rule["const"])
+    if "enum" in rule:
+        fits.append(value.isin(*rule["enum"]))
+    if "pattern" in rule:
+        fits.append(value.rlike(rule["pattern"]))
+    if "minLength" in rule:
+        fits.append(F.length(value) >= rule["minLength"])
+    if "minimum" in rule:
+        fits.append(value.try_cast("double") >= rule["minimum"])
+    if "maximum" in rule:
+        fits.append(value.try_cast("double") <= rule["maximum"])
+    fits = [F.coalesce(c, F.lit(True)) for c in fits]
+    if "array" in _types(rule):
+        size = F.size(value)
+        if rule.get("uniqueItems"):
+            fits.append(F.coalesce(F.size(F.array_distinct(value)) == size, F.lit(True)))
+        # a NULL among texts does not show in the kind
+        fits.append(F.coalesce(size.between(rule.get("minItems", 0), rule.get("maxItems", 2**31 - 1)), F.lit(True)))
+        fits.append(F.coalesce(F.array_position(F.transform(value, F.isnull), F.lit(True)) == 0, F.lit(True)))
+    return fits
+
+
 def _object_checks(df: DataFrame, map_col: str, contract: dict[str, Any], path: str) -> tuple[DataFrame, list[Column]]:
     """``df`` with the object's field columns, and the arrays of (possibly null) errors they give."""
     properties = contract.get("properties", {})
@@ -179,30 +326,10 @@ def _object_checks(df: DataFrame, map_col: str, contract: dict[str, Any], path:
     df = df.withColumns({v: F.try_element_at(F.col(map_col), F.lit(p)) for p, v in names.items()})
     df = df.withColumns({f"{v}:kind": F.schema_of_variant(F.col(f"`{v}`")) for v in names.values()})
     df = df.withColumns({f"{v}:text": F.try_variant_get(F.col(f"`{v}`"), "$", "string") for v in names.values()})
-    keys = F.map_keys(F.col(map_col))
-    found: list[Column] = []
-    required = contract.get("required", [])
-    if required:
-        # every "required" error points at the first missing field in contract order
-        missing = F.array_except(F.array(*[F.lit(r) for r in required]), keys)
-        first = F.concat(F.lit(f"{path}/"), F.try_element_at(missing, F.lit(1)))
-        found.append(
-            F.transform(
-                missing,
-                lambda m: _error(
-                    first, "missing_required_field", F.concat(F.lit("'"), m, F.lit("' is a required property"))
-                ),
-            )
-        )
-    if contract.get("additionalProperties") is False:
-        extra = F.array_except(keys, F.array(*[F.lit(p) for p in properties]))
-        quoted = F.array_join(F.transform(extra, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
-        verb = F.when(F.size(extra) > 1, F.lit(" were unexpected)")).otherwise(F.lit(" was unexpected)"))
-        message = F.concat(F.lit("Additional properties are not allowed ("), quoted, verb)
-        found.append(F.array(F.when(F.size(extra) > 0, _error(path or "/", "unexpected_field", message))))
+    found = _own_errors(F.col(map_col), contract, F.lit(path))
     for name, rule in properties.items():
         found += _field_checks(names[name], rule, f"{path}/{name}")
-        if "properties" in rule:
+        if {"properties", "required", "additionalProperties"} & set(rule):
             v, nested_map = names[name], f"_m{path}/{name}"
             is_object = F.col(f"`{v}:kind`").rlike(_KINDS["object"])
             df = df.withColumn(nested_map, F.when(is_object, F.try_variant_get(F.col(f"`{v}`"), "$", _MAP)))
@@ -212,7 +339,11 @@ def _object_checks(df: DataFrame, map_col: str, contract: dict[str, Any], path:
 
 
 def _field_checks(column: str, rule: dict[str, Any], path: str) -> list[Column]:
-    v, kind, text = F.col(f"`{column}`"), F.col(f"`{column}:kind`"), F.col(f"`{column}:text`")
+    return _checks(F.col(f"`{column}`"), F.col(f"`{column}:kind`"), F.col(f"`{column}:text`"), rule, F.lit(path))
+
+
+def _checks(v: Column, kind: Column, text: Column, rule: dict[str, Any], path: Column) -> list[Column]:
+    """Arrays of (possibly null) errors of one value; its own fields apart."""
     is_text = kind == "STRING"
     # a value as messages show it: text in single quotes, anything else as JSON
     shown = F.when(is_text, F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text)
@@ -256,17 +387,51 @@ def _field_checks(column: str, rule: dict[str, Any], path: str) -> list[Column]:
         message = F.concat(shown, F.lit(" has non-unique elements"))
         check(F.size(F.array_distinct(texts)) < F.size(texts), "schema_validation_error", message)
     found = [F.array(*single)] if single else []
-    item_type = rule.get("items", {}).get("type")
-    if item_type:
-
-        def item_error(i: Column, n: Column) -> Column:
-            item_kind, item_text = F.schema_of_variant(i), F.try_variant_get(i, "$", "string")
-            item = F.when(item_kind == "STRING", F.concat(F.lit("'"), item_text, F.lit("'"))).otherwise(item_text)
-            at = F.concat(F.lit(f"{path}/"), n.cast("string"))
-            allowed = _types(rule["items"])
-            message = F.concat(item, F.lit(" is not of type " + ", ".join(f"'{t}'" for t in allowed)))
-            fits = item_kind.rlike("|".join(f"({_KINDS[t]})" for t in allowed))
-            return F.when(~fits, _error(at, "invalid_type", message))
-
-        found.append(F.coalesce(F.transform(items, item_error), _none()))
+    if _says_something(rule.get("items", {})):
+        each = F.transform(items, lambda i, n: F.concat(*_value_errors(i, rule["items"], F.concat(path, F.lit("/"), n.cast("string")))))
+        found.append(F.coalesce(F.flatten(each), _none()))
+    return found
+
+
+def _says_something(rule: dict[str, Any] | bool) -> bool:
+    return not isinstance(rule, bool) and bool(set(rule) - _NOTES)
+
+
+def _value_errors(v: Column, rule: dict[str, Any], path: Column) -> list[Column]:
+    """Arrays of errors of a value and all below it, as expressions only, so that they can stand in a lambda."""
+    kind = F.schema_of_variant(v)
+    found = _checks(v, kind, F.try_variant_get(v, "$", "string"), rule, path)
+    if {"properties", "required", "additionalProperties"} & set(rule):
+        fields = F.when(kind.rlike(_KINDS["object"]), F.try_variant_get(v, "$", _MAP))
+        found += [F.coalesce(x, _none()) for x in _own_errors(fields, rule, path)]
+        for name, below in rule.get("properties", {}).items():
+            found += _value_errors(F.try_element_at(fields, F.lit(name)), below, F.concat(path, F.lit(f"/{name}")))
+    return found or [_none()]
+
+
+def _own_errors(fields: Column, rule: dict[str, Any], path: Column) -> list[Column]:
+    """Errors of an object's field names, and of the values of fields that only a general rule knows."""
+    keys, found = F.map_keys(fields), []
+    properties = F.array(*[F.lit(p) for p in rule.get("properties", {})]).cast("array<string>")
+    if rule.get("required"):
+        # every "required" error points at the first missing field in contract order, without what stands above it
+        missing = F.array_except(F.array(*[F.lit(r) for r in rule["required"]]), keys)
+        first = F.concat(F.lit("/"), F.try_element_at(missing, F.lit(1)))
+        found.append(
+            F.transform(
+                missing,
+                lambda m: _error(first, "missing_required_field", F.concat(F.lit("'"), m, F.lit("' is a required property"))),
+            )
+        )
+    more = rule.get("additionalProperties", True)
+    extra = F.array_except(keys, properties)
+    if more is False:
+        quoted = F.array_join(F.transform(extra, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
+        verb = F.when(F.size(extra) > 1, F.lit(" were unexpected)")).otherwise(F.lit(" was unexpected)"))
+        message = F.concat(F.lit("Additional properties are not allowed ("), quoted, verb)
+        at = F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
+        found.append(F.array(F.when(F.size(extra) > 0, _error(at, "unexpected_field", message))))
+    elif _says_something(more):
+        each = F.transform(extra, lambda k: F.concat(*_value_errors(F.try_element_at(fields, k), more, F.concat(path, F.lit("/"), k))))
+        found.append(F.flatten(each))
     return found

@@ -343,14 +343,29 @@ def _error_codes() -> Column:
     return F.array_join(codes, ",")
 
 
-@query
-def contract_errors(s: SparkSession, d: str) -> DataFrame:
-    checked = contracts.contract_errors(t.raw_json(s, d))
-    return checked.select(
+def _checked(lines: DataFrame, contract: dict) -> DataFrame:
+    return contracts.contract_errors(lines, contract).select(
         "offset", "error_code", "field_path", F.size("errors").alias("error_count"), _error_codes().alias("all_errors")
     )
 
 
+@query
+def contract_errors(s: SparkSession, d: str) -> DataFrame:
+    return _checked(t.raw_json(s, d), contracts.RAW_READING)
+
+
+@query
+def contract_errors_dlq(s: SparkSession, d: str) -> DataFrame:
+    """Dead-letter records: objects as array items, with the element in the path."""
+    return _checked(t.dead_letter_json(s, d), contracts.DEAD_LETTER)
+
+
+@query
+def contract_errors_work_order(s: SparkSession, d: str) -> DataFrame:
+    """Work orders: array items, a nested object and one of any fields with numbers."""
+    return _checked(t.work_order_json(s, d), contracts.WORK_ORDER)
+
+
 @query
 def contract_split(s: SparkSession, d: str) -> DataFrame:
     accepted, rejected = contracts.contract_split(t.raw_json(s, d))

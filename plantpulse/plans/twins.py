@@ -414,6 +414,36 @@ SELECT off AS "offset", errors[1].c AS error_code, errors[1].p AS field_path, CA
   array_to_string(list_transform(errors, lambda e: e.p || ':' || e.c), ',') AS all_errors
 FROM v_contract""")
 
+def listed(found: str) -> str:
+    """The columns of a contract query over orders, from a list of the errors each order number gives."""
+    return f"""
+SELECT o_orderkey AS "offset", errors[1].c AS error_code, errors[1].p AS field_path, CAST(len(errors) AS INTEGER) AS error_count,
+  array_to_string(list_transform(errors, lambda e: e.p || ':' || e.c), ',') AS all_errors
+FROM (SELECT o_orderkey, list_sort(list_filter([{found}], lambda e: e IS NOT NULL)) AS errors
+      FROM (SELECT o_orderkey, o_orderkey AS n, o_orderkey % 3 <> 0 AS long FROM orders))"""
+
+
+twin("contract_errors_dlq", listed("""
+  CASE WHEN long AND n % 19 = 0 THEN {'p': '/all_errors/0', 'c': 'invalid_type'} END,
+  CASE WHEN long AND n % 19 <> 0 AND n % 11 = 0 THEN {'p': '/all_errors/0', 'c': 'unexpected_field'} END,
+  CASE WHEN long AND n % 13 = 0 THEN {'p': '/all_errors/1/field_path', 'c': 'invalid_type'} END,
+  CASE WHEN long AND n % 7 = 0 THEN {'p': '/message', 'c': 'missing_required_field'} END,
+  CASE WHEN n % 17 = 0 THEN {'p': '/original_record', 'c': 'invalid_type'} END,
+  CASE WHEN n % 23 = 0 THEN {'p': '/message', 'c': 'missing_required_field'} END,
+  CASE WHEN n % 29 = 0 THEN {'p': '/validation_time', 'c': 'invalid_format'} END"""))
+
+twin("contract_errors_work_order", listed("""
+  CASE WHEN long AND n % 5 = 0 THEN {'p': '/parts_used/0/quantity', 'c': 'invalid_type'} END,
+  CASE WHEN long AND n % 7 = 0 THEN {'p': '/parts_used/1/part_number', 'c': 'invalid_type'} END,
+  CASE WHEN long AND n % 23 = 0 THEN {'p': '/parts_used/2', 'c': 'invalid_type'} END,
+  CASE WHEN long AND n % 11 = 0 THEN {'p': '/inspection_results/inspection_type', 'c': 'invalid_value'} END,
+  CASE WHEN long AND n % 29 = 0 THEN {'p': '/inspection_results/measurements', 'c': 'invalid_type'} END,
+  CASE WHEN long AND n % 29 <> 0 AND n % 13 = 0 THEN {'p': '/inspection_results/measurements/b', 'c': 'invalid_type'} END,
+  CASE WHEN n % 19 = 0 THEN {'p': '/priority', 'c': 'invalid_value'} END,
+  CASE WHEN n % 17 = 0 THEN {'p': '/downtime_minutes', 'c': 'invalid_value'} END,
+  CASE WHEN n % 31 = 0 THEN {'p': '/status', 'c': 'missing_required_field'} END,
+  CASE WHEN n % 37 = 0 THEN {'p': '/', 'c': 'unexpected_field'} END"""))
+
 twin("contract_split", """
 SELECT off AS "offset", len(errors) = 0 AS accepted, errors[1].c AS error_code FROM v_contract""")
 

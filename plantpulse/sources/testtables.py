@@ -259,6 +259,47 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _unless(no: Column, number: int, text: str, other: str = "") -> Column:
+    """``text`` as part of a JSON line, ``other`` in every ``number``-th one."""
+    return F.when(no % number == 0, F.lit(other)).otherwise(F.lit(text))
+
+
+def dead_letter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``offset, value`` lines of dead-letter records, with breakages chosen by the order number."""
+    no = F.col("o_orderkey")
+    first = F.concat(
+        F.lit('{"error_code":"invalid_type","field_path":"/value"'), _unless(no, 11, "", ',"hint":1'), F.lit(',"message":"no number"}')
+    )
+    second = F.concat(
+        F.lit('{"error_code":"invalid_value","field_path":'), _unless(no, 13, '"/unit"', "5"), _unless(no, 7, ',"message":"no unit"'), F.lit("}")
+    )
+    found = F.concat(F.lit(',"all_errors":['), F.when(no % 19 == 0, F.lit('"boom"')).otherwise(first), F.lit(","), second, F.lit("]"))
+    value = F.concat(
+        F.lit('{"original_record":'), F.when(no % 17 == 0, F.lit('"text"')).when(no % 2 == 0, F.lit("null")).otherwise(F.lit('{"id":1}')),
+        F.lit(',"error_code":"invalid_type","field_path":"/value"'), _unless(no, 23, ',"message":"no number"'),
+        F.lit(',"schema_name":"raw_sensor_event","schema_version":"raw_sensor_event.v1","validation_time":"2024-01-01T00:00:00'),
+        _unless(no, 29, 'Z"', '"'), F.when(no % 3 == 0, F.lit("")).otherwise(found), F.lit("}"),
+    )
+    return table(spark, sf_dir, "orders").select(no.alias("offset"), value.alias("value"))
+
+
+def work_order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``offset, value`` lines of work orders, with breakages chosen by the order number."""
+    no = F.col("o_orderkey")
+    parts = F.concat(
+        F.lit(',"parts_used":[{"part_number":"p1","quantity":'), _unless(no, 5, "2", '"two"'), F.lit('},{"part_number":'),
+        _unless(no, 7, '"p2"', "7"), F.lit("}"), _unless(no, 23, "", ",3"), F.lit("]"),
+    )
+    measured = F.when(no % 29 == 0, F.lit("[]")).otherwise(F.concat(F.lit('{"a":1.5,"b":'), _unless(no, 13, "2", '"high"'), F.lit("}")))
+    inspected = F.concat(F.lit(',"inspection_results":{"inspection_type":'), _unless(no, 11, '"visual"', '"smell"'), F.lit(',"measurements":'), measured, F.lit("}"))
+    value = F.concat(
+        F.lit('{"schema_version":"work_order.v1","work_order_id":"w","tenant_id":"t","asset_id":"a","work_type":"corrective","priority":'),
+        _unless(no, 19, '"low"', '"urgent"'), F.lit(',"created_at":"2024-01-01T00:00:00Z","downtime_minutes":'), _unless(no, 17, "0", "-1"),
+        F.when(no % 3 == 0, F.lit("")).otherwise(F.concat(parts, inspected)), _unless(no, 31, ',"status":"open"'), _unless(no, 37, "", ',"color":1'), F.lit("}"),
+    )
+    return table(spark, sf_dir, "orders").select(no.alias("offset"), value.alias("value"))
+
+
 def current_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a change feed: the last shipped row per (order, line) is the current one."""
     return latest_by_key(

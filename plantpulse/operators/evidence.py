@@ -10,6 +10,7 @@ from plantpulse.functions.once import computed_once
 from plantpulse.functions.text import lookup, sorted_set, spaced_json
 from plantpulse.functions.times import iso_z
 from plantpulse.operators.quality import check_of_flag
+from plantpulse.operators.series import as_of_join
 
 EVIDENCE_VERSION = "triage_evidence.v1"
 MAX_SOURCE_IDS = 10
@@ -133,6 +134,28 @@ EVIDENCE_COLUMNS = (
 ).split()
 
 
+def with_asset_history(
+    anomalies: DataFrame,
+    work_orders: DataFrame | None = None,
+    maintenance: DataFrame | None = None,
+    failures: DataFrame | None = None,
+) -> DataFrame:
+    """Anomalies with ``work_order``, ``maintenance`` and ``failure_mode``: the newest of their asset when the anomaly began.
+
+    ``work_orders`` needs ``work_order_id, created_at``, ``maintenance`` ``maintenance_id, performed_at`` and
+    ``failures`` ``failure_mode_id, occurred_at``, each with ``tenant_id, asset_id``; what more they have comes along.
+    """
+    out = anomalies
+    for rows, name, at, ties in (
+        (work_orders, "work_order", "created_at", "work_order_id"),
+        (maintenance, "maintenance", "performed_at", "maintenance_id"),
+        (failures, "failure_mode", "occurred_at", "failure_mode_id"),
+    ):
+        if rows is not None:
+            out = as_of_join(out, rows, ["tenant_id", "asset_id"], "window_start", at, [ties], name)
+    return out
+
+
 def triage_evidence(
     context: DataFrame,
     *,
@@ -146,7 +169,7 @@ def triage_evidence(
     ``use_flags`` takes quality events from flags and late records; otherwise a single
     caveat event is made, and the caveats come along as ``quality_caveats``.  ``asset_type``
     names the column that selects the run-book; ``failure_mode`` / ``work_order`` name
-    context columns.  Context joins carry the tenant, so rows of another tenant cannot
+    context columns (see :func:`with_asset_history`).  Context joins carry the tenant, so rows of another tenant cannot
     enter.
     """
     assert_no_forbidden(context)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plantpulse.functions.ids import key_text, recommendation_id, sha1_id
 from plantpulse.functions.once import computed_once
@@ -58,8 +59,21 @@ def quality_caveats() -> Column:
     return sorted_set(F.concat(empty, lines))
 
 
+def _failure_modes(evidence: DataFrame) -> Column:
+    """Ids of the evidence's failure mode: one, or none."""
+    none = F.array().cast("array<string>")
+    kind = evidence.schema["failure_mode_context"].dataType
+    if not isinstance(kind, StructType) or "failure_mode_id" not in kind.names:
+        return none
+    name = F.nullif(F.col("failure_mode_context.failure_mode_id"), F.lit(""))
+    return F.when(name.isNotNull(), F.array(name)).otherwise(none)
+
+
 def recommendations(evidence: DataFrame, created_at: Column, related_signals: Column | None = None) -> DataFrame:
-    """One recommendation per evidence row (23 columns), all from column expressions."""
+    """One recommendation per evidence row (23 columns), all from column expressions.
+
+    ``related_failure_modes`` has the failure mode of the evidence, where it has one.
+    """
     metric = F.coalesce(F.nullif("metric_name", F.lit("")), F.lit("metric"))
     asset = F.coalesce(F.nullif("asset_id", F.lit("")), F.lit("asset"))
     component = F.coalesce("component_id", F.lit(""))
@@ -98,7 +112,7 @@ def recommendations(evidence: DataFrame, created_at: Column, related_signals: Co
         F.array(*[F.lit(c) for c in RECOMMENDED_CHECKS]).alias("recommended_checks"),
         refs.alias("runbook_references"),
         sorted_set(related_signals).alias("related_signals"),
-        F.array().cast("array<string>").alias("related_failure_modes"),
+        _failure_modes(evidence).alias("related_failure_modes"),
         F.concat(
             F.lit(ACTION_START), metric, F.lit(ACTION_MIDDLE), asset, slash, F.lit(ACTION_END),
         ).alias("suggested_action"),

@@ -166,6 +166,44 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percent: int, n
     return found.filter(F.col("_at") == F.col("_want")).select(*keys, F.col(value).alias(name))
 
 
+def as_of_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    right_at: str,
+    ties: Sequence[str],
+    name: str,
+    cell: str = "1 day",
+) -> DataFrame:
+    """``left`` with ``name``: the newest row of ``right`` of its keys at or before ``at``, as a struct; NULL where there is none.
+
+    The newest is the last by (``right_at``, ``ties``).  Both sides are merged into one line per key, cut into time
+    cells: the newest row per cell comes first, a running maximum over a key's cells, then the last row carried
+    along inside each cell.  Neither a key nor a pair of rows is ever held together, so a key may have any number
+    of rows on either side.  A NULL key or time finds nothing.
+    """
+    found = F.struct(*[F.col(c) for c in (right_at, *ties)], *[F.col(c) for c in right.columns if c not in (right_at, *ties, *keys)])
+    kind = right.select(found.alias("row")).schema["row"].dataType.simpleString()
+    whole = F.struct(*left.columns)
+    lefts = left.select(F.struct(*keys).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), whole.alias("_left"), F.lit(None).cast(kind).alias("_row"))
+    none = F.lit(None).cast(lefts.schema["_left"].dataType)
+    rights = right.select(F.struct(*keys).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), none.alias("_left"), found.alias("_row"))
+    line = with_bucket(lefts.filter(F.col("_at").isNotNull()).union(rights), "_at", cell, "_cell")
+    tops = line.groupBy("_key", "_cell").agg(F.max("_row").alias("_top"))
+    before = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_key", "_cell", F.max("_top").over(before).alias("_earlier"))
+    # rows of the right side first among those of one instant, the last of them in front of the left side's
+    inside = Window.partitionBy("_key", "_cell").orderBy("_at", "_side", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.coalesce(F.last("_row", ignorenulls=True).over(inside), F.col("_earlier"))
+    met = line.join(tops, ["_key", "_cell"]).withColumn(name, carried).filter("_side = 1")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(f"_left.{k}").isNotNull()
+    out = met.select("_left.*", F.when(known, F.col(name)).alias(name))
+    return out.union(left.filter(F.col(at).isNull()).withColumn(name, F.lit(None).cast(kind)))
+
+
 def bucketed_sessions(
     df: DataFrame, keys: Sequence[str], time_col: str, gap: str, partial: Sequence[Column], first: str, last: str
 ) -> DataFrame:

@@ -888,6 +888,46 @@ def evidence_assembled(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shifted(df: DataFrame, column: str) -> DataFrame:
+    """Order dates moved to the years of the events, so that some lie before and some after an anomaly."""
+    return df.withColumn(column, F.col(column) + F.expr("INTERVAL 26 YEARS"))
+
+
+def evidence_in_context(s: SparkSession, d: str) -> DataFrame:
+    """Evidence with the newest work order and failure of the asset when the anomaly began, and the newest maintenance beside it."""
+    orders = shifted(t.work_orders(s, d), "created_at").select("tenant_id", "asset_id", "work_order_id", "work_order_status", "created_at")
+    kept = shifted(t.maintenance(s, d), "performed_at").select("tenant_id", "asset_id", "maintenance_id", "maintenance_type", "performed_at")
+    failed = shifted(t.failure_events(s, d), "occurred_at").select(
+        "tenant_id", "asset_id", F.col("failure_event_id").alias("failure_mode_id"), "event_status", "occurred_at"
+    )
+    c = ev.with_asset_history(latest_context(s, d), orders, kept, failed)
+    e = ev.triage_evidence(c, failure_mode="failure_mode", work_order="work_order")
+    return e.join(c.select("tenant_id", "anomaly_id", "maintenance"), ["tenant_id", "anomaly_id"])
+
+
+@query
+def evidence_context(s: SparkSession, d: str) -> DataFrame:
+    e = ev.evidence_json(evidence_in_context(s, d))
+    in_text = lambda path: F.get_json_object("evidence_json", path)
+    return e.select(
+        "anomaly_id",
+        F.col("work_order_context.work_order_id").alias("work_order_id"),
+        F.col("work_order_context.work_order_status").alias("work_order_status"),
+        F.col("work_order_context.created_at").alias("work_order_at"),
+        F.col("maintenance.maintenance_id").alias("maintenance_id"),
+        F.col("failure_mode_context.failure_mode_id").alias("failure_mode_id"),
+        F.col("failure_mode_context.occurred_at").alias("failed_at"),
+        in_text("$.work_order_context.work_order_id").alias("json_work_order"),
+        in_text("$.failure_mode_context.failure_mode_id").alias("json_failure_mode"),
+    )
+
+
+@query
+def recommendations_in_context(s: SparkSession, d: str) -> DataFrame:
+    r = recommend.recommendations(evidence_in_context(s, d), F.lit("2024-02-01T00:00:00Z"))
+    return r.select("recommendation_id", "anomaly_id", "related_signals", "related_failure_modes", "confidence_label")
+
+
 @query
 def evidence_runbook(s: SparkSession, d: str) -> DataFrame:
     a = ctx.anomaly_context(t.anomalies(s, d), t.assets(s, d), t.components(s, d), t.tags(s, d))

@@ -414,7 +414,7 @@ SELECT off AS "offset", errors[1].c AS error_code, errors[1].p AS field_path, CA
   array_to_string(list_transform(errors, lambda e: e.p || ':' || e.c), ',') AS all_errors
 FROM v_contract""")
 
-def listed(found: str) -> str:
+def error_list(found: str) -> str:
     """The columns of a contract query over orders, from a list of the errors each order number gives."""
     return f"""
 SELECT o_orderkey AS "offset", errors[1].c AS error_code, errors[1].p AS field_path, CAST(len(errors) AS INTEGER) AS error_count,
@@ -423,7 +423,7 @@ FROM (SELECT o_orderkey, list_sort(list_filter([{found}], lambda e: e IS NOT NUL
       FROM (SELECT o_orderkey, o_orderkey AS n, o_orderkey % 3 <> 0 AS long FROM orders))"""
 
 
-twin("contract_errors_dlq", listed("""
+twin("contract_errors_dlq", error_list("""
   CASE WHEN long AND n % 19 = 0 THEN {'p': '/all_errors/0', 'c': 'invalid_type'} END,
   CASE WHEN long AND n % 19 <> 0 AND n % 11 = 0 THEN {'p': '/all_errors/0', 'c': 'unexpected_field'} END,
   CASE WHEN long AND n % 13 = 0 THEN {'p': '/all_errors/1/field_path', 'c': 'invalid_type'} END,
@@ -432,7 +432,7 @@ twin("contract_errors_dlq", listed("""
   CASE WHEN n % 23 = 0 THEN {'p': '/message', 'c': 'missing_required_field'} END,
   CASE WHEN n % 29 = 0 THEN {'p': '/validation_time', 'c': 'invalid_format'} END"""))
 
-twin("contract_errors_work_order", listed("""
+twin("contract_errors_work_order", error_list("""
   CASE WHEN long AND n % 5 = 0 THEN {'p': '/parts_used/0/quantity', 'c': 'invalid_type'} END,
   CASE WHEN long AND n % 7 = 0 THEN {'p': '/parts_used/1/part_number', 'c': 'invalid_type'} END,
   CASE WHEN long AND n % 23 = 0 THEN {'p': '/parts_used/2', 'c': 'invalid_type'} END,
@@ -1103,6 +1103,26 @@ SELECT evidence_id, 'triage_evidence.v1' AS evidence_version, tenant_id, anomaly
   'generic_asset_triage#' || metric_name AS runbooks, {iso('window_start')} AS json_window_start
 FROM v_evidence""")
 
+def newest(view_name: str, name: str, at: str, more: str) -> str:
+    """One row per asset and time, moved to the years of the events: of several the last by id."""
+    return f"""(SELECT tenant_id, asset_id, {at} + INTERVAL 26 YEAR AS t, max({name}) AS id, {more} FROM {view_name} GROUP BY ALL)"""
+
+
+view("v_history", f"""
+SELECT a.anomaly_id, a.tenant_id, w.id AS work_order_id, w.status AS work_order_status, w.t AS work_order_at, m.id AS maintenance_id,
+  f.id AS failure_mode_id, f.t AS failed_at
+FROM v_anomalies a
+ASOF LEFT JOIN {newest("v_work_orders", "work_order_id", "created_at", "max_by(work_order_status, work_order_id) AS status")} w
+  ON a.tenant_id = w.tenant_id AND a.asset_id = w.asset_id AND a.window_start >= w.t
+ASOF LEFT JOIN {newest("v_maintenance", "maintenance_id", "performed_at", "1 AS x")} m
+  ON a.tenant_id = m.tenant_id AND a.asset_id = m.asset_id AND a.window_start >= m.t
+ASOF LEFT JOIN {newest("v_failure_events", "failure_event_id", "occurred_at", "1 AS x")} f
+  ON a.tenant_id = f.tenant_id AND a.asset_id = f.asset_id AND a.window_start >= f.t""")
+
+twin("evidence_context", """
+SELECT anomaly_id, work_order_id, work_order_status, work_order_at, maintenance_id, failure_mode_id, failed_at,
+  work_order_id AS json_work_order, failure_mode_id AS json_failure_mode FROM v_history""")
+
 twin("evidence_runbook", """
 SELECT c.anomaly_id, CASE asset_type WHEN 'pump' THEN 'manufacturing_rotating_equipment' WHEN 'boiler' THEN
     'power_generation_vibration' WHEN 'chiller' THEN 'campus_bms_checks' WHEN 'conveyor' THEN
@@ -1154,6 +1174,10 @@ FROM v_evidence""")
 
 twin("recommendations", "SELECT * EXCLUDE (event_no) FROM v_recommendations")
 
+twin("recommendations_in_context", """
+SELECT r.recommendation_id, r.anomaly_id, r.related_signals, coalesce(h.failure_mode_id, '') AS related_failure_modes, r.confidence_label
+FROM v_recommendations r JOIN v_history h USING (tenant_id, anomaly_id)""")
+
 
 
 def listed(c: str) -> str:

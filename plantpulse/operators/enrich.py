@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Stands for the missing tenant of a mapping; no reading has it.
+NO_TENANT = "\x00"
+
 ENRICHED_COLUMNS = (
     "event_id tenant_id tag_id tag_name asset_id asset_name component_id component_type metric_name "
     "measurement_point expected_unit value unit event_time ingest_time quality_flags asset_type site_id"
@@ -44,12 +47,15 @@ def check_mapping(readings: DataFrame, tags: DataFrame) -> DataFrame:
 
     The mapping is looked up by tag id; a tag known only under other tenants, or in
     another unit, is an error.  One join: tenants that share a tag id sit in a small map.
-    Of several mappings of one tag and tenant the newest (``updated_at``, where given) counts.
+    Of several mappings of one tag and tenant the newest (``updated_at``, where given) counts; one without
+    a tenant makes its tag known, but to no tenant.
     """
     newest = F.struct(*[c for c in ("updated_at",) if c in tags.columns], "unit")
     single = tags.groupBy("tag_id", "tenant_id").agg(F.max(newest)["unit"].alias("unit"))
     per_tag = single.groupBy("tag_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("tenant_id", F.col("unit").alias("mapped_unit")))).alias("_units")
+        F.map_from_entries(
+            F.collect_list(F.struct(F.coalesce("tenant_id", F.lit(NO_TENANT)).alias("tenant_id"), F.col("unit").alias("mapped_unit")))
+        ).alias("_units")
     )
     units = F.col("_units")
     known = F.coalesce(F.map_contains_key(units, F.coalesce(F.col("tenant_id"), F.lit(""))), F.lit(False))

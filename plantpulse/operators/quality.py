@@ -87,11 +87,23 @@ def quality_rows(
     )
 
 
+def has_tenant() -> Column:
+    return F.coalesce("tenant_id", F.lit("")) != ""
+
+
+def without_tenant(records: DataFrame) -> DataFrame:
+    """The records no quality event can be made of, whole, with an ``error_code``: those without a tenant."""
+    return records.filter(~has_tenant()).withColumn("error_code", F.lit("missing_tenant_id"))
+
+
 def quality_from_flags(records: DataFrame) -> DataFrame:
-    """One failed check per quality flag of an anomaly (window bounds) or reading (event time)."""
+    """One failed check per quality flag of an anomaly (window bounds) or reading (event time).
+
+    Records without a tenant are in :func:`without_tenant`, for this and :func:`quality_from_late`.
+    """
     start = F.col("window_start") if "window_start" in records.columns else F.col("event_time")
     end = F.col("window_end") if "window_end" in records.columns else F.col("event_time")
-    r = records.filter(F.col("tenant_id") != "").withColumn("_flag", F.explode(F.array_sort("quality_flags")))
+    r = records.filter(has_tenant()).withColumn("_flag", F.explode(F.array_sort("quality_flags")))
     r = r.drop("component_id") if "component_id" in r.columns else r
     return quality_rows(
         r,
@@ -105,7 +117,8 @@ def quality_from_flags(records: DataFrame) -> DataFrame:
 
 
 def quality_from_late(late: DataFrame) -> DataFrame:
-    """One failed late_event check per late reading."""
+    """One failed late_event check per late reading with a tenant."""
+    late = late.filter(has_tenant())
     r = late.drop("component_id") if "component_id" in late.columns else late
     return quality_rows(
         r,

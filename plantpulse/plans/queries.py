@@ -242,7 +242,17 @@ def route_records(s: SparkSession, d: str) -> DataFrame:
         {c: F.get_json_object("value", f"$.{c}") for c in ("tenant_id", "tag_id")}
     )
     tenants = t.tags(s, d).select("tenant_id").distinct().filter(F.col("tenant_id") != "tenant_c")
-    return logs.route_records(named, tenants).select("offset", "valid", "topic", "key")
+    sent = logs.with_payload(logs.route_records(named, tenants), now=F.lit("2024-02-01").cast("timestamp_ntz"))
+    in_dead = lambda path: F.when(~F.col("valid"), F.get_json_object("payload", path))
+    return sent.select(
+        "offset",
+        "valid",
+        "topic",
+        "key",
+        in_dead("$.field_path").alias("dead_path"),
+        in_dead("$.validation_time").alias("dead_time"),
+        F.when(F.col("valid"), F.get_json_object("payload", "$.event_id")).otherwise(F.get_json_object("payload", "$.original_record.event_id")).alias("sent_event"),
+    )
 
 
 @query

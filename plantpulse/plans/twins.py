@@ -311,7 +311,10 @@ SELECT off AS "offset", len(errors) = 0 AS valid,
     WHEN event_no % 53 <> 0 AND event_no % 61 <> 0 AND tenant_id <> 'tenant_c' THEN tenant_id || '.raw_apm__dlq_events.v1'
     END AS topic,
   CASE WHEN len(errors) = 0 THEN tenant_id || '|' || tag_id
-    WHEN event_no % 53 <> 0 AND event_no % 61 <> 0 AND tenant_id <> 'tenant_c' THEN tenant_id || '|dlq' END AS key
+    WHEN event_no % 53 <> 0 AND event_no % 61 <> 0 AND tenant_id <> 'tenant_c' THEN tenant_id || '|dlq' END AS key,
+  CASE WHEN len(errors) > 0 THEN errors[1].p END AS dead_path,
+  CASE WHEN len(errors) > 0 THEN '2024-02-01T00:00:00Z' END AS dead_time,
+  CASE WHEN event_no % 53 <> 0 THEN CASE WHEN event_no % 73 = 0 THEN '' ELSE event_id END END AS sent_event
 FROM v_contract""")
 
 twin("restamp_times", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantpulse.functions.text import text_bool
-from plantpulse.functions.times import parse_iso
+from plantpulse.functions.times import iso_z, parse_iso
 
 # Topic names per tenant.
 TOPICS = {
@@ -197,6 +197,28 @@ def route_records(checked: DataFrame, tenants: DataFrame) -> DataFrame:
     ).drop("_known")
 
 
+def with_payload(routed: DataFrame, value: str = "value", now: Column | None = None) -> DataFrame:
+    """Routed records with what is sent: a valid line as it is, for others the dead-letter record as JSON.
+
+    The record holds the original (null where it is no JSON object), the error's code, path and message, the
+    contract and the time, keys in alphabetical order.  ``routed`` also needs ``field_path`` and ``message``.
+    """
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(value))).startswith("OBJECT"), F.lit(False))
+    before = F.struct(F.lit("schema_validation_error").alias("error_code"), "field_path", "message")
+    after = F.struct(
+        F.lit("raw_sensor_event").alias("schema_name"),
+        F.lit("raw_sensor_event.v1").alias("schema_version"),
+        iso_z(F.current_timestamp() if now is None else now).alias("validation_time"),
+    )
+    # the original goes in as it stands, between the fields before and behind it
+    record = F.concat(
+        F.regexp_replace(F.to_json(before, {"ignoreNullFields": "false"}), r"\}$", ',"original_record":'),
+        F.when(is_object, F.col(value)).otherwise(F.lit("null")),
+        F.regexp_replace(F.to_json(after), r"^\{", ","),
+    )
+    return routed.withColumn("payload", F.when(F.col("valid"), F.col(value)).otherwise(record))
+
+
 def restamp_times(records: DataFrame, mode: str, now: Column) -> DataFrame:
     """``backfill_replay`` stamps the ingest time, ``realtime_live`` event and ingest time.
 

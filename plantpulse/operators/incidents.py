@@ -161,14 +161,19 @@ def incident_id_pages(members: DataFrame, page_size: int = 1000) -> DataFrame:
     )
 
 
-def incident_context(incident_rows: DataFrame, evidence: DataFrame, recommendation_rows: DataFrame) -> DataFrame:
-    """Incidents with evidence and recommendation of their first anomaly."""
-    e = evidence.select("tenant_id", F.col("anomaly_id").alias("primary_anomaly_id"), "evidence_id")
-    r = recommendation_rows.select(
-        "tenant_id", F.col("anomaly_id").alias("primary_anomaly_id"), "recommendation_id", "summary", "recommended_checks"
-    )
+def incident_context(incident_rows: DataFrame, recommendation_rows: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Incidents with evidence and recommendation of their first anomaly.
+
+    Recommendations that carry the column ``evidence`` (:func:`recommend.evidence_reference`) name it themselves.
+    """
     on = ["tenant_id", "primary_anomaly_id"]
-    return incident_rows.join(e.join(r, on, "full"), on, "left")
+    shown = ["recommendation_id", "summary", "recommended_checks"]
+    if evidence is None:
+        r = recommendation_rows.select(F.col("evidence.tenant_id"), F.col("evidence.anomaly_id").alias(on[1]), "evidence.evidence_id", *shown)
+        return incident_rows.join(r, on, "left")
+    e = evidence.select("tenant_id", F.col("anomaly_id").alias(on[1]), "evidence_id")
+    r = recommendation_rows.select("tenant_id", F.col("anomaly_id").alias(on[1]), *shown)
+    return incident_rows.join(e, on, "left").join(r, on, "left")
 
 
 def route_alerts(incident_rows: DataFrame, created_at: Column, webhook_configured: bool = False) -> DataFrame:

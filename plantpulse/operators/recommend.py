@@ -69,10 +69,19 @@ def _failure_modes(evidence: DataFrame) -> Column:
     return F.when(name.isNotNull(), F.array(name)).otherwise(none)
 
 
-def recommendations(evidence: DataFrame, created_at: Column, related_signals: Column | None = None) -> DataFrame:
+def evidence_reference() -> Column:
+    """What later checks ask of the evidence a recommendation was made from, as one struct."""
+    allowed = F.transform("runbook_refs", lambda r: F.concat(r["runbook_id"], F.lit("#"), r["section"]))
+    return F.struct("evidence_id", "tenant_id", "anomaly_id", "evidence_version", allowed.alias("allowed"))
+
+
+def recommendations(
+    evidence: DataFrame, created_at: Column, related_signals: Column | None = None, with_reference: bool = False
+) -> DataFrame:
     """One recommendation per evidence row (23 columns), all from column expressions.
 
-    ``related_failure_modes`` has the failure mode of the evidence, where it has one.
+    ``related_failure_modes`` has the failure mode of the evidence, where it has one.  ``with_reference`` adds the
+    column ``evidence`` (see :func:`evidence_reference`), so that later steps need not build the evidence again.
     """
     metric = F.coalesce(F.nullif("metric_name", F.lit("")), F.lit("metric"))
     asset = F.coalesce(F.nullif("asset_id", F.lit("")), F.lit("asset"))
@@ -124,6 +133,7 @@ def recommendations(evidence: DataFrame, created_at: Column, related_signals: Co
         F.lit(0).alias("latency_ms"),
         created_at.alias("created_at"),
         F.lit("fallback").alias("status"),
+        *([evidence_reference().alias("evidence")] if with_reference else []),
     )
 
 

@@ -118,8 +118,13 @@ def _evidence_side(evidence: DataFrame) -> DataFrame:
 EVIDENCE_KEY = ("evidence_tenant", "evidence_key")
 
 
-def _paired(rows: DataFrame, evidence: DataFrame, on: tuple[str, str]) -> DataFrame:
-    """Rows with their evidence; a row without any keeps NULL there.  Ids are unique within a tenant only."""
+def _paired(rows: DataFrame, evidence: DataFrame | None, on: tuple[str, str]) -> DataFrame:
+    """Rows with their evidence; a row without any keeps NULL there.  Ids are unique within a tenant only.
+
+    Without ``evidence`` the rows carry their own reference to it (:func:`recommend.evidence_reference`): no join.
+    """
+    if evidence is None:
+        return rows.withColumns({f"_{c}": F.col(f"evidence.{c}") for c in ("tenant_id", "anomaly_id", "evidence_version", "allowed")})
     same = (F.col(on[0]) == F.col("_tenant_id")) & (F.col(on[1]) == F.col("_anomaly_id"))
     return rows.join(_evidence_side(evidence), same, "left")
 
@@ -129,13 +134,14 @@ def _or_missing(reasons: Column) -> Column:
 
 
 def validate_recommendations(
-    recommendations: DataFrame, evidence: DataFrame, on: tuple[str, str] = EVIDENCE_KEY
+    recommendations: DataFrame, evidence: DataFrame | None = None, on: tuple[str, str] = EVIDENCE_KEY
 ) -> DataFrame:
     """Recommendations with ``validation_status`` (valid, quarantined) and ``quarantine_reason``.
 
     Both sides are paired by the columns ``on`` of the recommendation (tenant and anomaly of
     the evidence it was made from), so a recommendation that *names* another anomaly or
-    tenant is caught, and one without evidence is quarantined as ``missing_evidence``.
+    tenant is caught, and one without evidence is quarantined as ``missing_evidence``.  Recommendations that
+    carry the column ``evidence`` need no second side.
     ``schema_messages`` (from :func:`contract_messages`) join the reasons where present.
     """
     df = _paired(recommendations, evidence, on)
@@ -166,7 +172,7 @@ def validate_recommendations(
     ).drop("_reasons", "_tenant_id", "_anomaly_id", "_evidence_version", "_allowed")
 
 
-def validate_diagnoses(diagnoses: DataFrame, evidence: DataFrame, on: tuple[str, str] = EVIDENCE_KEY) -> DataFrame:
+def validate_diagnoses(diagnoses: DataFrame, evidence: DataFrame | None = None, on: tuple[str, str] = EVIDENCE_KEY) -> DataFrame:
     """Diagnoses with ``validation_status``, ``failure_reasons`` and, when quarantined, ``quarantine_id``.
 
     Paired like recommendations; one without evidence fails as ``missing_evidence``.

@@ -97,6 +97,11 @@ def recommendation_rows(s: SparkSession, d: str) -> DataFrame:
     return recommend.recommendations(evidence_rows(s, d), F.lit("2024-02-01T00:00:00Z"))
 
 
+def referring_rows(s: SparkSession, d: str) -> DataFrame:
+    """Recommendations that name their evidence, so that it is built once per query."""
+    return recommend.recommendations(evidence_rows(s, d), F.lit("2024-02-01T00:00:00Z"), with_reference=True)
+
+
 # --- sources, landing, dimensions ---------------------------------------------------------
 
 
@@ -459,7 +464,7 @@ def feedback_validate(s: SparkSession, d: str) -> DataFrame:
 
 def tampered(s: SparkSession, d: str) -> DataFrame:
     """Recommendations with faults spread by event number, keyed by the evidence they answer."""
-    r = recommendation_rows(s, d).withColumns({"evidence_key": F.col("anomaly_id"), "evidence_tenant": F.col("tenant_id")})
+    r = referring_rows(s, d).withColumns({"evidence_key": F.col("anomaly_id"), "evidence_tenant": F.col("tenant_id")})
     no = number_of("evidence_key")
     return r.withColumns(
         {
@@ -475,13 +480,13 @@ def tampered(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def recommendation_validate(s: SparkSession, d: str) -> DataFrame:
-    out = validate.validate_recommendations(tampered(s, d), evidence_rows(s, d))
+    out = validate.validate_recommendations(tampered(s, d))
     return out.select("evidence_key", "validation_status", "quarantine_reason")
 
 
 @query
 def diagnosis_validate(s: SparkSession, d: str) -> DataFrame:
-    out = validate.validate_diagnoses(tampered(s, d), evidence_rows(s, d))
+    out = validate.validate_diagnoses(tampered(s, d))
     return out.select("evidence_key", "validation_status", "failure_reasons", "quarantine_id")
 
 
@@ -961,8 +966,7 @@ def recommendations(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def recommendation_store(s: SparkSession, d: str) -> DataFrame:
-    r = recommendation_rows(s, d).withColumns({"evidence_key": F.col("anomaly_id"), "evidence_tenant": F.col("tenant_id")})
-    stored = recommend.recommendation_rows(validate.validate_recommendations(r, evidence_rows(s, d)))
+    stored = recommend.recommendation_rows(validate.validate_recommendations(referring_rows(s, d)))
     return stored.select(
         "recommendation_id", "anomaly_id", "findings", "possible_causes", "runbook_references", "quality_caveats",
         "status", "validation_status", "quarantine_reason",
@@ -1066,9 +1070,7 @@ def incident_id_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def incident_view(s: SparkSession, d: str) -> DataFrame:
-    return incidents.incident_context(
-        incidents.incidents(t.anomalies(s, d), "12 HOURS"), evidence_rows(s, d), recommendation_rows(s, d)
-    )
+    return incidents.incident_context(incidents.incidents(t.anomalies(s, d), "12 HOURS"), referring_rows(s, d))
 
 
 @query

@@ -13,6 +13,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Callable
+from itertools import count, islice
 
 import numpy as np
 
@@ -86,22 +87,19 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count().__next__)
         self.sizes, self.store = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The place of each unit in ``sizes``."""
         if len(self.known) > self.most:
             self._empty()
-        met: dict[str, int] = defaultdict()
-        met.default_factory = met.__len__
-        codes = np.fromiter(map(met.__getitem__, units), np.int64, len(units))
-        met.default_factory = None  # else the table, which it refers to, waits for the cycle collector
-        if new := [x for x in met if x not in self.known]:
-            ids, sizes = self.bpe.ids(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        before = len(self.known)
+        codes = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))  # numbers new units as it meets them
+        if new := list(islice(reversed(self.known), len(self.known) - before)):
+            ids, sizes = self.bpe.ids(new[::-1])
             self.sizes, self.store = np.concatenate([self.sizes, sizes]), np.concatenate([self.store, ids])
-        return np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))[codes]
+        return codes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""

@@ -25,7 +25,7 @@ from plantpulse.llm.shared import groups_of_texts
 CHUNK_BYTES = 8 << 20
 
 #: ``posting``: the number of documents of the chunk, then the places. ``about`` (one row per chunk, else
-#: null): for each document whether it has an id, the id, its bytes and its terms. ``counted``: see postings().
+#: null): for each document whether it has an id, the id, its bytes, its terms and what it carries. ``counted``: see postings().
 ROWS = "chunk bigint, term string, posting binary, counted bigint, about binary"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("term", pa.string()), ("posting", pa.binary()), ("counted", pa.int64()), ("about", pa.binary())])
 
@@ -35,11 +35,13 @@ def postings(
     splitter: Callable[[], Callable[[str], list[str]]],
     counts: Callable[[int | None], bool] | None = None,
     chunk_bytes: int = CHUNK_BYTES,
+    carry: str | None = None,
 ) -> DataFrame:
     """One row per chunk and distinct term, and one per chunk that tells its documents.
 
     ``docs`` has ``doc_id`` and ``text`` (null: empty). ``splitter`` makes, in each task, the function
     from a text to its terms. ``counted`` is the term's occurrences in documents whose id ``counts``.
+    ``carry`` names a bigint column, never null, that document_sums() is to return.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,12 +50,12 @@ def postings(
         split = splitter()
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(groups_of_texts(batches, "text", chunk_bytes)):
-            yield from _chunk(task << 32 | number, batch, split, counts)
+            yield from _chunk(task << 32 | number, batch, split, counts, carry)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text", *([carry] if carry else [])).mapInArrow(run, ROWS)
 
 
-def _chunk(chunk: int, batch: pa.RecordBatch, split: Callable, counts: Callable | None) -> Iterator[pa.RecordBatch]:
+def _chunk(chunk: int, batch: pa.RecordBatch, split: Callable, counts: Callable | None, carry: str | None) -> Iterator[pa.RecordBatch]:
     ids, codes, sizes, n_bytes = batch.column("doc_id").to_pylist(), [], [], []
     seen: dict[str, int] = defaultdict()
     seen.default_factory = seen.__len__
@@ -80,16 +82,17 @@ def _chunk(chunk: int, batch: pa.RecordBatch, split: Callable, counts: Callable
             [pa.array(np.full(len(some), chunk)), pa.array(some, pa.string()), posting, pa.array(counted[low : low + len(some)]), pa.nulls(len(some), pa.binary())],
             schema=SCHEMA,
         )
-    about = np.array([[x is not None for x in ids], [x or 0 for x in ids], n_bytes, sizes], np.int64)
+    carried = [batch.column(carry).to_numpy()] if carry else []
+    about = np.array([[x is not None for x in ids], [x or 0 for x in ids], n_bytes, sizes, *carried], np.int64)
     # a term of its own, so that these rows spread over the partitions
     name = f"\x00{uuid.uuid5(uuid.NAMESPACE_OID, str(chunk))}"
     yield pa.RecordBatch.from_pydict({"chunk": [chunk], "term": [name], "posting": [None], "counted": [0], "about": [about.tobytes()]}, schema=SCHEMA)
 
 
-def document_sums(rows: DataFrame, values: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], columns: list[str]) -> DataFrame:
+def document_sums(rows: DataFrame, values: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], columns: list[str], carry: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_terms, and for each of ``columns`` the sum of a value over all terms of the document.
 
-    ``rows`` come from :func:`postings`, dealt out in any way and with more columns or not. ``values``
+    ``rows`` come from :func:`postings`, dealt out in any way and with more columns or not; ``carry`` as given there. ``values``
     makes, in each task, the function from some rows to one array of values per column.
     """
     partial = "chunk bigint, places binary, sums binary, about binary"
@@ -133,17 +136,18 @@ def document_sums(rows: DataFrame, values: Callable[[], Callable[[pa.RecordBatch
                 yield from flush()
         yield from flush()
 
-    result = "doc_id bigint, n_bytes bigint, n_terms bigint, " + ", ".join(f"{c} double" for c in columns)
+    own = ["n_bytes", "n_terms", *([carry] if carry else [])]
+    result = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in own), *(f"{c} double" for c in columns)])
 
     def finish(group: pa.Table) -> pa.Table:
         parts = group.to_pylist()
-        about = np.frombuffer(next(x["about"] for x in parts if x["about"] is not None), np.int64).reshape(4, -1)
+        about = np.frombuffer(next(x["about"] for x in parts if x["about"] is not None), np.int64).reshape(2 + len(own), -1)
         sums = np.zeros((len(columns), about.shape[1]))
         for row in parts:
             if row["places"]:
                 places = np.frombuffer(row["places"], "<u2")
                 sums[:, places] += np.frombuffer(row["sums"]).reshape(len(columns), -1)
         ids = pa.array(about[1], mask=about[0] == 0)
-        return pa.table([ids, *map(pa.array, about[2:]), *map(pa.array, sums)], names=["doc_id", "n_bytes", "n_terms", *columns])
+        return pa.table([ids, *map(pa.array, about[2:]), *map(pa.array, sums)], names=["doc_id", *own, *columns])
 
     return rows.mapInArrow(add, partial).groupBy("chunk").applyInArrow(finish, result)

@@ -1,16 +1,21 @@
-"""Language-model scores by prediction by partial matching (PPM) over bytes.
-
-The model codes a document's lower-cased words, each ended by a space, and then an end symbol. The context
-of a byte is what precedes it in its word, the space before the word included, up to ``ORDER`` bytes. A
-context that was seen gives a symbol seen n of N times there (n - 1/2) / N and keeps T / 2N for escape, T
-being its number of different symbols (method D). On escape the context loses its first byte, and the
-symbols of the longer context are excluded from all counts there. Below the empty context every symbol
-left of 256 bytes and the end is equally likely.
-
-As contexts stay in words, a word has one code length wherever it stands: words are coded once each, and
-documents sum their words' code lengths (see postings). The trie is a table of (context, symbol) counts
-over all training words; its probabilities are computed by joins, order by order. Tasks that code words get
-it in blocks of at most ``BLOCK`` entries, whatever its size.
+"""Language-model scores by prediction by partial matching (PPM) over the bytes of the running text.
+
+The model codes a document's bytes, A-Z lower-cased, and then an end symbol. The context of a symbol is the
+``ORDER`` bytes before it, white space included; only the document's start cuts it, where start marks stand
+in the places of missing bytes. A context that was seen N times, T different symbols with it, gives a symbol
+seen n times (n - 1/2) / N and keeps T / 2N for escape (method D). On escape the context loses its first byte,
+and the symbols of the longer context are excluded from all counts there. Below the empty context every symbol
+left of ``SYMBOLS`` is equally likely.
+
+A symbol's probability depends on it and its context alone, so Spark computes it once per different gram
+(context and symbol) of all documents:
+
+1. Documents go to chunks of about ``CHUNK_BYTES``, written once. A chunk asks for its different grams, each
+   with its occurrences in training documents.
+2. Grams are summed over all chunks. Every shorter context's counts are sums of these, so they are found in the
+   same rows: grams of the same last two context bytes go to one task, in blocks that hold whole such groups.
+   Contexts of one byte and none have at most 65,536 rows for any input; these alone are sent to all tasks.
+3. Chunks get the probabilities of their grams by a join, and add them up along their texts.
 """
 
 from __future__ import annotations
@@ -21,21 +26,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.llm.postings import document_sums, postings
-from plantpulse.llm.shared import remainder, written
+from plantpulse.llm.shared import groups_of_texts, remainder, written
 
 ORDER = 5
-#: Entries of the trie (16 bytes each) that a task holds at once.
-BLOCK = 3_000_000
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 64 << 20
+#: Bytes of text whose grams are taken at once.
+SLICE = 4 << 20
+#: Rows of the model that are computed at once; a group of the same last two context bytes is never cut.
+BLOCK = 1_000_000
+WORD_CHUNK_BYTES = 16 << 20
 
-END = 256
-SYMBOLS = 257
-#: A gram is order << 49 | context bytes << 9 | symbol.
-SPACE = 32
+#: Bytes that no UTF-8 text holds; the start mark is never a symbol.
+START, END = 0xFF, 0xFE
+SYMBOLS = 255
+GRAM = "gram bigint"  # context bytes, the farthest first, and the symbol
 
 
 def splitter() -> Callable[[str], list[str]]:
@@ -43,128 +51,179 @@ def splitter() -> Callable[[str], list[str]]:
     return lambda text: find(text.encode().lower().decode())
 
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all words between spaces; the places of their symbols; how many bytes of context each has."""
-    coded = [w.encode() for w in words]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1  # symbols: the bytes and the space behind
-    data = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8).astype(np.int64)
-    into = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return data, np.arange(1, len(into) + 1), into + 1
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every symbol of all texts, text by text, and how many each text has."""
+    data = np.frombuffer(b"".join(bytes([START]) * ORDER + x.lower() + bytes([END]) for x in texts), np.uint8)
+    width = len(data) - ORDER
+    out = np.zeros(max(width, 0), np.int64)
+    for place in range(ORDER + 1 if len(texts) else 0):
+        out <<= 8
+        out |= data[place : place + width]
+    return out[(out & 0xFF) != START], np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
 
 
-def grams(data: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
-    context = np.zeros(len(place), np.int64)
-    for back in range(1, order + 1):
-        context |= data[place - back] << (8 * (back - 1))
-    return order << 49 | context << 9 | data[place]
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
+    for part in groups_of_texts([batch], "text", SLICE):
+        yield [x.as_py().encode() for x in part.column("text")], part
 
 
-def count_grams(vocabulary: DataFrame, ends: int) -> DataFrame:
-    """gram and n for all contexts of 0 to ORDER bytes of all words; ``vocabulary``: term, c. ``ends``: training documents."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, never null) with chunk, dealt round robin, so that neither a source nor copies crowd a chunk."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in groups_of_texts(batches, "text", SLICE):
+            if held >= CHUNK_BYTES:
+                chunk, held = chunk + 1, 0
+            held += batch.column("text").nbytes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, chunk))], names=[*batch.schema.names, "chunk"])
+
+    dealt = docs.repartition(max(1, -(-size // CHUNK_BYTES)))
+    return written(dealt.mapInArrow(run, f"{kinds}, chunk bigint"), "ppm-chunks")
+
+
+def asked_grams(chunks: DataFrame) -> DataFrame:
+    """chunk, gram and n (occurrences where ``learns``) of the different grams of every chunk."""
+    kinds = pa.schema([("chunk", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def reduced(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        by = np.argsort(keys)
+        by = np.argsort(keys, kind="stable")
         keys, counts = keys[by], counts[by]
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int64)
+        own, keys, counts = -1, empty, empty
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), own)), pa.array(keys), pa.array(counts)], schema=kinds)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, times = batch.column("term").to_pylist(), batch.column("c").to_numpy()
-            data, place, before = spelled(words)
-            weight = np.repeat(times, [len(w.encode()) + 1 for w in words])
-            own_keys, own_counts = [], []
-            for order in range(ORDER + 1):
-                some = before >= order
-                own_keys.append(grams(data, place[some], order))
-                own_counts.append(weight[some])
-            own = reduced(np.concatenate(own_keys), np.concatenate(own_counts))
-            keys, counts = reduced(np.concatenate([keys, own[0]]), np.concatenate([counts, own[1]]))
-            if len(keys) > 4 * BLOCK:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
-
-    seen = vocabulary.mapInArrow(run, "gram bigint, n bigint")
-    last = [(END, ends), (1 << 49 | SPACE << 9 | END, ends)]
-    return seen.union(vocabulary.sparkSession.createDataFrame(last, "gram bigint, n bigint")).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def model(counted: DataFrame) -> DataFrame:
-    """gram and logp (log10 of the symbol's probability in its context) for every gram that coding a word asks for."""
-    counted = written(counted, "ppm-grams")
-    order, context = F.shiftright("gram", 49), F.shiftright("gram", 9)
-    per = Window.partitionBy("context")  # a context has at most 257 rows
-    n_sum, n_kinds = F.sum("n").over(per), F.count(F.when(F.col("n") > 0, 1)).over(per)
-    lower: DataFrame | None = None
-    parts = []
-    for j in range(ORDER + 1):
-        own = counted.where(order == j).select("gram", "n", context.alias("context"))
-        if lower is None:
-            rows = own.select("gram", "n", n_sum.alias("total"), n_kinds.alias("kinds"), F.try_divide(F.lit(1.0), F.lit(SYMBOLS) - n_kinds).alias("back"))
-        else:
-            bytes_left = F.col("gram").bitwiseAND(F.lit((1 << (8 * (j - 1) + 9)) - 1))
-            up = lower.select(F.col("gram").alias("up"), F.col("n").alias("up_n"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"), F.col("back").alias("up_back"))
-            met = own.withColumn("up", bytes_left + F.lit((j - 1) << 49)).join(up, "up")
-            rows = met.select("gram", "n", "up_n", "up_total", "up_kinds", "up_back", n_sum.alias("total"), n_kinds.alias("kinds"), F.sum(F.when(F.col("n") > 0, F.col("up_n")).otherwise(0)).over(per).alias("gone"))
-            left, kinds = F.col("up_total") - F.col("gone"), F.col("up_kinds") - F.col("kinds")
-            escape = F.when(left > 0, F.try_divide(kinds / 2, left)).otherwise(1.0)
-            rows = rows.select("gram", "n", "total", "kinds", F.when(F.col("up_n") > 0, F.try_divide(F.col("up_n") - 0.5, left)).otherwise(escape * F.col("up_back")).alias("back"))
-        lower = written(rows, f"ppm-order-{j}")
-        parts.append(lower.select("gram", F.log10(_probability()).alias("logp")).where(_asked_for(j)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
-
-
-def _probability() -> Column:
-    seen = F.when(F.col("n") > 0, F.try_divide(F.col("n") - 0.5, F.col("total"))).otherwise(F.try_divide(F.col("kinds") / 2, F.col("total")) * F.col("back"))
-    return F.when(F.col("total") == 0, F.col("back")).otherwise(seen)
-
-
-def _asked_for(order: int) -> Column:
-    """Contexts of less than ORDER bytes are longest only at a word's start, where their first byte is the space."""
-    if order in (0, ORDER):
-        return F.lit(order > 0)
-    return F.shiftright("gram", 9 + 8 * (order - 1)).bitwiseAND(F.lit(255)) == SPACE
-
-
-def code_words(vocabulary: DataFrame, trie: DataFrame) -> DataFrame:
-    """``vocabulary`` with ppm, the log10 probability of each term and the space behind it."""
-    blocks = max(1, -(-trie.count() // BLOCK))
-    out = vocabulary.withColumn("ppm", F.lit(0.0))
-    for block in range(blocks):
-        some = trie.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block).toArrow()
-        by = np.argsort(some.column("gram").to_numpy())
-        out = _code(out, some.column("gram").to_numpy()[by], some.column("logp").to_numpy()[by])
-    return out
-
-
-def _code(words: DataFrame, keys: np.ndarray, logs: np.ndarray) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast((keys, logs))  # at most about BLOCK entries
+            chunk_of = batch.column("chunk").to_numpy()
+            cuts = np.flatnonzero(np.diff(chunk_of, prepend=-1)).tolist() + [batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if chunk_of[low] != own:
+                    yield from told()
+                    own, keys, counts = int(chunk_of[low]), empty, empty
+                for texts, part in _slices(batch.slice(low, high - low)):
+                    found, sizes = grams(texts)
+                    marked = np.sort(found << 1 | np.repeat(part.column("learns").to_numpy(zero_copy_only=False), sizes))
+                    first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
+                    keys, counts = reduced(np.concatenate([keys, marked[first] >> 1]), np.concatenate([counts, np.add.reduceat(marked & 1, first)]))
+        yield from told()
+
+    return written(chunks.select("chunk", "learns", "text").mapInArrow(run, f"chunk bigint, {GRAM}, n bigint"), "ppm-asked")
+
+
+class Order:
+    """Contexts of one length: for sorted ``keys`` (context and symbol) counts, context sums, and ``back``.
+
+    ``back`` is the symbol's probability after an escape from its context here; ``plain``, that in this
+    context with nothing excluded.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, lower: Order | None):
+        self.keys, self.n = keys, n
+        heads = np.flatnonzero(np.diff(keys >> 8, prepend=-1))
+        sizes = np.diff(np.append(heads, len(keys)))
+        per = lambda x: np.repeat(np.add.reduceat(x, heads), sizes) if len(heads) else x
+        self.total, self.kinds = per(n), per((n > 0).astype(np.int64))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if lower is None:
+                self.back = 1 / (SYMBOLS - self.kinds)
+            else:
+                at = np.searchsorted(lower.keys, keys & ((1 << 8 * lower.width()) - 1))
+                up_n = lower.n[at]
+                left = lower.total[at] - per(np.where(n > 0, up_n, 0))
+                escape = np.where(left > 0, (lower.kinds[at] - self.kinds) / 2 / left, 1.0)
+                self.back = np.where(up_n > 0, (up_n - 0.5) / left, escape * lower.back[at])
+            self.depth = 0 if lower is None else lower.depth + 1
+            seen = np.where(n > 0, (n - 0.5) / self.total, self.kinds / 2 / self.total * self.back)
+            self.plain = np.where(self.total > 0, seen, self.back)
+
+    def width(self) -> int:
+        return self.depth + 1
+
+
+def shortest_orders(counted: DataFrame) -> Order:
+    """Contexts of one byte, on those of none: at most 65,536 rows, whatever was counted."""
+    rows = counted.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+    by = np.argsort(keys)
+    return Order(keys[by], n[by], Order(*summed(keys, n, 1), None))
+
+
+def summed(keys: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different last ``width`` bytes of ``keys`` and their counts."""
+    short, into = np.unique(keys & ((1 << 8 * width) - 1), return_inverse=True)
+    out = np.zeros(len(short), np.int64)
+    np.add.at(out, into, n)
+    return short, out
+
+
+def model(asked: DataFrame) -> DataFrame:
+    """gram and logp, log10 of the symbol's probability in its context, for every gram that is asked for."""
+    counted = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    low = shortest_orders(counted)
+
+    def solved(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by]
+        order = low
+        for width in range(3, ORDER + 2):
+            order = Order(*(summed(keys, n, width) if width <= ORDER else (keys, n)), order)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.log10(order.plain))], names=["gram", "logp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = shared.value
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+            if size < BLOCK:
                 continue
-            terms = batch.column("term").to_pylist()
-            data, place, before = spelled(terms)
-            wanted = np.zeros(len(place), np.int64)
-            for order in range(1, ORDER + 1):
-                some = before >= ORDER if order == ORDER else before == order
-                wanted[some] = grams(data, place[some], order)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            value = np.where(keys[at] == wanted, logs[at], 0.0) if len(keys) else np.zeros(len(wanted))
-            total = np.add.reduceat(value, np.flatnonzero(before == 1)) + batch.column("ppm").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "ppm"), pa.array(total)], names=[*(c for c in batch.schema.names if c != "ppm"), "ppm"])
-
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields if f.name != "ppm"]
-    return words.mapInArrow(run, ", ".join([*fields, "ppm double"]))
+            keys, n = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("gram", "n"))
+            pair = keys >> 8 & 0xFFFF
+            last = int(np.argmax(pair == pair[-1]))  # the last group may go on
+            if last:
+                yield solved(keys[:last], n[:last])
+            held = [pa.RecordBatch.from_arrays([pa.array(keys[last:]), pa.array(n[last:])], names=["gram", "n"])]
+            size = len(keys) - last
+        if size:
+            yield solved(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("gram", "n")))
+
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = counted.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").select("gram", "n")
+    return written(dealt.mapInArrow(run, f"{GRAM}, logp double"), "ppm-model")
+
+
+def text_scores(docs: DataFrame) -> DataFrame:
+    """rid and score (log10 of the probability under PPM) of every row of ``docs`` (rid, learns, text)."""
+    chunks = chunked(docs)
+    asked = asked_grams(chunks)
+    known = asked.select("chunk", "gram").join(model(asked), "gram")
+    kinds = pa.schema([("rid", pa.int64()), ("score", pa.float64())])
+
+    def score(texts: pa.Table, values: pa.Table) -> pa.Table:
+        gram = values.column("gram").to_numpy()
+        by = np.argsort(gram)
+        gram, logp = gram[by], values.column("logp").to_numpy()[by]
+        out = []
+        for batch in texts.combine_chunks().to_batches():
+            for some, part in _slices(batch):
+                found, sizes = grams(some)
+                value = logp[np.searchsorted(gram, found)]
+                out.append(pa.RecordBatch.from_arrays([part.column("rid"), pa.array(np.add.reduceat(value, np.cumsum(sizes) - sizes))], schema=kinds))
+        return pa.Table.from_batches(out, schema=kinds)
+
+    texts = chunks.select("chunk", "rid", "text").groupBy("chunk")
+    return written(texts.cogroup(known.groupBy("chunk")).applyInArrow(score, "rid bigint, score double"), "ppm-scores")
 
 
 def lm_scores(docs: DataFrame, parts: int = 5, held_out: int = 1) -> DataFrame:
@@ -173,28 +232,30 @@ def lm_scores(docs: DataFrame, parts: int = 5, held_out: int = 1) -> DataFrame:
     doc_id, held_out, n_tokens (words and an end), n_known (tokens met in training), train_tokens,
     base_score (log10 under add-half smoothed token counts) and score (log10 under PPM). A null text is
     empty. A null id counts as the empty text in the crc32. Repeated rows count and are scored each for
-    itself; other columns are not read. Without any training row every symbol is equally likely.
+    itself; other columns are not read. Without any training row every symbol is equally likely. Both
+    scores of a row meet by a 64-bit hash of its id and text.
     """
     learns = lambda doc_id: remainder(doc_id, parts) != held_out
-    rows = postings(docs, splitter, learns, CHUNK_BYTES)
-    vocabulary = written(rows.where("about is null").groupBy("term").agg(F.sum("counted").alias("c")), "ppm-words")
     is_held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % parts == held_out
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", text).alias("rid"))
+    ppm = text_scores(texts.select("rid", (~is_held_out).alias("learns"), "text")).groupBy("rid").agg(F.min("score").alias("score"))
+    rows = postings(texts, splitter, learns, WORD_CHUNK_BYTES, carry="rid")
+    vocabulary = written(rows.where("about is null").groupBy("term").agg(F.sum("counted").alias("c")), "ppm-words")
     ends = docs.where(~is_held_out).count()
     words, distinct = vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = words + ends, distinct + (ends > 0)
     share = lambda count: (count + 0.5) / (total + 0.5 * (distinct + 1))
-    trie = written(model(count_grams(vocabulary, ends)), "ppm-trie")
-    last = trie.where(F.col("gram") == F.lit(1 << 49 | SPACE << 9 | END)).first()["logp"]
-    values = code_words(vocabulary, trie).select("term", "ppm", F.log10(share(F.col("c"))).alias("base"), (F.col("c") > 0).cast("double").alias("known"))
+    values = vocabulary.select("term", F.log10(share(F.col("c"))).alias("base"), (F.col("c") > 0).cast("double").alias("known"))
     joined = rows.select("chunk", "term", "posting", "about").join(values, "term", "left").drop("term")
-    columns = ["base", "known", "ppm"]
+    columns = ["base", "known"]
     found = lambda: lambda batch: [batch.column(c).to_numpy() for c in columns]
-    return document_sums(joined, found, columns).select(
+    return document_sums(joined, found, columns, carry="rid").join(ppm, "rid", "left").select(
         "doc_id",
         is_held_out.alias("held_out"),
         (F.col("n_terms") + 1).alias("n_tokens"),
         (F.col("known").cast("long") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + math.log10(share(ends))).alias("base_score"),
-        (F.col("ppm") + last).alias("score"),
+        "score",
     )

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from plantpulse.session import checkpoint_dir
 
 
+#: Rows of a group of texts; places in it take 16 bits.
+MOST_ROWS = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,23 +45,23 @@ def remainder(doc_id: int | None, parts: int) -> int:
 
 
 def groups_of_texts(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut or join batches so that each holds about ``most`` bytes of ``column``; a single row is never cut."""
+    """Cut or join batches so that each holds about ``most`` bytes of ``column``, and at most MOST_ROWS rows.
+
+    A single row is never cut.
+    """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         first = 0
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for row, length in enumerate(lengths):
-            size += length
-            if size >= most:
+            size, rows = size + length, rows + 1
+            if size >= most or rows >= MOST_ROWS:
                 held.append(batch.slice(first, row + 1 - first))
                 yield _joined(held)
-                held, size, first = [], 0, row + 1
+                held, size, rows, first = [], 0, 0, row + 1
         if first < len(lengths):
             held.append(batch.slice(first))
-        if sum(x.num_rows for x in held) >= 50_000:
-            yield _joined(held)
-            held, size = [], 0
     if held:
         yield _joined(held)
 

@@ -279,19 +279,15 @@ def test_repeated_strings_equal_brute_force(docs, none):
     assert any(w[2] for w in want) and suffixes.without_repeats(none).count() == 0
 
 
-def brute_ppm(rows, order=ppm.ORDER):
-    learns = [remainder(i, 5) != 1 for i, _ in rows]
-    spelt = [words(t) for _, t in rows]
-    count = Counter(w for s, o in zip(spelt, learns, strict=True) if o for w in s)
-    ends = sum(learns)
+def ppm_logs(rows, order=ppm.ORDER):
+    """log10 probability of each text under method D with exclusion, contexts cut by the text's start alone."""
     trie = defaultdict(Counter)
-    for w, n in count.items():
-        b = b" " + w.encode() + b" "
-        for q in range(1, len(b)):
-            for j in range(min(order, q) + 1):
-                trie[b[q - j : q]][b[q]] += n
-    trie[b""][256] += ends
-    trie[b" "][256] += ends
+    spelt = [[-1] * order + list((t or "").encode().lower()) + [256] for _, t in rows]
+    for (i, _), b in zip(rows, spelt, strict=True):
+        if remainder(i, 5) != 1:
+            for q in range(order, len(b)):
+                for j in range(order + 1):
+                    trie[tuple(b[q - j : q])][b[q]] += 1
 
     def log(context, symbol):
         gone, p = set(), 1.0
@@ -304,32 +300,65 @@ def brute_ppm(rows, order=ppm.ORDER):
                 p *= len(left) / 2 / total
                 gone |= set(left)
             if not context:
-                return math.log10(p / (257 - len(gone)))
+                return math.log10(p / (255 - len(gone)))
             context = context[1:]
 
+    known = {}
+    for b in spelt:
+        for q in range(order, len(b)):
+            c = tuple(b[q - order : q]), b[q]
+            known[c] = known.get(c) or log(*c)
+    return [sum(known[tuple(b[q - order : q]), b[q]] for q in range(order, len(b))) for b in spelt]
+
+
+def brute_ppm(rows):
+    learns = [remainder(i, 5) != 1 for i, _ in rows]
+    spelt = [words(t) for _, t in rows]
+    count = Counter(w for s, o in zip(spelt, learns, strict=True) if o for w in s)
+    ends = sum(learns)
     total, kinds = sum(count.values()) + ends, len(count) + (ends > 0)
     share = lambda c: math.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     out = []
-    for (i, _), s, o in zip(rows, spelt, learns, strict=True):
-        score = log(b" ", 256)
-        for w in s:
-            b = b" " + w.encode() + b" "
-            score += sum(log(b[q - min(order, q) : q], b[q]) for q in range(1, len(b)))
+    for (i, _), s, o, score in zip(rows, spelt, learns, ppm_logs(rows), strict=True):
         out.append((i, not o, len(s) + 1, sum(count[w] > 0 for w in s) + (ends > 0), total, sum(share(count[w]) for w in s) + share(ends), score))
     return out
 
 
-@pytest.mark.parametrize("block", [3_000_000, 500])
-def test_ppm_equals_brute_force(docs, none, block, monkeypatch):
-    monkeypatch.setattr(ppm, "BLOCK", block)
-    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    got, want = lines(ppm.lm_scores(docs), *names), sorted(brute_ppm(texts_of(docs)), key=repr)
+PPM_COLUMNS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@pytest.mark.parametrize(("block", "chunk", "piece"), [(1_000_000, 64 << 20, 4 << 20), (500, 20_000, 3_000)])
+def test_ppm_equals_brute_force(docs, none, block, chunk, piece, monkeypatch):
+    for name, value in (("BLOCK", block), ("CHUNK_BYTES", chunk), ("SLICE", piece)):
+        monkeypatch.setattr(ppm, name, value)
+    got, want = lines(ppm.lm_scores(docs), *PPM_COLUMNS), sorted(brute_ppm(texts_of(docs)), key=repr)
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert ppm.lm_scores(none).count() == 0
 
 
+def test_ppm_reads_over_word_borders_and_knows_training_text(spark):
+    """Shuffled words score lower than the text; a held-out copy of a training text scores higher than an unread one."""
+    learnt = [i for i in range(200) if remainder(i, 5) != 1][:40]
+    unread = [i for i in range(200) if remainder(i, 5) == 1][:3]
+    texts = [prose(60) for _ in learnt]
+    again = texts[0].split()
+    shuffled = [again[i] for i in np.random.default_rng(1).permutation(len(again))]
+    rows = [*zip(learnt, texts, strict=True), (unread[0], texts[0]), (unread[1], " ".join(shuffled)), (unread[2], prose(60))]
+    got = {r.doc_id: r for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    same, mixed = got[unread[0]], got[unread[1]]
+    assert same.base_score == pytest.approx(mixed.base_score) and same.score > mixed.score + 10
+    assert same.score == pytest.approx(got[learnt[0]].score) and same.score / len(texts[0]) > got[unread[2]].score / len(rows[-1][1])
+
+
+def test_ppm_without_training_rows_is_uniform(spark):
+    unread = [i for i in range(50) if remainder(i, 5) == 1]
+    rows = [(i, "ab") for i in unread[:2]] + [(unread[2], None)]
+    got = {r.doc_id: r.score for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in unread[:3]] == pytest.approx([-3 * math.log10(255)] * 2 + [-math.log10(255)])
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 12)]) for i in range(400)]

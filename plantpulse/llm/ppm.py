@@ -203,6 +203,40 @@ def model(asked: DataFrame) -> DataFrame:
     return written(dealt.mapInArrow(run, f"{GRAM}, logp double"), "ppm-model")
 
 
+class Lookup:
+    """Values of different keys (not negative) by open addressing; every key asked for must be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            own = slot[left]
+            free = self.keys[own] < 0
+            self.keys[own[free]] = keys[left[free]]
+            placed = self.keys[own] == keys[left]
+            self.values[own[placed]] = values[left[placed]]
+            left = left[~placed]
+            slot[left] = self._next(slot[left])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out, left = self.values[slot], np.flatnonzero(self.keys[slot] != keys)
+        while len(left):
+            if (self.keys[slot[left]] < 0).any():
+                raise KeyError("a gram without a probability")
+            slot[left] = self._next(slot[left])
+            out[left] = self.values[slot[left]]
+            left = left[self.keys[slot[left]] != keys[left]]
+        return out
+
+
 def text_scores(docs: DataFrame) -> DataFrame:
     """rid and score (log10 of the probability under PPM) of every row of ``docs`` (rid, learns, text)."""
     chunks = chunked(docs)
@@ -211,14 +245,12 @@ def text_scores(docs: DataFrame) -> DataFrame:
     kinds = pa.schema([("rid", pa.int64()), ("score", pa.float64())])
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        gram = values.column("gram").to_numpy()
-        by = np.argsort(gram)
-        gram, logp = gram[by], values.column("logp").to_numpy()[by]
+        logp = Lookup(*(values.column(c).to_numpy() for c in ("gram", "logp")))
         out = []
         for batch in texts.combine_chunks().to_batches():
             for some, part in _slices(batch):
                 found, sizes = grams(some)
-                value = logp[np.searchsorted(gram, found)]
+                value = logp.of(found)
                 out.append(pa.RecordBatch.from_arrays([part.column("rid"), pa.array(np.add.reduceat(value, np.cumsum(sizes) - sizes))], schema=kinds))
         return pa.Table.from_batches(out, schema=kinds)
 

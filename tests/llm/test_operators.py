@@ -352,6 +352,16 @@ def test_ppm_reads_over_word_borders_and_knows_training_text(spark):
     assert same.score == pytest.approx(got[learnt[0]].score) and same.score / len(texts[0]) > got[unread[2]].score / len(rows[-1][1])
 
 
+def test_lookup_finds_all_keys_and_refuses_others():
+    rng = np.random.default_rng(2)
+    keys, values = np.unique(rng.integers(0, 1 << 48, 5_000)), rng.normal(size=5_000)
+    table = ppm.Lookup(keys, values[: len(keys)])
+    asked = rng.integers(0, len(keys), 20_000)
+    assert (table.of(keys[asked]) == values[asked]).all()
+    with pytest.raises(KeyError):
+        table.of(np.array([1 << 50]))
+
+
 def test_ppm_without_training_rows_is_uniform(spark):
     unread = [i for i in range(50) if remainder(i, 5) == 1]
     rows = [(i, "ab") for i in unread[:2]] + [(unread[2], None)]

@@ -116,8 +116,14 @@ def quality_from_flags(records: DataFrame) -> DataFrame:
     )
 
 
-def quality_from_late(late: DataFrame) -> DataFrame:
-    """One failed late_event check per late reading with a tenant."""
+def with_times(events: DataFrame, as_of: AsOf, detected: str | None = None) -> DataFrame:
+    """Quality events with ``created_at`` (``as_of``) and ``detected_at``: the column ``detected``, else ``as_of`` too."""
+    now = as_of_column(as_of)
+    return events.withColumns({"detected_at": F.coalesce(detected, now) if detected else now, "created_at": now})
+
+
+def quality_from_late(late: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One failed late_event check per late reading with a tenant; ``keep`` passes further columns through."""
     late = late.filter(has_tenant())
     r = late.drop("component_id") if "component_id" in late.columns else late
     return quality_rows(
@@ -130,6 +136,7 @@ def quality_from_late(late: DataFrame) -> DataFrame:
         evidence={"reason": F.col("reason"), "event_id": F.col("event_id")},
         observed=F.col("lateness_minutes"),
         expected=F.lit("<= allowed_lateness_minutes"),
+        keep=keep,
     )
 
 

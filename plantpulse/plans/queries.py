@@ -217,6 +217,61 @@ def cdc_land_maintenance(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The feeds that no other query lands, each over a table of the same growth.
+FEED_TABLES = {
+    "tenants": ("customer", "c_custkey"),
+    "asset_components": ("part", "p_partkey"),
+    "asset_signal_tags_mapping": ("part", "p_partkey"),
+    "failuredomain": ("supplier", "s_suppkey"),
+    "failureclass": ("supplier", "s_suppkey"),
+    "failuremode": ("part", "p_partkey"),
+    "failureevent": ("orders", "o_orderkey"),
+    "anomaly_rule": ("supplier", "s_suppkey"),
+    "threshold_profiles": ("customer", "c_custkey"),
+}
+
+
+def two_versions(s: SparkSession, d: str, name: str) -> DataFrame:
+    """Text rows of one feed: a first version of every key, a second of every third one, some of these deletes."""
+    table, key = FEED_TABLES[name]
+    keys = t.table(s, d, table).select(F.col(key).alias("k"))
+    both = keys.withColumn("v", F.lit(0)).unionByName(keys.filter("k % 3 = 0").withColumn("v", F.lit(1)))
+    k, v, own = F.col("k"), F.col("v"), dimensions.dimension_key(name)
+
+    def text(field: str, kind: str) -> Column:
+        if field == "tenant_id" and len(own) > 1:
+            return t.tenant_of(k)
+        if field == dimensions.dimension_version(name):
+            return F.when(v == 0, "2024-01-01T00:00:00Z").otherwise("2024-06-01T00:00:00Z")
+        if field in own:
+            return k.cast("string") if kind == "l" else F.concat(F.lit(f"{field}_"), k)
+        if kind == "s":
+            return F.concat(F.lit(f"{field}_"), k, F.lit("_"), v)
+        if kind == "d":
+            return F.when(k % 19 == 0, "n/a").otherwise(F.concat(k % 100, F.lit(".5")))
+        if kind in "il":
+            return F.when(k % 5 == 0, "unknown").otherwise(k.cast("string"))
+        if kind == "b":
+            return t.pick(("true", "F", "yes", "0", "maybe"), k)
+        return F.when(k % 7 != 0, F.concat(F.lit("2024-02-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("T06:00:00Z")))
+
+    fields = [text(f, kind).alias(f) for f, kind in dimensions.feed_kinds(name).items()]
+    return both.select(*fields, F.when((v == 1) & (k % 17 == 0), "true").otherwise("false").alias("__deleted"))
+
+
+def _current(name: str) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        landed = dimensions.land_changes(two_versions(s, d, name), name)
+        return latest.latest_by_key(landed, dimensions.dimension_key(name), dimensions.dimension_version(name))
+
+    run.__name__ = f"cdc_current_{name}"
+    query(run)
+
+
+for _name in FEED_TABLES:
+    _current(_name)
+
+
 @query
 def cdc_op_ts(s: SparkSession, d: str) -> DataFrame:
     marked = dimensions.with_change_marks(t.assets_cdc(s, d))
@@ -829,6 +884,15 @@ def all_quality_events(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def quality_event_rows(s: SparkSession, d: str) -> DataFrame:
+    """Late events are detected when they arrive; the others, and all rows' creation, at the given instant."""
+    late_events = quality.with_times(quality.quality_from_late(late_rows(s, d), keep=["ingest_time"]), t.max_event_time(s, d), "ingest_time")
+    flags = quality.with_times(quality.quality_from_flags(t.anomalies(s, d)), t.max_event_time(s, d))
+    shown = [*QUALITY_SHOWN, "quality_type", "resolution_status", "detected_at", "created_at"]
+    return late_events.select(*shown).unionByName(flags.select(*shown))
+
+
 @query
 def quality_events(s: SparkSession, d: str) -> DataFrame:
     return all_quality_events(s, d).select(*QUALITY_SHOWN)

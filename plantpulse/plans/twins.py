@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from plantpulse.sources import dimensions
+
 VIEWS: dict[str, str] = {}
 TWINS: dict[str, str] = {}
 
@@ -276,6 +278,46 @@ twin("cdc_land_maintenance", landed(
     "[true, false, true, false, NULL][l_linenumber % 5 + 1] AS sensor_anomaly_related",
 ))
 
+
+
+def current_sql(name: str, table: str, key: str) -> str:
+    """Newest version per key of a feed of two versions of some keys, a deleted second one left out."""
+    own, version = dimensions.dimension_key(name)[-1], dimensions.dimension_version(name)
+
+    def value(field: str, kind: str) -> str:
+        if field == own:
+            return "CAST(k AS BIGINT)" if kind == "l" else f"'{field}_' || k"
+        if field == "tenant_id":
+            return "['tenant_a', 'tenant_b', 'tenant_c'][k % 3 + 1]"
+        if field == version:
+            return "CASE WHEN v = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-06-01' END"
+        day = "TIMESTAMP '2024-02-01 06:00:00' + to_days(CAST(k % 28 AS INTEGER))"
+        return {
+            "s": f"'{field}_' || k || '_' || v",
+            "d": "CASE WHEN k % 19 <> 0 THEN k % 100 + CAST(0.5 AS DOUBLE) END",
+            "l": "CASE WHEN k % 5 <> 0 THEN CAST(k AS BIGINT) END",
+            "b": "[true, false, true, false, NULL][k % 5 + 1]",
+            "t": f"CASE WHEN k % 7 <> 0 THEN {day} END",
+            "T": f"CASE WHEN k % 7 <> 0 THEN {day} ELSE TIMESTAMP '1970-01-01' END",
+        }[kind]
+
+    columns = ", ".join(f"{value(f, kind)} AS {f}" for f, kind in dimensions.feed_kinds(name).items())
+    return f"SELECT {columns} FROM (SELECT {key} AS k, CASE WHEN {key} % 3 = 0 AND {key} % 17 <> 0 THEN 1 ELSE 0 END AS v FROM {table})"
+
+
+for _name, _table, _key in (
+    ("tenants", "customer", "c_custkey"),
+    ("asset_components", "part", "p_partkey"),
+    ("asset_signal_tags_mapping", "part", "p_partkey"),
+    ("failuredomain", "supplier", "s_suppkey"),
+    ("failureclass", "supplier", "s_suppkey"),
+    ("failuremode", "part", "p_partkey"),
+    ("failureevent", "orders", "o_orderkey"),
+    ("anomaly_rule", "supplier", "s_suppkey"),
+    ("threshold_profiles", "customer", "c_custkey"),
+):
+    twin(f"cdc_current_{_name}", current_sql(_name, _table, _key))
+
 twin("cdc_op_ts", """
 SELECT tenant_id, asset_id, asset_name, cdc_op, TIMESTAMP '2023-01-01' + to_minutes(ver::BIGINT) AS cdc_updated_at
 FROM v_assets_cdc""")
@@ -1027,6 +1069,18 @@ twin("quality_from_flags", quality_flags_sql("v_readings", "event_time", "event_
 twin("quality_from_late", QUALITY_LATE)
 twin("quality_events", QUALITY_ALL)
 
+
+def timed(events: str, detected: str) -> str:
+    return f"""
+SELECT *, check_name AS quality_type, 'open' AS resolution_status, {detected} AS detected_at, (SELECT max(ts) FROM events) AS created_at
+FROM ({events})"""
+
+
+_LATE_TIMED = QUALITY_LATE.replace("AS evidence_json", "AS evidence_json, ingest_time")
+twin("quality_event_rows", f"""
+SELECT * EXCLUDE (ingest_time) FROM ({timed(_LATE_TIMED, "ingest_time")})
+UNION ALL {timed(quality_flags_sql("v_anomalies", "window_start", "window_end"), "(SELECT max(ts) FROM events)")}""")
+
 twin("quality_table_checks", f"""
 SELECT tenant_id, check_name, checked, failed, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS check_status FROM (
   SELECT tenant_id, 'completeness' AS check_name, count(*) AS checked, count(*) FILTER (n < 15) AS failed FROM (

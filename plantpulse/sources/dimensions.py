@@ -108,6 +108,11 @@ def feed_schema(name: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def feed_kinds(name: str) -> dict[str, str]:
+    """Columns of a feed with their kinds: "s" text, the others as in the list of feeds."""
+    return dict(_fields(name))
+
+
 def dimension_key(name: str) -> list[str]:
     return list(_FEEDS[name][1])
 

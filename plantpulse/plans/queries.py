@@ -806,9 +806,9 @@ def mart_diagnosis_kpi_24h(s: SparkSession, d: str) -> DataFrame:
     return rounded(marts.diagnosis_kpi(t.diagnoses(s, d), t.max_event_time(s, d), "24 HOURS"), "avg_confidence_24h")
 
 
-def health_mart(s: SparkSession, d: str) -> DataFrame:
+def health_mart(s: SparkSession, d: str, lookback: str = ALL_EVENTS) -> DataFrame:
     dead = t.readings(s, d).filter(F.col("value").isNull())
-    return marts.stream_health(health_rows(s, d), late_rows(s, d), dead, t.max_event_time(s, d), ALL_EVENTS)
+    return marts.stream_health(health_rows(s, d), late_rows(s, d), dead, t.max_event_time(s, d), lookback)
 
 
 @query
@@ -816,6 +816,11 @@ def mart_stream_health(s: SparkSession, d: str) -> DataFrame:
     return rounded(health_mart(s, d), "ingest_lag_seconds")
 
 
+@query
+def mart_stream_health_5m(s: SparkSession, d: str) -> DataFrame:
+    return rounded(health_mart(s, d, "5 MINUTES"), "ingest_lag_seconds")
+
+
 def failure_mart(s: SparkSession, d: str) -> DataFrame:
     return marts.failure_evidence(
         t.failure_events(s, d), t.work_orders(s, d), t.maintenance(s, d), t.components(s, d), t.max_order_time(s, d),

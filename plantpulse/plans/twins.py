@@ -932,7 +932,7 @@ FROM v_diagnoses WHERE created_at >= {since} GROUP BY tenant_id, asset_id"""
 twin("mart_diagnosis_kpi", kpi_sql(EVENTS_SINCE))
 twin("mart_diagnosis_kpi_24h", kpi_sql(DAY_SINCE))
 
-twin("mart_stream_health", f"""
+_HEALTH_MART = f"""
 SELECT tenant_id, source_system, job_name AS pipeline_name, {AS_OF} AS snapshot_time, message_count_5m,
   CAST(coalesce(l.n, 0) AS BIGINT) AS late_event_count_5m, missing_heartbeat_count, CAST(coalesce(q.n, 0) AS BIGINT) AS dlq_count_5m,
   event_lag_seconds, round(ingest_lag_seconds, 6) AS ingest_lag_seconds,
@@ -944,7 +944,9 @@ FROM (SELECT tenant_id, job_name, CAST(count(*) AS BIGINT) AS message_count_5m,
   FROM v_health WHERE observed_at >= {EVENTS_SINCE} GROUP BY ALL) h
 LEFT JOIN (SELECT tenant_id, count(*) AS n FROM v_late WHERE event_time >= {EVENTS_SINCE} GROUP BY ALL) l USING (tenant_id)
 LEFT JOIN (SELECT tenant_id, count(*) AS n FROM v_readings WHERE value IS NULL AND event_time >= {EVENTS_SINCE} GROUP BY ALL) q
-  USING (tenant_id), (VALUES ('kafka'), ('flink'), ('clickhouse')) x(source_system)""")
+  USING (tenant_id), (VALUES ('kafka'), ('flink'), ('clickhouse')) x(source_system)"""
+twin("mart_stream_health", _HEALTH_MART)
+twin("mart_stream_health_5m", _HEALTH_MART.replace(EVENTS_SINCE, "(SELECT as_of - INTERVAL 5 MINUTE FROM v_as_of)"))
 
 view("v_failure_mart", f"""
 SELECT b.tenant_id, b.asset_id, b.component_id, {ORDER_AS_OF} AS snapshot_time,

@@ -39,12 +39,12 @@ def with_chunks(
 ) -> tuple[DataFrame, DataFrame]:
     """``(df with _chunk, busy series)``.  Series below ``target_rows`` have the single chunk 0.
 
-    The list of busy series can hold at most ``rows / target_rows`` entries; Spark sizes
-    its join at run time.
+    The list of busy series can hold at most ``rows / target_rows`` entries and is broadcast: the rows are
+    neither shuffled nor sorted for it, but once, by series and chunk, for what follows.  Keys may be NULL.
     """
     busy = busy_series(df, keys, time_col, target_rows)
     chunk = F.coalesce(F.floor(epoch_seconds(time_col) / F.col("_width")), F.lit(0)).cast("bigint")
-    return df.join(busy, list(keys), "left").withColumn("_chunk", chunk), busy
+    return join_same(df, busy, keys, "left", small=True).withColumn("_chunk", chunk), busy
 
 
 def with_halo(

@@ -1,4 +1,4 @@
-"""Joins on keys that may be NULL."""
+"""Joins on keys that may be NULL; rows dealt over all tasks."""
 
 from __future__ import annotations
 
@@ -17,3 +17,11 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     same = F.struct(*[F.col(k) for k in keys]).alias("_same")
     other = right.select(same, *[c for c in right.columns if c not in keys])
     return left.withColumn("_same", same).join(F.broadcast(other) if small else other, "_same", how).drop("_same")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as a shuffle has, for few bytes that become much work.
+
+    The number is given, so that adaptive execution, which sees the bytes only, does not merge the tasks again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

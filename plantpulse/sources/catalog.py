@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.ids import key_text, sha1_id
+from plantpulse.functions.joins import spread
 from plantpulse.operators.latest import first_n
 
 
@@ -25,16 +26,20 @@ def tag_catalog(plants: DataFrame, points: DataFrame) -> DataFrame:
     ``plants``: tenant_id, plant_id, asset_types, expected_metrics, units (arrays), assets
     (count), threshold_profile_id.  Assets take the plant's asset types in turn.
     ``points``: asset_type, component_type, measurement_point, metric_name, tag_suffix, unit.
+    Every asset becomes some hundred rows, so the assets are dealt over all tasks before they meet the points.
+    Points are broadcast: they describe asset types, whose number does not grow with the assets, and a join
+    by asset type would bring all assets of one type to one task.
     """
     types = F.size("asset_types")
     assets = plants.withColumn("asset_index", F.explode(F.sequence(F.lit(1), F.col("assets"))))
     assets = assets.withColumn(
         "asset_type", F.element_at("asset_types", ((F.col("asset_index") - 1) % types + 1).cast("int"))
     )
+    assets = spread(assets, "tenant_id", "plant_id", "asset_index")
     number = F.lpad(F.col("asset_index").cast("string"), 4, "0")
     slug = plant_slug(F.col("plant_id"))
     p = measurement_point_ids(points)
-    df = assets.join(p, "asset_type").filter(
+    df = assets.join(F.broadcast(p), "asset_type").filter(
         F.array_contains("expected_metrics", F.col("metric_name")) & F.array_contains("units", F.col("unit"))
     )
     df = df.withColumn("asset_id", F.concat_ws("_", F.lit("asset"), slug, number))

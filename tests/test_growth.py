@@ -37,3 +37,10 @@ def test_a_busy_series_with_a_null_key_is_split(spark):
     columns = ["event_id", "rolling_baseline_mean", "prev_window_value", "event_count"]
     cut, whole = (detectors.detector_features(rows, target_rows=n).select(columns).orderBy("event_id").collect() for n in (40, 10**6))
     assert len(cut) == 200 and cut == whole
+
+
+def test_tag_catalogue_is_made_by_many_tasks(spark):
+    """Few bytes of plants become many rows: the plants' bytes alone would make it one task."""
+    rows = QUERIES["tag_catalog"](spark, SF)
+    made = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(made) >= 4 and sum(r["count"] for r in made) == rows.count()

@@ -10,7 +10,7 @@ from plantpulse.functions.once import computed_once
 from plantpulse.functions.text import lookup, sorted_set, spaced_json
 from plantpulse.functions.times import iso_z
 from plantpulse.operators.quality import check_of_flag
-from plantpulse.operators.series import as_of_join
+from plantpulse.operators.series import as_of_joins
 
 EVIDENCE_VERSION = "triage_evidence.v1"
 MAX_SOURCE_IDS = 10
@@ -145,15 +145,13 @@ def with_asset_history(
     ``work_orders`` needs ``work_order_id, created_at``, ``maintenance`` ``maintenance_id, performed_at`` and
     ``failures`` ``failure_mode_id, occurred_at``, each with ``tenant_id, asset_id``; what more they have comes along.
     """
-    out = anomalies
-    for rows, name, at, ties in (
-        (work_orders, "work_order", "created_at", "work_order_id"),
-        (maintenance, "maintenance", "performed_at", "maintenance_id"),
-        (failures, "failure_mode", "occurred_at", "failure_mode_id"),
-    ):
-        if rows is not None:
-            out = as_of_join(out, rows, ["tenant_id", "asset_id"], "window_start", at, [ties], name)
-    return out
+    given = [
+        (work_orders, "created_at", ["work_order_id"], "work_order"),
+        (maintenance, "performed_at", ["maintenance_id"], "maintenance"),
+        (failures, "occurred_at", ["failure_mode_id"], "failure_mode"),
+    ]
+    given = [x for x in given if x[0] is not None]
+    return as_of_joins(anomalies, given, ["tenant_id", "asset_id"], "window_start") if given else anomalies
 
 
 def triage_evidence(
@@ -163,13 +161,14 @@ def triage_evidence(
     asset_type: str | None = None,
     failure_mode: str | None = None,
     work_order: str | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Evidence rows (22 columns) from anomalies with context (:func:`context.latest_context`).
 
     ``use_flags`` takes quality events from flags and late records; otherwise a single
     caveat event is made, and the caveats come along as ``quality_caveats``.  ``asset_type``
     names the column that selects the run-book; ``failure_mode`` / ``work_order`` name
-    context columns (see :func:`with_asset_history`).  Context joins carry the tenant, so rows of another tenant cannot
+    context columns (see :func:`with_asset_history`), ``keep`` those that stay behind the evidence.  Context joins carry the tenant, so rows of another tenant cannot
     enter.
     """
     assert_no_forbidden(context)
@@ -195,7 +194,7 @@ def triage_evidence(
         }
     )
     extra = [] if use_flags else ["quality_caveats"]
-    return df.select(*EVIDENCE_COLUMNS, *extra)
+    return df.select(*EVIDENCE_COLUMNS, *extra, *keep)
 
 
 def evidence_json(evidence: DataFrame) -> DataFrame:

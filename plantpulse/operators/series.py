@@ -176,32 +176,58 @@ def as_of_join(
     name: str,
     cell: str = "1 day",
 ) -> DataFrame:
-    """``left`` with ``name``: the newest row of ``right`` of its keys at or before ``at``, as a struct; NULL where there is none.
+    """``left`` with ``name``: the newest row of ``right`` of its keys at or before ``at``, as a struct; NULL where there is none."""
+    return as_of_joins(left, [(right, right_at, ties, name)], keys, at, cell)
 
-    The newest is the last by (``right_at``, ``ties``).  Both sides are merged into one line per key, cut into time
-    cells: the newest row per cell comes first, a running maximum over a key's cells, then the last row carried
+
+def as_of_joins(
+    left: DataFrame,
+    rights: Sequence[tuple[DataFrame, str, Sequence[str], str]],
+    keys: Sequence[str],
+    at: str,
+    cell: str = "1 day",
+) -> DataFrame:
+    """:func:`as_of_join` with several tables at once; each is given as ``(right, right_at, ties, name)``.
+
+    The newest is the last by (``right_at``, ``ties``).  All sides are merged into one line per key, cut into time
+    cells: the newest rows per cell come first, a running maximum over a key's cells, then the last rows carried
     along inside each cell.  Neither a key nor a pair of rows is ever held together, so a key may have any number
-    of rows on either side.  A NULL key or time finds nothing.
+    of rows on either side.  A NULL key or time finds nothing.  ``left`` is read three times, however many tables
+    there are; joins one behind the other would read it three times each.
     """
-    found = F.struct(*[F.col(c) for c in (right_at, *ties)], *[F.col(c) for c in right.columns if c not in (right_at, *ties, *keys)])
-    kind = right.select(found.alias("row")).schema["row"].dataType.simpleString()
-    whole = F.struct(*left.columns)
-    lefts = left.select(F.struct(*keys).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), whole.alias("_left"), F.lit(None).cast(kind).alias("_row"))
-    none = F.lit(None).cast(lefts.schema["_left"].dataType)
-    rights = right.select(F.struct(*keys).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), none.alias("_left"), found.alias("_row"))
-    line = with_bucket(lefts.filter(F.col("_at").isNotNull()).union(rights), "_at", cell, "_cell")
-    tops = line.groupBy("_key", "_cell").agg(F.max("_row").alias("_top"))
+    rows, kinds = [], []
+    for right, right_at, ties, _ in rights:
+        rows.append(F.struct(*[F.col(c) for c in (right_at, *ties)], *[F.col(c) for c in right.columns if c not in (right_at, *ties, *keys)]))
+        kinds.append(right.select(rows[-1].alias("row")).schema["row"].dataType.simpleString())
+    held = [f"_row{i}" for i in range(len(rights))]
+
+    def none(i: int) -> Column:
+        return F.lit(None).cast(kinds[i])
+
+    line = left.filter(F.col(at).isNotNull()).select(
+        F.struct(*keys).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"),
+        *[none(i).alias(h) for i, h in enumerate(held)],
+    )
+    whole = line.schema["_left"].dataType
+    for i, (right, right_at, _, _) in enumerate(rights):
+        line = line.union(right.select(
+            F.struct(*keys).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(whole).alias("_left"),
+            *[(rows[i] if j == i else none(j)).alias(h) for j, h in enumerate(held)],
+        ))
+    line = with_bucket(line, "_at", cell, "_cell")
+    tops = line.groupBy("_key", "_cell").agg(*[F.max(h).alias(h) for h in held])
     before = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_key", "_cell", F.max("_top").over(before).alias("_earlier"))
-    # rows of the right side first among those of one instant, the last of them in front of the left side's
-    inside = Window.partitionBy("_key", "_cell").orderBy("_at", "_side", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    carried = F.coalesce(F.last("_row", ignorenulls=True).over(inside), F.col("_earlier"))
-    met = line.join(tops, ["_key", "_cell"]).withColumn(name, carried).filter("_side = 1")
+    tops = tops.select("_key", "_cell", *[F.max(h).over(before).alias(f"_earlier{h}") for h in held])
+    # rows of the right sides first among those of one instant, the last of each in front of the left side's
+    inside = Window.partitionBy("_key", "_cell").orderBy("_at", "_side", *held).rowsBetween(Window.unboundedPreceding, 0)
+    carried = [F.coalesce(F.last(h, ignorenulls=True).over(inside), F.col(f"_earlier{h}")).alias(f"_found{h}") for h in held]
+    met = line.join(tops, ["_key", "_cell"]).select("_left", "_side", *carried).filter("_side = 1")
     known = F.lit(True)
     for k in keys:
         known = known & F.col(f"_left.{k}").isNotNull()
-    out = met.select("_left.*", F.when(known, F.col(name)).alias(name))
-    return out.union(left.filter(F.col(at).isNull()).withColumn(name, F.lit(None).cast(kind)))
+    names = [name for *_, name in rights]
+    out = met.select("_left.*", *[F.when(known, F.col(f"_found{h}")).alias(n) for h, n in zip(held, names, strict=True)])
+    return out.union(left.filter(F.col(at).isNull()).select("*", *[none(i).alias(n) for i, n in enumerate(names)]))
 
 
 def bucketed_sessions(

@@ -984,9 +984,9 @@ def evidence_in_context(s: SparkSession, d: str) -> DataFrame:
     failed = shifted(t.failure_events(s, d), "occurred_at").select(
         "tenant_id", "asset_id", F.col("failure_event_id").alias("failure_mode_id"), "event_status", "occurred_at"
     )
-    c = ev.with_asset_history(latest_context(s, d), orders, kept, failed)
-    e = ev.triage_evidence(c, failure_mode="failure_mode", work_order="work_order")
-    return e.join(c.select("tenant_id", "anomaly_id", "maintenance"), ["tenant_id", "anomaly_id"])
+    a = ev.with_asset_history(t.anomalies(s, d), orders, kept, failed)
+    c = ctx.latest_context(a, t.readings(s, d), late_rows(s, d), health_rows(s, d))
+    return ev.triage_evidence(c, failure_mode="failure_mode", work_order="work_order", keep=("maintenance",))
 
 
 @query

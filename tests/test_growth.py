@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantpulse.operators import detectors
-from plantpulse.operators.series import with_halo
+from plantpulse.operators.series import as_of_join, as_of_joins, with_halo
 from plantpulse.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,20 @@ def test_tag_catalogue_is_made_by_many_tasks(spark):
     rows = QUERIES["tag_catalog"](spark, SF)
     made = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(made) >= 4 and sum(r["count"] for r in made) == rows.count()
+
+
+def test_several_as_of_tables_share_one_pass(spark):
+    a = spark.range(50).selectExpr("if(id % 7 = 0, NULL, id % 3) AS k", "if(id % 11 = 0, NULL, timestamp_ntz '2024-01-01' + make_dt_interval(id % 9, id % 5)) AS at", "id")
+    b, c = (
+        spark.range(n).selectExpr("id % 3 AS k", f"timestamp_ntz '2024-01-01' + make_dt_interval(id % {n // 5}, id % 3) AS {t}", f"id AS {i}")
+        for n, t, i in ((40, "b_at", "b"), (30, "c_at", "c"))
+    )
+    one = as_of_join(as_of_join(a, b, ["k"], "at", "b_at", ["b"], "x"), c, ["k"], "at", "c_at", ["c"], "y")
+    both = as_of_joins(a, [(b, "b_at", ["b"], "x"), (c, "c_at", ["c"], "y")], ["k"], "at")
+    assert both.orderBy("id").collect() == one.orderBy("id").collect() and both.count() == 50
+
+
+def test_evidence_in_context_reads_its_tables_a_few_times(spark):
+    """Chained as-of joins read what is before them three times each, and a join of evidence and context all of it again."""
+    shown = plan(QUERIES["evidence_context"](spark, SF))
+    assert shown.count("events.parquet") < 20 and shown.count("lineitem.parquet") < 8

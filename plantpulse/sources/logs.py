@@ -181,10 +181,11 @@ def route_records(checked: DataFrame, tenants: DataFrame) -> DataFrame:
 
     Valid records go to the tenant's raw topic with key ``tenant|tag``; invalid ones of a
     known tenant to its dead-letter topic; the rest have no topic (fallback file).
-    ``checked`` needs ``tenant_id, tag_id, error_code``.
+    ``checked`` needs ``tenant_id, tag_id, error_code``.  The list of tenants is broadcast: a join by tenant
+    would bring all records of one tenant to one task.
     """
     known = tenants.select("tenant_id", F.lit(True).alias("_known")).dropDuplicates(["tenant_id"])
-    df = checked.join(known, "tenant_id", "left")
+    df = checked.join(F.broadcast(known), "tenant_id", "left")
     valid = F.col("error_code").isNull()
     dead = ~valid & F.coalesce("_known", F.lit(False))
     tenant = F.col("tenant_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plantpulse.operators import detectors
 from plantpulse.operators.series import as_of_join, as_of_joins, with_halo
 from plantpulse.plans.queries import QUERIES
+from plantpulse.sources import logs
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +47,17 @@ def test_tag_catalogue_is_made_by_many_tasks(spark):
     assert len(made) >= 4 and sum(r["count"] for r in made) == rows.count()
 
 
+def test_records_are_not_shuffled_by_tenant(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        checked = spark.range(30).selectExpr("concat('t', id % 3) AS tenant_id", "'g' AS tag_id", "if(id % 2 = 0, 'bad', NULL) AS error_code")
+        routed = logs.route_records(checked, checked.select("tenant_id").filter("tenant_id != 't2'"))
+        assert "SortMergeJoin" not in plan(routed) and "BroadcastHashJoin" in plan(routed)
+        assert routed.filter("topic IS NULL").count() == 5 and routed.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_several_as_of_tables_share_one_pass(spark):
     a = spark.range(50).selectExpr("if(id % 7 = 0, NULL, id % 3) AS k", "if(id % 11 = 0, NULL, timestamp_ntz '2024-01-01' + make_dt_interval(id % 9, id % 5)) AS at", "id")
     b, c = (

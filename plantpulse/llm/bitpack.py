@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantpulse.llm.bytebpe import Encoder
+from plantpulse.llm.bytebpe import shared_encoder
 from plantpulse.llm.shared import groups_of_texts, new_folder, written
 
 BLOCK = 4096
@@ -150,7 +150,7 @@ def write_packed(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> Da
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base)
                 name = f"{base}/ids-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-                encoder = Encoder(path)
+                encoder = shared_encoder(path)
                 writer = PackedWriter(store.open_output_stream(name), max(1, (max(encoder.bpe.size - 1, end_id)).bit_length()))
             ids, sizes = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
             ends = np.cumsum(sizes)

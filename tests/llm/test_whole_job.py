@@ -6,8 +6,10 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 
 from plantpulse.llm import minhash, suffixes
+from plantpulse.llm.bytebpe import Encoder
 
 RNG = np.random.default_rng(8)
 WORDS = ["".join(RNG.choice(list("abcdefgh"), int(n))) for n in RNG.integers(2, 9, 2_000)]
@@ -89,3 +91,20 @@ def test_near_copy_stage_equals_brute_force_jaccard(spark, monkeypatch):
     want = sorted(set(brute_jaccard(texts)))
     assert sorted(r.doc_id for r in kept.collect()) == want and len(want) < len(texts) / 2
     assert corpus_pipeline.one_of_near_copies(spark, docs.where("false"), "").count() == 0
+
+
+def test_common_units_are_encoded_once_by_all_tasks_of_a_worker():
+    from plantpulse.llm.bytebpe import shared_encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert shared_encoder(path) is shared_encoder(path)
+    encoder, given = Encoder(path, most=300), []
+    library = encoder.bpe.ids
+    encoder.bpe.ids = lambda units: given.extend(units) or library(units)
+    whole = Encoder(path)
+    for group in range(12):  # the table of 300 units is thinned many times
+        texts = ["common words stay\nin the table", " ".join(WORDS[group * 150 : group * 150 + 150])]
+        got, want = encoder.encode(texts), whole.encode(texts)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True)) and len(encoder.known) <= 600
+        assert got[0].tolist() == [x for t in texts for x in encoder.bpe.library.encode(t, add_special_tokens=False).ids]
+    assert given.count(" words") == given.count("\nin") == 1

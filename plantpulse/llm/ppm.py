@@ -35,9 +35,9 @@ from plantpulse.llm.shared import groups_of_texts, remainder, written
 ORDER = 5
 CHUNK_BYTES = 64 << 20
 #: Bytes of text whose grams are taken at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Rows of the model that are computed at once; a group of the same last two context bytes is never cut.
-BLOCK = 1_000_000
+BLOCK = 300_000
 WORD_CHUNK_BYTES = 16 << 20
 
 #: Bytes that no UTF-8 text holds; the start mark is never a symbol.
@@ -247,7 +247,7 @@ def text_scores(docs: DataFrame) -> DataFrame:
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
         logp = Lookup(*(values.column(c).to_numpy() for c in ("gram", "logp")))
         out = []
-        for batch in texts.combine_chunks().to_batches():
+        for batch in texts.to_batches():  # not combined: that copies a whole chunk
             for some, part in _slices(batch):
                 found, sizes = grams(some)
                 value = logp.of(found)

@@ -7,8 +7,9 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from plantpulse.llm import minhash, suffixes
+from plantpulse.llm import minhash, ppm, suffixes
 from plantpulse.llm.bytebpe import Encoder
 
 RNG = np.random.default_rng(8)
@@ -108,3 +109,17 @@ def test_common_units_are_encoded_once_by_all_tasks_of_a_worker():
         assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True)) and len(encoder.known) <= 600
         assert got[0].tolist() == [x for t in texts for x in encoder.bpe.library.encode(t, add_special_tokens=False).ids]
     assert given.count(" words") == given.count("\nin") == 1
+
+
+def test_grams_of_a_slice_take_little_memory():
+    import tracemalloc
+
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join(prose(2_000)) for _ in range(700)]})
+    assert texts.nbytes > 7 << 20
+    tracemalloc.start()
+    try:
+        sizes = [sum(ppm.grams(some)[1]) for some, _ in ppm._slices(texts)]
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == sum(len(x) + 1 for x in texts.column("text").to_pylist())

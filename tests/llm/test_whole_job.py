@@ -123,3 +123,19 @@ def test_grams_of_a_slice_take_little_memory():
     finally:
         tracemalloc.stop()
     assert sum(sizes) == sum(len(x) + 1 for x in texts.column("text").to_pylist())
+
+
+def test_texts_are_shuffled_once_for_comparison_and_removal(spark, tmp_path):
+    passage = " ".join(prose(200))
+    texts = [" ".join(prose(40)) + " " + passage[i : i + 900] + " " + " ".join(prose(40)) for i in range(20)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffixes.without_repeats(spark.read.parquet(path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert all(r.n_removed for r in got.collect())
+        final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange [doc_id" in final, plan

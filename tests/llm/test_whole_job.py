@@ -8,9 +8,11 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from plantpulse.llm import minhash, ppm, suffixes
+from plantpulse.llm import minhash, ppm, simhash, suffixes
 from plantpulse.llm.bytebpe import Encoder
+from plantpulse.llm.shared import written
 
 RNG = np.random.default_rng(8)
 WORDS = ["".join(RNG.choice(list("abcdefgh"), int(n))) for n in RNG.integers(2, 9, 2_000)]
@@ -139,3 +141,20 @@ def test_texts_are_shuffled_once_for_comparison_and_removal(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ReusedExchange [doc_id" in final, plan
+
+
+def test_operator_3_proposes_near_copies_beside_the_bands(spark):
+    texts = []
+    for _ in range(5):
+        words = prose(1_000)
+        texts.append(" ".join(words))
+        words[500] = "changed"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("h", F.xxhash64("doc_id", "text"))
+    near = {i: r.component_id for i, r in enumerate(sorted(simhash.near_copies(docs).collect()))}
+    assert len(set(near.values())) < 10
+    rows = written(minhash.sketches(docs.select("doc_id", "h", "text")), "test-sketches")
+    ids = {r.set_id: r.doc_id for r in rows.collect()}
+    no_bands = rows.withColumn("bands", F.array().cast("array<bigint>"))
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in minhash.links(no_bands, docs).collect()}
+    assert found == {(own, i) for i, own in near.items() if own != i}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.operators.latest import latest_n
+from plantpulse.operators.quality import late_id_text
 from plantpulse.operators.series import positions
 
 _SIGNAL = ("tenant_id", "tag_id", "metric_name")
@@ -68,12 +69,15 @@ def anomaly_signal_window(
 
 
 def latest_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], n: int, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], n: int, name: str, **made: Column
 ) -> DataFrame:
-    """Newest ``n`` rows per key as one array, oldest first (at most ``n`` items)."""
+    """Newest ``n`` rows per key as one array, oldest first (at most ``n`` items).
+
+    ``made`` are further fields, computed for the rows that are kept.
+    """
     kept = latest_n(df.select(*dict.fromkeys([*keys, *order, *fields])), keys, order, n)
     rest = [f for f in fields if f not in order]
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest, *[v.alias(c) for c, v in made.items()]))).alias(name))
 
 
 def latest_context(
@@ -94,6 +98,7 @@ def latest_context(
         ["plant_id", "asset_id", "metric_name", "watermark_time", "lateness_minutes", "reason"],
         n,
         "late_records",
+        id_text=late_id_text(),
     )
     state = latest_rows(
         health,
@@ -103,9 +108,10 @@ def latest_context(
         1,
         "stream_health",
     )
-    # the two per-tag arrays meet first, so the anomalies are joined once by tag and once by tenant
+    # the two per-tag arrays meet first, so the anomalies are shuffled once; a health row per tenant is broadcast:
+    # by a shuffle for that join a tenant's anomalies, and all that is made of them, would come to one task
     per_tag = window.join(lates, ["tenant_id", "tag_id"], "full")
-    out = anomalies.join(per_tag, ["tenant_id", "tag_id"], "left").join(state, "tenant_id", "left")
+    out = anomalies.join(per_tag, ["tenant_id", "tag_id"], "left").join(F.broadcast(state), "tenant_id", "left")
     return out.withColumns({c: F.coalesce(c, F.array()) for c in ("sensor_window", "late_records", "stream_health")})
 
 

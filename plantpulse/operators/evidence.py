@@ -77,11 +77,12 @@ def quality_events_in_row(late_records: bool = True) -> Column:
     """Quality events of one anomaly row: one per flag, one per late record of its tag.
 
     Both lists are bounded inside the row, so the events are built in place, without
-    exploding and regrouping.  Sorted by id, without repeats.
+    exploding and regrouping.  Sorted by id, without repeats.  A late record brings its ``id_text``
+    (:func:`quality.late_id_text`): a tag's late records are the same for all of its anomalies.
     """
 
-    def event(check: Column, start: Column, end: Column, text: Column) -> Column:
-        parts = key_text("tenant_id", check, "asset_id", "tag_id", iso_z(start), iso_z(end), text)
+    def event(check: Column, *rest: Column) -> Column:
+        parts = key_text("tenant_id", check, "asset_id", "tag_id", *rest)
         return F.struct(
             sha1_id("qevt_", parts).alias("quality_event_id"),
             F.col("tenant_id").alias("tenant_id"),
@@ -94,22 +95,14 @@ def quality_events_in_row(late_records: bool = True) -> Column:
         F.coalesce(F.col("quality_flags"), F.array().cast("array<string>")),
         lambda f: event(
             check_of_flag(f),
-            F.col("window_start"),
-            F.col("window_end"),
+            iso_z("window_start"),
+            iso_z("window_end"),
             spaced_json(quality_flag=f, source=F.lit("quality_flags")),
         ),
     )
     if not late_records:
         return F.array_sort(F.array_distinct(flags))
-    lates = F.transform(
-        F.col("late_records"),
-        lambda r: event(
-            F.lit("late_event"),
-            r["event_time"],
-            F.coalesce(r["watermark_time"], r["event_time"]),
-            spaced_json(reason=r["reason"], event_id=r["event_id"]),
-        ),
-    )
+    lates = F.transform(F.col("late_records"), lambda r: event(F.lit("late_event"), r["id_text"]))
     return F.array_sort(F.array_distinct(F.concat(flags, lates)))
 
 

@@ -140,6 +140,15 @@ def quality_from_late(late: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def late_id_text() -> Column:
+    """What a late reading itself gives to the id of its late_event check: its times and the evidence text."""
+    return key_text(
+        iso_z("event_time"),
+        iso_z(F.coalesce("watermark_time", "event_time")),
+        spaced_json(reason=F.col("reason"), event_id=F.col("event_id")),
+    )
+
+
 def tenant_leak_check(observed: DataFrame, expected_tenant: str = "expected_tenant_id") -> DataFrame:
     """Pass/info where the row's tenant is the expected one, else fail/critical.
 

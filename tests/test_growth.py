@@ -73,3 +73,18 @@ def test_evidence_in_context_reads_its_tables_a_few_times(spark):
     """Chained as-of joins read what is before them three times each, and a join of evidence and context all of it again."""
     shown = plan(QUERIES["evidence_context"](spark, SF))
     assert shown.count("events.parquet") < 20 and shown.count("lineitem.parquet") < 8
+
+
+def test_a_tenants_anomalies_are_not_gathered_in_one_task(spark):
+    """The tenant's health row is broadcast: shuffled for it, all evidence of a tenant would be made by one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where the health rows' plan is not known to be small
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = QUERIES["triage_evidence"](spark, SF)
+        # the maximum asks for the evidence text, without which the join would be left out
+        made = found.groupBy("tenant_id", F.spark_partition_id().alias("task")).agg(F.max("json_window_start")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for tenant in {r["tenant_id"] for r in made}:
+        assert len([r for r in made if r["tenant_id"] == tenant]) > 1

@@ -189,17 +189,23 @@ def as_of_joins(
 ) -> DataFrame:
     """:func:`as_of_join` with several tables at once; each is given as ``(right, right_at, ties, name)``.
 
-    The newest is the last by (``right_at``, ``ties``).  All sides are merged into one line per key, cut into time
+    The newest is the last by (``right_at``, ``ties``).  Of a right side only what can be found goes on: nothing behind
+    the last ``at``, per key one row of all up to the first ``at`` and one per instant between them, picked before
+    anything is shuffled.  Then all sides are merged into one line per key, cut into time
     cells: the newest rows per cell come first, a running maximum over a key's cells, then the last rows carried
     along inside each cell.  Neither a key nor a pair of rows is ever held together, so a key may have any number
-    of rows on either side.  A NULL key or time finds nothing.  ``left`` is read three times, however many tables
-    there are; joins one behind the other would read it three times each.
+    of rows on either side.  A NULL key or time finds nothing.  ``left`` is read four times, however many tables
+    there are; joins one behind the other would read it four times each.
     """
-    rows, kinds = [], []
-    for right, right_at, ties, _ in rights:
-        rows.append(F.struct(*[F.col(c) for c in (right_at, *ties)], *[F.col(c) for c in right.columns if c not in (right_at, *ties, *keys)]))
-        kinds.append(right.select(rows[-1].alias("row")).schema["row"].dataType.simpleString())
+    bounds = F.broadcast(left.agg(F.min(at).alias("_first"), F.max(at).alias("_last")))  # one row
     held = [f"_row{i}" for i in range(len(rights))]
+    sides, kinds = [], []
+    for right, right_at, ties, _ in rights:
+        row = F.struct(*[F.col(c) for c in (right_at, *ties)], *[F.col(c) for c in right.columns if c not in (right_at, *ties, *keys)])
+        kinds.append(right.select(row.alias("row")).schema["row"].dataType.simpleString())
+        seen = right.select(F.struct(*keys).alias("_key"), F.col(right_at).alias("_at"), row.alias("_row"))
+        seen = seen.join(bounds, F.col("_at") <= F.col("_last")).withColumn("_at", F.greatest("_at", "_first"))
+        sides.append(seen.groupBy("_key", "_at").agg(F.max("_row").alias("_row")))
 
     def none(i: int) -> Column:
         return F.lit(None).cast(kinds[i])
@@ -209,12 +215,13 @@ def as_of_joins(
         *[none(i).alias(h) for i, h in enumerate(held)],
     )
     whole = line.schema["_left"].dataType
-    for i, (right, right_at, _, _) in enumerate(rights):
-        line = line.union(right.select(
-            F.struct(*keys).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(whole).alias("_left"),
-            *[(rows[i] if j == i else none(j)).alias(h) for j, h in enumerate(held)],
+    for i, side in enumerate(sides):
+        line = line.union(side.select(
+            "_key", "_at", F.lit(0).alias("_side"), F.lit(None).cast(whole).alias("_left"),
+            *[(F.col("_row") if j == i else none(j)).alias(h) for j, h in enumerate(held)],
         ))
-    line = with_bucket(line, "_at", cell, "_cell")
+    # nothing is filtered out here, but both uses of the sides stay alike and share what was shuffled for them
+    line = with_bucket(line, "_at", cell, "_cell").filter("_cell IS NOT NULL")
     tops = line.groupBy("_key", "_cell").agg(*[F.max(h).alias(h) for h in held])
     before = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("_key", "_cell", *[F.max(h).over(before).alias(f"_earlier{h}") for h in held])

@@ -980,12 +980,17 @@ def shifted(df: DataFrame, column: str) -> DataFrame:
 def evidence_in_context(s: SparkSession, d: str) -> DataFrame:
     """Evidence with the newest work order and failure of the asset when the anomaly began, and the newest maintenance beside it."""
     orders = shifted(t.work_orders(s, d), "created_at").select("tenant_id", "asset_id", "work_order_id", "work_order_status", "created_at")
-    kept = shifted(t.maintenance(s, d), "performed_at").select("tenant_id", "asset_id", "maintenance_id", "maintenance_type", "performed_at")
+    # with the reason, maintenance reads the same columns of the line items as the failures, so both share one shuffle of them
+    kept = shifted(t.maintenance(s, d), "performed_at").select(
+        "tenant_id", "asset_id", "maintenance_id", "maintenance_type", "maintenance_reason", "performed_at"
+    )
     failed = shifted(t.failure_events(s, d), "occurred_at").select(
         "tenant_id", "asset_id", F.col("failure_event_id").alias("failure_mode_id"), "event_status", "occurred_at"
     )
     a = ev.with_asset_history(t.anomalies(s, d), orders, kept, failed)
-    c = ctx.latest_context(a, t.readings(s, d), late_rows(s, d), health_rows(s, d))
+    r = t.readings(s, d)
+    # of the health rows the context takes no count of missing heartbeats, for which all readings would be shuffled twice
+    c = ctx.latest_context(a, r, late_rows(s, d), health.health_snapshot(r, r.filter(F.col("value").isNull())))
     return ev.triage_evidence(c, failure_mode="failure_mode", work_order="work_order", keep=("maintenance",))
 
 

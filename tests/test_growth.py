@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.operators import detectors
 from plantpulse.operators.series import as_of_join, as_of_joins, with_halo
+from plantpulse.plans import queries
 from plantpulse.plans.queries import QUERIES
 from plantpulse.sources import logs
 
@@ -88,3 +89,37 @@ def test_a_tenants_anomalies_are_not_gathered_in_one_task(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for tenant in {r["tenant_id"] for r in made}:
         assert len([r for r in made if r["tenant_id"] == tenant]) > 1
+
+
+def shuffled_records(spark, df) -> int:  # noqa: ANN001
+    """Records written to shuffles while ``df`` is computed."""
+    store, no = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written() -> dict[tuple[int, int], int]:
+        stages = store.stageList(None, False, False, no, spark._jvm.java.util.ArrayList())
+        found = (stages.apply(i) for i in range(stages.size()))
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in found}
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_rows_that_no_as_of_join_can_find_are_not_shuffled(spark):
+    """Of 40,000 rows per key, one from before the first time asked for and those up to the last can be found."""
+    a = spark.range(20).selectExpr("id % 2 AS k", "timestamp_ntz '2024-01-01' + make_dt_interval(0, id) AS at", "id")
+    b = spark.range(80_000).selectExpr("id % 2 AS k", "timestamp_ntz '2023-06-01' + make_dt_interval(id % 400, id % 24) AS b_at", "id AS b")
+    found = as_of_join(a, b, ["k"], "at", "b_at", ["b"], "x")
+    assert shuffled_records(spark, found) < 2_000
+    rows = b.collect()
+    for r in found.collect():
+        want = max((x.b_at, x.b) for x in rows if x.k == r.k and x.b_at <= r["at"])
+        assert (r.x.b_at, r.x.b) == want
+
+
+def test_evidence_in_context_shuffles_the_line_items_once(spark):
+    """One shuffle of the line items serves maintenance and failures; the context's health rows need no gaps of the readings."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert shuffled_records(spark, QUERIES["evidence_context"](spark, SF)) < 1.5 * lines
+    health = lambda df: {tuple(r.stream_health[0]) for r in df.collect()}
+    assert health(queries.evidence_in_context(spark, SF)) == health(queries.latest_context(spark, SF))

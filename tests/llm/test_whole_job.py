@@ -158,3 +158,20 @@ def test_operator_3_proposes_near_copies_beside_the_bands(spark):
     no_bands = rows.withColumn("bands", F.array().cast("array<bigint>"))
     found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in minhash.links(no_bands, docs).collect()}
     assert found == {(own, i) for i, own in near.items() if own != i}
+
+
+def test_near_copies_that_no_band_proposes_are_linked(spark, monkeypatch):
+    """The prefix filter alone finds every pair: bands and operator 3, which may miss some, propose nothing here."""
+    texts = ["", " ", "one two", "one two", "a b c d e", "a b c d f"]
+    for n in (5, 9, 14, 30, 60, 200):
+        words = prose(n)
+        for share in (0, 0.01, 0.02, 0.03, 0.05):
+            copy = list(words)
+            for at in RNG.choice(n, max(1, int(n * share)), replace=False):
+                copy[at] = "changed"
+            texts += [" ".join(copy), "a line that all of them have in common " + " ".join(copy), " ".join(copy[: n - n // 9])]
+    links = minhash.links
+    monkeypatch.setattr(minhash, "links", lambda rows, docs: links(rows, docs).where("false"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(set(brute_jaccard(texts)))
+    assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == want and len(want) < len(set(texts)) - 10
